@@ -39,33 +39,66 @@ def let(value: Column, fn) -> Column:
     return F.get(F.transform(F.array(value), fn), 0)
 
 
-def split_headers(raw: Column) -> Column:
-    """B1: ordered header array of a raw RFC-2822 text.
+_VALID_LINE = r"(?:[ \t]|From |[\x21-\x39\x3b-\x7e]*:)"
+# name and value of each header line (continuation lines belong to the value)
+_NAME_RE = r"(?md)^(?![ \t]|From )([^:\n]*):"
+_VALUE_RE = r"(?md)^(?![ \t]|From )[^:\n]*:[ \t]*([^\n]*(?:\n[ \t][^\n]*)*)"
+
+
+def header_block(raw: Column) -> Column:
+    """The header section of a raw RFC-2822 text.
 
-    CRLF is normalised to LF, the block ends at the first empty line, a
-    leading ``From `` envelope line is dropped, continuation lines stay in
-    the value (newline + indent kept) and the section ends at the first line
-    that is neither a header nor a continuation.
+    CRLF is normalised to LF, the section ends at the first empty line, a
+    leading ``From `` envelope line is dropped and the section is cut at the
+    first line that is neither a header, a continuation nor a ``From `` line.
     """
     lf = F.regexp_replace(raw, "\r\n", "\n")
     blk = let(lf, lambda t: F.when(t.startswith("\n"), F.lit("")).otherwise(
         F.split_part(t, F.lit("\n\n"), F.lit(1))))
     blk = F.regexp_replace(blk, r"^From [^\n]*\n?", "")
+    return let(blk, lambda b: let(
+        F.regexp_instr(b, F.lit(r"(?:^|\n)(?!" + _VALID_LINE + ")")),
+        lambda p: F.when(p > 0, b.substr(F.lit(1), p - 1)).otherwise(b)))
+
+
+def header_arrays(raw: Column) -> Column:
+    """B1 (fast form): ``struct(names, names_lc, values)`` parallel arrays.
+
+    Three regex passes over the header block, all inside generated code; the
+    value keeps folded continuation lines (newline + indent).
+    """
+    def build(b: Column) -> Column:
+        names = F.regexp_extract_all(b, F.lit(_NAME_RE), F.lit(1))
+        return F.struct(names.alias("names"),
+                        F.regexp_extract_all(F.lower(b), F.lit(_NAME_RE), F.lit(1)).alias("names_lc"),
+                        F.regexp_extract_all(b, F.lit(_VALUE_RE), F.lit(1)).alias("values"))
+    return let(header_block(raw), build)
+
+
+def split_headers(raw: Column) -> Column:
+    """B1: ordered ``ARRAY<STRUCT<pos, name, name_lc, value>>`` of a raw text."""
+    def build(a: Column) -> Column:
+        return F.transform(a["names"], lambda n, i: F.struct(
+            (i + 1).alias("pos"), n.alias("name"), F.get(a["names_lc"], i).alias("name_lc"),
+            F.get(a["values"], i).alias("value")))
+    return let(header_arrays(raw), build)
+
+
+def first_of(ha: Column, name: str) -> Column:
+    """B2 on the fast form: first value of a header, null when absent."""
+    return F.get(ha["values"], F.array_position(ha["names_lc"], F.lit(name.lower())).cast("int") - 1)
 
-    def cut(lines: Column) -> Column:
-        stop = F.array_position(F.transform(lines, lambda l: ~l.rlike(HEADER_LINE_RE)), True)
-        return F.when(stop > 0, F.slice(lines, F.lit(1), stop - 1)).otherwise(lines)
 
-    lines = let(F.split(blk, r"\n(?![ \t])"), cut)
-    lines = F.filter(lines, lambda l: (F.instr(l, ":") > 0) & ~l.rlike(r"^([ \t]|From )"))
+def all_of(ha: Column, name: str) -> Column:
+    """B3 on the fast form: all values of a header in order."""
+    lc = F.lit(name.lower())
+    return F.filter(F.zip_with(ha["names_lc"], ha["values"], lambda n, v: F.when(n == lc, v)),
+                    lambda v: v.isNotNull())
 
-    def entry(l: Column, i: Column) -> Column:
-        name = F.substring_index(l, ":", 1)
-        value = F.regexp_replace(l.substr(F.instr(l, ":") + 1, F.length(l)), r"^[ \t]+", "")
-        return F.struct((i + 1).alias("pos"), name.alias("name"),
-                        F.lower(name).alias("name_lc"), value.alias("value"))
 
-    return F.transform(lines, entry)
+def has(ha: Column, name: str) -> Column:
+    """B4 on the fast form."""
+    return F.array_contains(ha["names_lc"], F.lit(name.lower()))
 
 
 def header_first(headers: Column, name: str) -> Column:
@@ -152,12 +185,11 @@ def count_addresses(v: Column) -> Column:
     return F.regexp_count(F.coalesce(v, F.lit("")), F.lit(EMAIL_ADDR_RE))
 
 
-def auth_result(headers: Column, protocol: str) -> Column:
+def auth_result(ha: Column, protocol: str) -> Column:
     """First ``protocol=token`` over Authentication-Results then
     ARC-Authentication-Results values (lower-cased), trailing ';,' removed;
-    null when no value carries one."""
-    vals = F.concat(header_all(headers, "Authentication-Results"),
-                    header_all(headers, "ARC-Authentication-Results"))
+    null when no value carries one.  ``ha`` is the fast header form."""
+    vals = F.concat(all_of(ha, "Authentication-Results"), all_of(ha, "ARC-Authentication-Results"))
     pat = protocol + r"\s*=\s*(\S+)"
     toks = F.filter(F.transform(vals, lambda v: F.regexp_extract(F.lower(v), pat, 1)),
                     lambda t: t != "")

@@ -88,14 +88,15 @@ def _i(c: Column) -> Column:
     return c.cast("int")
 
 
-def header_values(df: DataFrame, headers_col: str = "headers") -> DataFrame:
-    """Stage 2: header values, Received list, presence flags and auth tokens."""
+def header_values(df: DataFrame, headers_col: str = "ha") -> DataFrame:
+    """Stage 2: header values, Received list, presence flags and auth tokens
+    (``headers_col`` holds the fast parallel-array form)."""
     h = F.col(headers_col)
-    cols = {k: H.header_first(h, v) for k, v in _VALUES.items()}
-    cols["recv"] = H.header_all(h, "Received")
-    cols["names"] = F.transform(h, lambda x: x["name_lc"])
+    cols = {k: H.first_of(h, v) for k, v in _VALUES.items()}
+    cols["recv"] = H.all_of(h, "Received")
+    cols["names"] = h["names_lc"]
     for name in PRESENCE_HEADERS:
-        cols["p_" + presence_name(name)] = H.header_present(h, name)
+        cols["p_" + presence_name(name)] = H.has(h, name)
     for proto in ("spf", "dkim", "dmarc"):
         cols["tok_" + proto] = H.auth_result(h, proto)
     return df.withColumns(cols)
@@ -111,8 +112,12 @@ def _domain_features() -> dict[str, Column]:
     md = F.when(F.instr(mid, "@") > 0, H.normalize_domain(H.extract_domain(mid))).otherwise("")
     last = F.element_at(F.col("recv"), -1)
     xd = F.when(F.size("recv") > 0, H.normalize_domain(H.received_from(last))).otherwise("")
+    recv = F.col("recv")
     return {"d_from": fd, "d_reply": rd, "d_rpath": pd, "d_env": ed, "d_to": td,
-            "d_mid": md, "d_recv": xd}
+            "d_mid": md, "d_recv": xd,
+            "ips": F.flatten(F.transform(recv, H.ipv4_all)),
+            "tzs": F.filter(F.transform(recv, H.tz_offset), lambda t: t.isNotNull()),
+            "matched": F.filter(recv, lambda r: H.received_from(r) != "")}
 
 
 def _features() -> dict[str, Column]:
@@ -142,10 +147,8 @@ def _features() -> dict[str, Column]:
     # G3 routing
     recv = c("recv")
     n = F.size(recv)
-    ips = F.flatten(F.transform(recv, H.ipv4_all))
-    tzs = F.filter(F.transform(recv, H.tz_offset), lambda t: t.isNotNull())
+    ips, tzs, matched = c("ips"), c("tzs"), c("matched")
     n_tz = F.size(F.array_distinct(tzs))
-    matched = F.filter(recv, lambda r: H.received_from(r) != "")
     hosts = F.flatten(F.transform(matched, lambda r: F.array(H.received_from(r), H.received_by(r))))
     f["n_received_hops"] = _i(n)
     f["missing_received"] = _i(n == 0)
@@ -223,7 +226,7 @@ def wide_features(raw_mail: DataFrame, raw_col: str = "raw",
     """C-ALL: ``keep`` columns + the 81 features (or the requested subset)."""
     keep = tuple(k for k in keep if k in raw_mail.columns)
     wanted = columns or WIDE_FEATURES
-    df = raw_mail.select(*keep, H.split_headers(F.col(raw_col)).alias("headers"))
+    df = raw_mail.select(*keep, H.header_arrays(F.col(raw_col)).alias("ha"))
     df = header_values(df)
     df = df.withColumns(_domain_features()).withColumns(_epochs())
     feats = _features()

@@ -25,6 +25,7 @@ def get_spark(master: str | None = None, app: str = "mailspark",
         shuffle_partitions = max(8, 2 * int(cores))
     conf = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
