@@ -63,3 +63,140 @@ for _name, _cols in (("presence_features", W.G1_COLUMNS),
                      ("misc_features", W.MISC_COLUMNS),
                      ("wide_features", W.WIDE_FEATURES)):
     register(_name, O.wide_sql(_cols))(_wide(_cols))
+
+
+# --------------------------------------------------------------------------
+# 2.H metrics over the derived `scored` predictions
+# --------------------------------------------------------------------------
+from mailspark.operators import metrics as M  # noqa: E402
+
+_K = "dataset, feature_group, model_name, fold"
+_SC = O.prefix_for("scored")
+
+
+@register("classification_metrics", _SC + f"""
+SELECT {_K}, n, round(accuracy, 6) AS accuracy,
+       round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 6) AS precision,
+       round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 6) AS recall,
+       round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1,
+       round(brier_score, 6) AS brier_score, round(mean_confidence, 6) AS mean_confidence,
+       round(positive_rate, 6) AS positive_rate
+FROM (SELECT {_K}, CAST(count(*) AS BIGINT) AS n,
+             CAST(sum(CASE WHEN y_true = 1 AND y_pred = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS tp,
+             CAST(sum(CASE WHEN y_true = 0 AND y_pred = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS fp,
+             CAST(sum(CASE WHEN y_true = 1 AND y_pred = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS fn,
+             avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) AS accuracy,
+             avg((y_prob - y_true) * (y_prob - y_true)) AS brier_score,
+             avg(y_prob) AS mean_confidence, avg(CAST(y_true AS DOUBLE)) AS positive_rate
+      FROM scored GROUP BY {_K}) t""")
+def q_classification_metrics(spark, sf):
+    return M.rounded(M.classification_metrics(fx.scored(spark, sf)))
+
+
+@register("brier", _SC + f"SELECT {_K}, round(avg((y_prob - y_true) * (y_prob - y_true)), 6) AS brier_score "
+                         f"FROM scored GROUP BY {_K}")
+def q_brier(spark, sf):
+    return M.rounded(M.brier(fx.scored(spark, sf)))
+
+
+def _auc_sql(keys: str) -> str:
+    return _SC + f"""
+, g AS (SELECT {keys}, y_prob, CAST(sum(y_true) AS DOUBLE) AS pos, CAST(sum(1 - y_true) AS DOUBLE) AS neg
+        FROM scored GROUP BY {keys}, y_prob),
+r AS (SELECT *, coalesce(sum(pos + neg) OVER (PARTITION BY {keys} ORDER BY y_prob
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g),
+a AS (SELECT {keys}, sum(pos * (before + (pos + neg + 1) / 2.0)) AS rsum, sum(pos) AS p, sum(neg) AS n
+      FROM r GROUP BY {keys})
+SELECT {keys}, round(CASE WHEN p > 0 AND n > 0 THEN (rsum - p * (p + 1) / 2.0) / (p * n) END, 6) AS auc FROM a"""
+
+
+@register("roc_auc", _auc_sql(_K))
+def q_roc_auc(spark, sf):
+    return M.rounded(M.roc_auc(fx.scored(spark, sf)))
+
+
+@register("roc_auc_by_model", _auc_sql("dataset, model_name"))
+def q_roc_auc_by_model(spark, sf):
+    return M.rounded(M.roc_auc(fx.scored(spark, sf), keys=["dataset", "model_name"]))
+
+
+@register("average_precision", _SC + f"""
+, g AS (SELECT {_K}, y_prob, CAST(sum(y_true) AS DOUBLE) AS pos, CAST(sum(1 - y_true) AS DOUBLE) AS neg
+        FROM scored GROUP BY {_K}, y_prob),
+r AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM g
+      WINDOW w AS (PARTITION BY {_K} ORDER BY y_prob DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT {_K}, round(CASE WHEN sum(pos) > 0 THEN sum(pos * tp / (tp + fp)) / sum(pos) END, 6) AS average_precision
+FROM r GROUP BY {_K}""")
+def q_average_precision(spark, sf):
+    return M.rounded(M.average_precision(fx.scored(spark, sf)))
+
+
+def _edge(k: str, n: int = 10) -> str:
+    return f"(CASE WHEN {k} >= {n} THEN 1.0 ELSE CAST({k} AS DOUBLE) * (1.0 / {n}) END)"
+
+
+_B0 = "CAST(least(greatest(floor(y_prob * 10), 0), 9) AS INTEGER)"
+_ECE_BIN = (f"CASE WHEN y_prob >= 0 AND y_prob < 1.0 THEN (CASE WHEN y_prob < {_edge('b0')} THEN b0 - 1 "
+            f"WHEN y_prob >= {_edge('b0 + 1')} THEN b0 + 1 ELSE b0 END) END")
+
+
+@register("ece", _SC + f"""
+, b AS (SELECT {_K}, y_true, y_prob, {_ECE_BIN} AS bin FROM (SELECT *, {_B0} AS b0 FROM scored) s),
+pb AS (SELECT {_K}, bin, count(*) AS cnt, sum(y_true) AS sy, sum(y_prob) AS sp FROM b GROUP BY {_K}, bin)
+SELECT {_K}, round(coalesce(sum(CASE WHEN bin IS NOT NULL THEN abs(sp - sy) END), 0.0) / sum(cnt), 6) AS ece
+FROM pb GROUP BY {_K}""")
+def q_ece(spark, sf):
+    return M.rounded(M.ece(fx.scored(spark, sf)))
+
+
+_RB0 = "CAST(least(greatest(ceil(y_prob * 10) - 1, 0), 9) AS INTEGER)"
+_REL_BIN = (f"CASE WHEN b0 > 0 AND y_prob <= {_edge('b0')} THEN b0 - 1 "
+            f"WHEN b0 < 9 AND y_prob > {_edge('b0 + 1')} THEN b0 + 1 ELSE b0 END")
+
+
+@register("reliability_curve", _SC + f"""
+SELECT {_K}, bin, count(*) AS n, CAST(sum(y_true) AS BIGINT) AS n_positive, round(sum(y_prob), 6) AS sum_predicted
+FROM (SELECT *, {_REL_BIN} AS bin FROM (SELECT *, {_RB0} AS b0 FROM scored) s) t GROUP BY {_K}, bin""")
+def q_reliability_curve(spark, sf):
+    # the per-bin means are n_positive / n and sum_predicted / n; the check
+    # compares the exact parts (a mean can sit on a rounding tie)
+    rc = M.reliability_curve(fx.scored(spark, sf))
+    return M.rounded(rc.drop("fraction_of_positives", "mean_predicted"))
+
+
+@register("score_histogram", _SC + """
+, rng AS (SELECT y_true, CASE WHEN max(y_prob) = min(y_prob) THEN min(y_prob) - 0.5 ELSE min(y_prob) END AS lo,
+                 CASE WHEN max(y_prob) = min(y_prob) THEN max(y_prob) + 0.5 ELSE max(y_prob) END AS hi
+          FROM scored GROUP BY y_true),
+j AS (SELECT s.y_true, s.y_prob, r.lo, r.hi, (r.hi - r.lo) / 30 AS step,
+             CAST(trunc((s.y_prob - r.lo) * (30 / (r.hi - r.lo))) AS INTEGER) AS b FROM scored s JOIN rng r USING (y_true)),
+k AS (SELECT *, CASE WHEN b = 30 THEN 29 ELSE b END AS b0 FROM j),
+e AS (SELECT *, CASE WHEN y_prob < (CASE WHEN b0 >= 30 THEN hi ELSE b0 * step + lo END) THEN b0 - 1
+                     WHEN y_prob >= (CASE WHEN b0 + 1 >= 30 THEN hi ELSE (b0 + 1) * step + lo END) AND b0 <> 29 THEN b0 + 1
+                     ELSE b0 END AS bin FROM k)
+SELECT y_true, bin, count(*) AS n, round(first(CASE WHEN bin >= 30 THEN hi ELSE bin * step + lo END), 6) AS bin_lo
+FROM e GROUP BY y_true, bin""")
+def q_score_histogram(spark, sf):
+    return M.rounded(M.score_histogram(fx.scored(spark, sf)))
+
+
+@register("confidence_rows", _SC + """
+SELECT mail_id AS email_idx, y_true, y_pred, y_prob AS confidence, CAST(y_true = y_pred AS INTEGER) AS correct,
+       model_name AS model, feature_group FROM scored""")
+def q_confidence_rows(spark, sf):
+    return M.confidence_rows(fx.scored(spark, sf))
+
+
+_FOLD_METRICS_SQL = f"""
+, fm AS (SELECT {_K}, avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) AS accuracy,
+              avg((y_prob - y_true) * (y_prob - y_true)) AS brier_score FROM scored GROUP BY {_K})"""
+
+
+@register("fold_summary", _SC + _FOLD_METRICS_SQL + """
+SELECT dataset, feature_group, model_name, round(avg(accuracy), 6) AS accuracy,
+       round(stddev_pop(accuracy), 6) AS accuracy_std, round(avg(brier_score), 6) AS brier_score,
+       round(stddev_pop(brier_score), 6) AS brier_score_std, count(DISTINCT fold) AS n_folds
+FROM fm GROUP BY dataset, feature_group, model_name""")
+def q_fold_summary(spark, sf):
+    fm = M.classification_metrics(fx.scored(spark, sf))
+    return M.rounded(M.fold_summary(fm, metrics=["accuracy", "brier_score"]))
