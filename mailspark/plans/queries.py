@@ -200,3 +200,166 @@ FROM fm GROUP BY dataset, feature_group, model_name""")
 def q_fold_summary(spark, sf):
     fm = M.classification_metrics(fx.scored(spark, sf))
     return M.rounded(M.fold_summary(fm, metrics=["accuracy", "brier_score"]))
+
+
+# --------------------------------------------------------------------------
+# A2/E1/E10 corpus, 2.E cleaning, G1m-G3m folds, 2.J correlation
+# --------------------------------------------------------------------------
+from mailspark.operators import clean as C  # noqa: E402
+from mailspark.operators import correlate as J  # noqa: E402
+from mailspark.operators import folds as FO  # noqa: E402
+from mailspark.operators.numbering import row_number_by  # noqa: E402
+
+_FM = O.prefix_for("feature_matrix")
+_RM = O.prefix_for("raw_mail")
+CLASS_CAP = 2000  # max mails per class (the operator's parameter)
+
+
+@register("label_counts", _FM + "SELECT label, count(*) AS n FROM feature_matrix GROUP BY label")
+def q_label_counts(spark, sf):
+    return C.label_counts(fx.feature_matrix(spark, sf))
+
+
+@register("class_union", _RM + "SELECT label, count(*) AS n, CAST(sum(length(raw)) AS BIGINT) AS bytes "
+                              "FROM raw_mail GROUP BY label")
+def q_class_union(spark, sf):
+    rm = fx.raw_mail(spark, sf)
+    parts = [rm.where(F.col("label") == v) for v in (0, 1)]
+    u = parts[0].unionByName(parts[1])
+    return u.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("raw")).cast("long").alias("bytes"))
+
+
+@register("class_cap", _RM + f"""
+SELECT mail_id, label, path, rn FROM (
+  SELECT mail_id, label, path, row_number() OVER (PARTITION BY label ORDER BY path) AS rn FROM raw_mail) t
+WHERE rn <= {CLASS_CAP}""")
+def q_class_cap(spark, sf):
+    rm = fx.raw_mail(spark, sf).select("mail_id", "label", "path")
+    return row_number_by(rm, ["label"], ["path"], out="rn").where(F.col("rn") <= CLASS_CAP)
+
+
+_FM_NUM = fx.FEATURE_MATRIX_FEATURES
+
+
+@register("impute_median", _FM + """
+SELECT mail_id, round(coalesce(subject_len, (SELECT quantile_cont(subject_len, 0.5) FROM feature_matrix)), 6)
+       AS subject_len FROM feature_matrix""")
+def q_impute_median(spark, sf):
+    fm = fx.feature_matrix(spark, sf)
+    return M.rounded(C.impute_median(fm, ["subject_len"]).select("mail_id", "subject_len"))
+
+
+def _clip_sql() -> str:
+    cols = C.count_columns(_FM_NUM, "reference")
+    imp = ", ".join(f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM feature_matrix)) AS {c}" for c in cols)
+    caps = ", ".join(f"quantile_cont({c}, 0.99) AS cap_{c}" for c in cols)
+    sel = ", ".join(f"round(least({c}, cap_{c}), 6) AS {c}" for c in cols)
+    return _FM + f", imp AS (SELECT mail_id, {imp} FROM feature_matrix), caps AS (SELECT {caps} FROM imp)\n" \
+                 f"SELECT mail_id, {sel} FROM imp, caps"
+
+
+@register("clip_p99", _clip_sql())
+def q_clip_p99(spark, sf):
+    fm = fx.feature_matrix(spark, sf)
+    cols = C.count_columns(_FM_NUM, "reference")
+    return M.rounded(C.clip_p99(C.impute_median(fm, cols), cols).select("mail_id", *cols))
+
+
+def _drop_constant_sql() -> str:
+    cols = [c for c in ["subject_len", "n_received_hops", "mid_len", "spf_result", "has_reply_to",
+                        "from_non_ascii", "has_from", "raw_status"]]
+    parts = [f"SELECT '{c}' AS column_name FROM feature_matrix HAVING min({c}) IS NULL OR min({c}) = max({c})"
+             for c in cols]
+    return _FM + " UNION ALL ".join(parts)
+
+
+@register("drop_constant", _drop_constant_sql())
+def q_drop_constant(spark, sf):
+    fm = C.drop_metadata(fx.feature_matrix(spark, sf)).drop("mail_id")
+    const = C.constant_columns(fm)
+    # driver-side list of names (bounded by the schema), returned as a relation
+    return spark.createDataFrame([(c,) for c in const], "column_name string")
+
+
+@register("label_encode", _FM + "SELECT mail_id, raw_status, CAST(dense_rank() OVER (ORDER BY raw_status) - 1 AS INTEGER)"
+                              " AS raw_status_code FROM feature_matrix")
+def q_label_encode(spark, sf):
+    fm = fx.feature_matrix(spark, sf).select("mail_id", "raw_status")
+    enc = C.label_encode(fm.withColumn("raw_status_code", F.col("raw_status")), ["raw_status_code"])
+    return enc
+
+
+_FOLD_SQL = ("CAST((row_number() OVER (PARTITION BY label ORDER BY md5(CAST(mail_id AS VARCHAR) || '42'), mail_id) - 1)"
+             " % 5 AS INTEGER)")
+
+
+@register("stratified_folds", _FM + f"SELECT mail_id, label, {_FOLD_SQL} AS fold FROM feature_matrix")
+def q_stratified_folds(spark, sf):
+    return FO.stratified_folds(fx.feature_matrix(spark, sf).select("mail_id", "label"), k=5, seed=42)
+
+
+@register("holdout_split", _FM + """
+SELECT mail_id, label, CAST(rn <= ceil(n * 0.2) AS INTEGER) AS is_test FROM (
+  SELECT mail_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(mail_id AS VARCHAR) || '42'), mail_id) AS rn,
+         count(*) OVER (PARTITION BY label) AS n FROM feature_matrix) t""")
+def q_holdout_split(spark, sf):
+    return FO.holdout_split(fx.feature_matrix(spark, sf).select("mail_id", "label"), 0.2, 42)
+
+
+_SCALE_COLS = ["n_received_hops", "mid_len", "spf_result"]
+
+
+def _scale_sql() -> str:
+    per = ", ".join(f"sum({c}) AS s_{c}, sum({c} * {c}) AS q_{c}" for c in _SCALE_COLS)
+    tot = ", ".join(f"sum(s_{c}) OVER () AS st_{c}, sum(q_{c}) OVER () AS qt_{c}" for c in _SCALE_COLS)
+    stats = ", ".join(
+        f"(st_{c} - s_{c}) / (ntot - nn) AS mean_{c}, "
+        f"sqrt(greatest((qt_{c} - q_{c}) / (ntot - nn) - ((st_{c} - s_{c}) / (ntot - nn)) ^ 2, 0.0)) AS std_{c}"
+        for c in _SCALE_COLS)
+    sel = ", ".join(f"round(({c} - mean_{c}) / CASE WHEN std_{c} = 0 THEN 1.0 ELSE std_{c} END, 6) AS {c}"
+                    for c in _SCALE_COLS)
+    return _FM + f""", f AS (SELECT *, {_FOLD_SQL} AS fold FROM feature_matrix),
+per AS (SELECT fold, count(*) AS nn, {per} FROM f GROUP BY fold),
+tot AS (SELECT *, sum(nn) OVER () AS ntot, {tot} FROM per),
+st AS (SELECT fold, {stats} FROM tot)
+SELECT mail_id, fold, {sel} FROM f JOIN st USING (fold)"""
+
+
+@register("standard_scale", _scale_sql())
+def q_standard_scale(spark, sf):
+    fm = FO.stratified_folds(fx.feature_matrix(spark, sf), k=5, seed=42)
+    return M.rounded(FO.standard_scale(fm, _SCALE_COLS).select("mail_id", "fold", *_SCALE_COLS))
+
+
+_CORR_COLS = ["subject_len", "n_received_hops", "mid_len", "spf_result", "has_reply_to", "from_non_ascii"]
+
+
+def _imputed_fm_sql() -> str:
+    imp = ", ".join(f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM feature_matrix)) AS {c}"
+                    for c in _CORR_COLS)
+    return _FM + f", imp AS (SELECT mail_id, label, {imp} FROM feature_matrix)"
+
+
+def _spearman_sql() -> str:
+    ranks = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r_{c}"
+                      for c in _CORR_COLS)
+    pairs = [(a, b) for i, a in enumerate(_CORR_COLS) for b in _CORR_COLS[i + 1:]]
+    sel = " UNION ALL ".join(
+        f"SELECT '{a}' AS f1, '{b}' AS f2, corr(r_{a}, r_{b}) AS s FROM rk" for a, b in pairs)
+    return _imputed_fm_sql() + f""", rk AS (SELECT {ranks} FROM imp), c AS ({sel})
+SELECT f1, f2, round(CASE WHEN isnan(s) THEN NULL ELSE s END, 6) AS spearman,
+       round(1.0 - abs(CASE WHEN isnan(s) THEN NULL ELSE s END), 6) AS distance FROM c"""
+
+
+@register("spearman_pairs", _spearman_sql())
+def q_spearman_pairs(spark, sf):
+    fm = C.impute_median(fx.feature_matrix(spark, sf), _CORR_COLS)
+    return M.rounded(J.spearman_pairs(fm, _CORR_COLS))
+
+
+@register("class_means", _imputed_fm_sql() + "\n" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(avg(CASE WHEN label = 0 THEN {c} END), 6) AS mean_ham, "
+    f"round(avg(CASE WHEN label = 1 THEN {c} END), 6) AS mean_spam FROM imp" for c in _CORR_COLS))
+def q_class_means(spark, sf):
+    fm = C.impute_median(fx.feature_matrix(spark, sf), _CORR_COLS)
+    return M.rounded(J.class_means(fm, _CORR_COLS))
