@@ -363,3 +363,101 @@ def q_spearman_pairs(spark, sf):
 def q_class_means(spark, sf):
     fm = C.impute_median(fx.feature_matrix(spark, sf), _CORR_COLS)
     return M.rounded(J.class_means(fm, _CORR_COLS))
+
+
+# --------------------------------------------------------------------------
+# 2.K report analytics over results derived from `scored` (H10 -> H12)
+# --------------------------------------------------------------------------
+from mailspark.operators import report as R  # noqa: E402
+
+_RES_METRICS = ["accuracy", "precision", "recall", "f1", "brier_score"]
+_RES_SQL = _SC + f"""
+, fm AS (SELECT {_K}, avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) AS accuracy,
+         CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision,
+         CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall,
+         CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1,
+         avg((y_prob - y_true) * (y_prob - y_true)) AS brier_score
+  FROM (SELECT *, CAST(sum(CASE WHEN y_true = 1 AND y_pred = 1 THEN 1 ELSE 0 END) OVER c AS DOUBLE) AS tp,
+               CAST(sum(CASE WHEN y_true = 0 AND y_pred = 1 THEN 1 ELSE 0 END) OVER c AS DOUBLE) AS fp,
+               CAST(sum(CASE WHEN y_true = 1 AND y_pred = 0 THEN 1 ELSE 0 END) OVER c AS DOUBLE) AS fn
+        FROM scored WINDOW c AS (PARTITION BY {_K})) s
+  GROUP BY {_K}, tp, fp, fn),
+res AS (SELECT dataset, feature_group, model_name, {", ".join(f"avg({m}) AS {m}" for m in _RES_METRICS)},
+        row_number() OVER (ORDER BY dataset, feature_group, model_name) AS pos
+        FROM fm GROUP BY dataset, feature_group, model_name),
+paper AS (SELECT * FROM (VALUES {", ".join(f"('{d}', '{m}', CAST({a} AS DOUBLE), CAST({f} AS DOUBLE))" for d, m, a, f in R.PAPER_BASELINE)})
+          t(dataset, model_name, accuracy, f1))
+"""
+
+
+def _results(spark, sf):
+    fm = M.classification_metrics(fx.scored(spark, sf))
+    return M.fold_summary(fm, metrics=_RES_METRICS).drop(*[m + "_std" for m in _RES_METRICS], "n_folds")
+
+
+@register("extended_table", _RES_SQL + """
+SELECT dataset, model_name, feature_group, round(accuracy, 4) AS accuracy, round(precision, 4) AS precision,
+       round(recall, 4) AS recall, round(f1, 4) AS f1, round(brier_score, 4) AS brier_score,
+       round(accuracy, 4) = max(round(accuracy, 4)) OVER (PARTITION BY dataset, model_name) AS is_best_accuracy
+FROM res""")
+def q_extended_table(spark, sf):
+    return R.extended_table(_results(spark, sf))
+
+
+@register("best_accuracy", _RES_SQL + """
+, b AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY accuracy DESC, pos) AS rn FROM res),
+pb AS (SELECT dataset, max(accuracy) AS paper_best FROM paper GROUP BY dataset)
+SELECT b.dataset, model_name, feature_group, round(b.accuracy, 6) AS accuracy, round(paper_best, 6) AS paper_best,
+       round(b.accuracy - paper_best, 6) AS delta_vs_paper
+FROM b LEFT JOIN pb ON upper(b.dataset) = pb.dataset WHERE rn = 1""")
+def q_best_accuracy(spark, sf):
+    return M.rounded(R.best_accuracy(_results(spark, sf), R.paper_baseline(spark)))
+
+
+@register("calibration_extremes", _RES_SQL + """
+SELECT 'brier_score' AS metric, kind, round(value, 6) AS value, model_name, feature_group, dataset FROM (
+  SELECT 'best' AS kind, brier_score AS value, model_name, feature_group, dataset,
+         row_number() OVER (ORDER BY brier_score ASC, pos) AS rn FROM res WHERE brier_score IS NOT NULL
+  UNION ALL
+  SELECT 'worst', brier_score, model_name, feature_group, dataset,
+         row_number() OVER (ORDER BY brier_score DESC, pos) FROM res WHERE brier_score IS NOT NULL) t
+WHERE rn = 1""")
+def q_calibration_extremes(spark, sf):
+    return M.rounded(R.calibration_extremes(_results(spark, sf), columns=("brier_score",)))
+
+
+@register("paper_delta", _RES_SQL + """
+SELECT r.dataset, r.model_name, round(r.accuracy, 6) AS accuracy, round(r.f1, 6) AS f1,
+       round(p.accuracy, 6) AS paper_accuracy, round(p.f1, 6) AS paper_f1,
+       round(r.accuracy - p.accuracy, 6) AS delta_accuracy
+FROM res r LEFT JOIN paper p ON upper(r.dataset) = p.dataset AND r.model_name = p.model_name
+WHERE r.feature_group = 'G1'""")
+def q_paper_delta(spark, sf):
+    return M.rounded(R.paper_delta(_results(spark, sf), R.paper_baseline(spark), group="G1"))
+
+
+@register("metric_pivot", _RES_SQL + """
+SELECT feature_group, round(avg(CASE WHEN model_name = 'KNN' THEN accuracy END), 6) AS KNN,
+       round(avg(CASE WHEN model_name = 'RF' THEN accuracy END), 6) AS RF FROM res GROUP BY feature_group""")
+def q_metric_pivot(spark, sf):
+    return M.rounded(R.metric_pivot(_results(spark, sf), "accuracy", models=["KNN", "RF"]))
+
+
+@register("group_bars", _RES_SQL + """
+SELECT feature_group, model_name, round(avg(f1), 6) AS f1 FROM res GROUP BY feature_group, model_name""")
+def q_group_bars(spark, sf):
+    return M.rounded(R.group_bars(_results(spark, sf), "f1"))
+
+
+@register("best_per_dataset", _RES_SQL + """
+SELECT dataset, round(max(accuracy), 6) AS best_accuracy, round(max(f1), 6) AS best_f1 FROM res GROUP BY dataset""")
+def q_best_per_dataset(spark, sf):
+    return M.rounded(R.best_per_dataset(_results(spark, sf), metrics=("accuracy", "f1")))
+
+
+@register("flagship_class_profile", O.mail_prefix() + "\n" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(avg(CASE WHEN label = 0 THEN {O.FEATURE_SQL[c]} END), 6) AS mean_ham, "
+    f"round(avg(CASE WHEN label = 1 THEN {O.FEATURE_SQL[c]} END), 6) AS mean_spam FROM hd" for c in W.WIDE_FEATURES))
+def q_flagship(spark, sf):
+    from mailspark.plans.flagship import flagship
+    return M.rounded(flagship(spark, sf))
