@@ -278,4 +278,6 @@ def decode_mime(v: Column) -> Column:
     through an Arrow-batched UDF.
     """
     u = unfold(F.coalesce(v, F.lit("")))
-    return F.when(u.contains("=?"), _decode_words(u)).otherwise(pystrip(u))
+    enc = u.contains("=?")
+    # only encoded values are shipped (others travel as nulls in the batch)
+    return F.when(enc, _decode_words(F.when(enc, u))).otherwise(pystrip(u))

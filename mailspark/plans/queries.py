@@ -461,3 +461,62 @@ def q_best_per_dataset(spark, sf):
 def q_flagship(spark, sf):
     from mailspark.plans.flagship import flagship
     return M.rounded(flagship(spark, sf))
+
+
+# --------------------------------------------------------------------------
+# 2.D compact features, A8 sniff filter, D5 documents
+# --------------------------------------------------------------------------
+from mailspark.operators import compact as CP  # noqa: E402
+
+
+def _compact_sql() -> str:
+    def strip(e):
+        return f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
+
+    def dec(name):  # unfold + strip (the fixture holds no encoded words)
+        return strip(f"regexp_replace(coalesce({O._first(name)}, ''), '\\r?\\n([ \\t])', '\\1', 'g')")
+    pres = ", ".join(f"CAST({O._present(h)} AS INTEGER) AS {c}" for c, h in CP._PRESENCE16.items())
+    auth = dec("Authentication-Results")
+
+    def tok(p):
+        t = f"lower({strip(f'regexp_extract({auth}, ' + chr(39) + f'(?i){p}' + chr(92) + 's*=' + chr(92) + 's*(' + chr(92) + 'S+)' + chr(39) + ', 1)')})"
+        return (f"CASE WHEN {auth} = '' THEN 0 WHEN contains({t}, 'pass') THEN 1 WHEN contains({t}, 'fail') OR "
+                f"contains({t}, 'none') OR contains({t}, 'temperror') OR contains({t}, 'permerror') THEN -1 ELSE 0 END")
+    sig = dec("DKIM-Signature")
+    valid = " AND ".join(f"contains({sig}, '{t}')" for t in CP.DKIM_TAGS)
+    mid = dec("Message-ID")
+    date = dec("Date")
+    subj = dec("Subject")
+    return O._mail_prefix().replace(",\nhd AS", ",\nhd0 AS", 1) if False else O.mail_prefix() + f"""
+, c AS (SELECT mail_id, label, {pres},
+  CAST(length({subj}) AS INTEGER) AS subject_len, CAST(len(recv) AS INTEGER) AS n_received_hops,
+  CAST(contains(lower({dec('Content-Transfer-Encoding')}), 'base64') AS INTEGER) AS is_base64_encoded,
+  CAST({date} <> '' AND try_strptime({date}, '%d %b %Y %H:%M:%S %z') IS NULL AS INTEGER) AS malformed_date,
+  CAST({mid} <> '' AND NOT regexp_matches({mid}, '^<[^<>@\\s]+@[^<>@\\s]+>$') AS INTEGER) AS mid_malformed,
+  CAST({tok('spf')} AS INTEGER) AS spf_result, CAST({tok('dkim')} AS INTEGER) AS dkim_result,
+  CAST({tok('dmarc')} AS INTEGER) AS dmarc_result,
+  CAST({O._present('DKIM-Signature')} AS INTEGER) AS dkim_signature_present,
+  CAST(coalesce({O._first('DKIM-Signature')}, '') <> '' AND {valid} AS INTEGER) AS dkim_signature_valid_format,
+  CAST({auth} <> '' AS INTEGER) AS auth_results_present, {date} AS date, {mid} AS message_id FROM hd)
+SELECT *, CAST(auth_results_present = 1 AND spf_result = 1 AND dkim_result = 1 AND dmarc_result = 1 AS INTEGER)
+          AS all_auth_pass,
+       CAST(spf_result = -1 OR dkim_result = -1 OR dmarc_result = -1 AS INTEGER) AS any_auth_fail FROM c"""
+
+
+@register("compact_features", _compact_sql())
+def q_compact_features(spark, sf):
+    return CP.compact_features(fx.raw_mail(spark, sf))
+
+
+@register("mail_sniff", _RM + "SELECT mail_id, CAST(regexp_matches(lower(regexp_replace(split_part(raw, chr(10), 1),"
+                              " '^\\s+|\\s+$', '', 'g')), '^(" + "|".join(CP.MAIL_PREFIXES) + ")') AS INTEGER)"
+                              " AS is_mail FROM raw_mail")
+def q_mail_sniff(spark, sf):
+    rm = fx.raw_mail(spark, sf)
+    return rm.select("mail_id", CP.is_mail_text(F.col("raw")).cast("int").alias("is_mail"))
+
+
+@register("compact_json")
+def q_compact_json(spark, sf):
+    docs = CP.extract_folder(fx.raw_mail(spark, sf), start_index=1)
+    return docs.select("email_id", F.to_json(F.struct(*docs.columns)).alias("json"))
