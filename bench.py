@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = ["wide_features", "compact_features", "flagship_class_profile", "classification_metrics",
             "roc_auc", "ece", "stratified_folds", "standard_scale", "spearman_pairs", "extended_table",
-            "best_accuracy", "class_cap", "rf_cv"]
+            "best_accuracy", "class_cap"]
 
 
 def main() -> None:

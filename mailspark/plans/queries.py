@@ -520,3 +520,25 @@ def q_mail_sniff(spark, sf):
 def q_compact_json(spark, sf):
     docs = CP.extract_folder(fx.raw_mail(spark, sf), start_index=1)
     return docs.select("email_id", F.to_json(F.struct(*docs.columns)).alias("json"))
+
+
+# --------------------------------------------------------------------------
+# 2.G models (rows-only checks: fitted models are compared by quality)
+# --------------------------------------------------------------------------
+from mailspark.operators import models as MD  # noqa: E402
+
+_MODEL_COLS = ["subject_len", "n_received_hops", "mid_len", "spf_result", "has_reply_to", "from_non_ascii"]
+
+
+def _cv(model, params=None):
+    def build(spark, sf):
+        fm = C.impute_median(fx.feature_matrix(spark, sf), _MODEL_COLS)
+        folded = FO.stratified_folds(fm, k=5, seed=42)
+        return MD.cv_predictions(folded, _MODEL_COLS, model, "A", "G_fm", k=5, params=params)
+    return build
+
+
+register("rf_cv")(_cv("RF", {"numTrees": 100, "maxDepth": 20}))
+register("svm_cv")(_cv("SVM", {"n_components": 64}))
+register("mlp_cv")(_cv("MLP", {"maxIter": 100}))
+register("one_class_score")(_cv("OC_SVM", {"n_components": 64}))
