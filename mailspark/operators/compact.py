@@ -120,8 +120,8 @@ def upgrade_documents(docs: DataFrame) -> DataFrame:
     filled = hf
     for c in AUTH8:
         filled = filled.withField(c, F.coalesce(hf[c], F.lit(0)))
-    return docs.withColumn("header_features", F.when(missing, filled).otherwise(hf)) \
-               .withColumn("upgraded", missing.cast("int"))
+    return docs.withColumn("upgraded", missing.cast("int")) \
+               .withColumn("header_features", F.when(missing, filled).otherwise(hf))
 
 
 def repair_auth(docs: DataFrame, raw_mail: DataFrame, containment: bool = False) -> DataFrame:

@@ -542,3 +542,122 @@ register("rf_cv")(_cv("RF", {"numTrees": 100, "maxDepth": 20}))
 register("svm_cv")(_cv("SVM", {"n_components": 64}))
 register("mlp_cv")(_cv("MLP", {"maxIter": 100}))
 register("one_class_score")(_cv("OC_SVM", {"n_components": 64}))
+
+
+# --------------------------------------------------------------------------
+# sources / sinks round trips, D6-D8, 2.L scoring
+# --------------------------------------------------------------------------
+from mailspark import sinks as SK  # noqa: E402
+from mailspark.operators import score as SC  # noqa: E402
+from mailspark.session import scratch_dir  # noqa: E402
+from mailspark.sources import documents as DOC  # noqa: E402
+from mailspark.sources import mail as ML  # noqa: E402
+
+_COMPACT_SQL = _compact_sql()
+
+
+@register("mbox_split", _RM + "SELECT label, raw || chr(10) AS raw FROM raw_mail")
+def q_mbox_split(spark, sf):
+    return _mbox_labelled(spark, sf, scratch_dir(spark, "mbox"))
+
+
+def _mbox_labelled(spark, sf, d):
+    # one archive folder per class, labels from the class (dataset B layout)
+    rm = fx.raw_mail(spark, sf)
+    parts = []
+    for lab in (0, 1):
+        sub = f"{d}/{'ham' if lab == 0 else 'phishing'}"
+        ML.write_mbox(rm.where(F.col("label") == lab).select("raw"), sub)
+        parts.append(ML.read_mbox(spark, sub, label=lab).select("label", "raw"))
+    return parts[0].unionByName(parts[1])
+
+
+@register("documents_roundtrip", "SELECT * EXCLUDE (mail_id, label) FROM (" + _COMPACT_SQL + ") q")
+def q_documents_roundtrip(spark, sf):
+    d = scratch_dir(spark, "docs")
+    feats = CP.compact_features(fx.raw_mail(spark, sf)).withColumn("email_id", F.col("mail_id").cast("string"))
+    SK.write_documents(CP.documents(feats), d)
+    back = DOC.read_documents(spark, d, multiline=False)
+    return back.select("header_features.*", F.col("headers.date").alias("date"),
+                       F.col("headers.message_id").alias("message_id"))
+
+
+@register("upgrade_documents", "SELECT mail_id, " + ", ".join(CP.HEADER16) + ", "
+          + ", ".join(f"0 AS {c}" for c in CP.AUTH8) + ", 1 AS upgraded FROM (" + _COMPACT_SQL + ") q")
+def q_upgrade_documents(spark, sf):
+    feats = CP.compact_features(fx.raw_mail(spark, sf))
+    old = feats.select("mail_id", F.struct(*[F.col(c) for c in CP.HEADER16],
+                                           *[F.lit(None).cast("int").alias(c) for c in CP.AUTH8])
+                       .alias("header_features"))
+    up = CP.upgrade_documents(old)
+    return up.select("mail_id", "header_features.*", "upgraded")
+
+
+def _repair_sql() -> str:
+    strip = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+    auth = strip.format(f"regexp_replace(coalesce({O._first('Authentication-Results')}, ''), '\\r?\\n([ \\t])', '\\1', 'g')")
+
+    def enc(p):
+        t = f"regexp_extract({auth}, '(?i){p}\\s*=\\s*(\\S+)', 1)"
+        return (f"CASE WHEN {t} = '' THEN NULL WHEN contains(lower({t}), 'pass') THEN 1 "
+                f"WHEN contains(lower({t}), 'fail') OR contains(lower({t}), 'none') THEN -1 ELSE 0 END")
+    mid = strip.format(f"regexp_replace(coalesce({O._first('Message-ID')}, ''), '\\r?\\n([ \\t])', '\\1', 'g')")
+    return O.mail_prefix() + f"""
+, fx AS (SELECT path, {mid} AS mid, {enc('spf')} AS s, {enc('dkim')} AS k, {enc('dmarc')} AS m,
+         CAST(coalesce({O._first('DKIM-Signature')}, '') <> '' AS INTEGER) AS dsp,
+         CAST({auth} <> '' AS INTEGER) AS arp FROM hh),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mid ORDER BY path) AS rk FROM fx WHERE mid <> '') t
+          WHERE rk = 1),
+docs AS ({_COMPACT_SQL})
+SELECT CAST(d.mail_id AS VARCHAR) AS email_id,
+       CASE WHEN f.path IS NULL THEN d.spf_result ELSE coalesce(f.s, 0) END AS spf_result,
+       CASE WHEN f.path IS NULL THEN d.dkim_result ELSE coalesce(f.k, 0) END AS dkim_result,
+       CASE WHEN f.path IS NULL THEN d.dmarc_result ELSE coalesce(f.m, 0) END AS dmarc_result,
+       CASE WHEN f.path IS NULL THEN d.dkim_signature_present ELSE f.dsp END AS dkim_signature_present,
+       CASE WHEN f.path IS NULL THEN d.auth_results_present ELSE f.arp END AS auth_results_present,
+       CASE WHEN f.path IS NULL THEN d.all_auth_pass
+            ELSE CAST(coalesce(f.s, 1) = 1 AND coalesce(f.k, 1) = 1 AND coalesce(f.m, 1) = 1 AS INTEGER) END AS all_auth_pass,
+       CAST(f.path IS NOT NULL AS INTEGER) AS fixed
+FROM docs d LEFT JOIN first f ON regexp_replace(d.message_id, '^\\s+|\\s+$', '', 'g') = f.mid"""
+
+
+@register("repair_auth", _repair_sql())
+def q_repair_auth(spark, sf):
+    rm = fx.raw_mail(spark, sf)
+    feats = CP.compact_features(rm).withColumn("email_id", F.col("mail_id").cast("string"))
+    fixed = CP.repair_auth(CP.documents(feats), rm)
+    return fixed.select("email_id", "header_features.spf_result", "header_features.dkim_result",
+                        "header_features.dmarc_result", "header_features.dkim_signature_present",
+                        "header_features.auth_results_present", "header_features.all_auth_pass", "fixed")
+
+
+def _requests(spark, sf):
+    feats = CP.compact_features(fx.raw_mail(spark, sf)).withColumn("email_id", F.col("mail_id").cast("string"))
+    return SC.documents_as_requests(CP.documents(feats))
+
+
+@register("request_features", "SELECT CAST(mail_id AS VARCHAR) AS email_id, "
+          + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in CP.COMPACT_FEATURES) + " FROM (" + _COMPACT_SQL + ") q")
+def q_request_features(spark, sf):
+    r = SC.request_features(_requests(spark, sf), CP.COMPACT_FEATURES)
+    return r.select("email_id", *CP.COMPACT_FEATURES)
+
+
+def _served_model(spark, sf):
+    feats = CP.compact_features(fx.raw_mail(spark, sf))
+    return MD.fit_pipeline(feats, CP.COMPACT_FEATURES, num_trees=100, max_depth=12, min_instances=3)
+
+
+@register("score_batch")
+def q_score_batch(spark, sf):
+    return SC.score_v1(_requests(spark, sf), _served_model(spark, sf))
+
+
+@register("score_dual")
+def q_score_dual(spark, sf):
+    return SC.score_v2(_requests(spark, sf), _served_model(spark, sf), source_path="in-memory")
+
+
+@register("detection_rate")
+def q_detection_rate(spark, sf):
+    return SC.detection_rate(SC.score_v1(_requests(spark, sf), _served_model(spark, sf)))

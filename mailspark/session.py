@@ -61,3 +61,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder for intermediate
+    files (never a machine-local temporary folder)."""
+    import uuid
+    return f"{checkpoint_dir(spark).rstrip('/')}/mailspark-scratch/{name}-{uuid.uuid4().hex[:12]}"
