@@ -661,3 +661,82 @@ def q_score_dual(spark, sf):
 @register("detection_rate")
 def q_detection_rate(spark, sf):
     return SC.detection_rate(SC.score_v1(_requests(spark, sf), _served_model(spark, sf)))
+
+
+# --------------------------------------------------------------------------
+# 2.I importance (rows-only) and J2-J4 group correlation summaries
+# --------------------------------------------------------------------------
+from mailspark.operators import groups as GR  # noqa: E402
+from mailspark.operators import importance as IM  # noqa: E402
+
+
+def _imputed_fm(spark, sf):
+    return C.impute_median(fx.feature_matrix(spark, sf), _MODEL_COLS)
+
+
+@register("permutation_importance")
+def q_permutation_importance(spark, sf):
+    return IM.dataset_importance(_imputed_fm(spark, sf), _MODEL_COLS, "A", n_repeats=3)
+
+
+@register("mdi_importance")
+def q_mdi_importance(spark, sf):
+    m = MD.fit_pipeline(_imputed_fm(spark, sf), _MODEL_COLS, num_trees=100, max_depth=12, min_instances=3)
+    return IM.mdi_importance(m, spark)
+
+
+@register("feature_topk")
+def q_feature_topk(spark, sf):
+    m = MD.fit_pipeline(_imputed_fm(spark, sf), _MODEL_COLS, num_trees=100, max_depth=12, min_instances=3)
+    imp = IM.mdi_importance(m, spark)
+    g8 = GR.group_columns("G8", _MODEL_COLS, imp)  # top-5 by importance
+    return imp.where(F.col("feature").isin(g8))
+
+
+def _positions():
+    groups = {g: GR.group_columns(g, _CORR_COLS) for g in GR.GROUP_NAMES}
+    rows, home, pos = [], {}, 0
+    for g, feats in groups.items():
+        for i, f in enumerate(feats):
+            pos += 1
+            home.setdefault(f, g)
+            rows.append((g, i + 1, f, pos))
+    return [(g, gp, f, p, home[f]) for g, gp, f, p in rows]
+
+
+def _group_corr_sql(kind: str) -> str:
+    vals = ", ".join(f"('{g}', {gp}, '{f}', {p}, '{h}')" for g, gp, f, p, h in _positions())
+    spear = _spearman_sql()
+    head = spear[:spear.rindex("SELECT f1, f2")]
+    pairs = ("sp AS (SELECT f1, f2, CASE WHEN isnan(s) THEN NULL ELSE s END AS s FROM c "
+             "UNION ALL SELECT f2, f1, CASE WHEN isnan(s) THEN NULL ELSE s END FROM c), "
+             f"pos AS (SELECT * FROM (VALUES {vals}) t(feature_group, gpos, feature, pos, first_group))")
+    if kind == "within":
+        return head + ", " + pairs + """,
+tri AS (SELECT a.feature_group, b.gpos AS j, abs(sp.s) AS r FROM pos a JOIN pos b
+        ON a.feature_group = b.feature_group AND a.gpos < b.gpos LEFT JOIN sp ON sp.f1 = a.feature AND sp.f2 = b.feature),
+cm AS (SELECT feature_group, j, avg(r) AS m FROM tri GROUP BY feature_group, j),
+wg AS (SELECT feature_group, avg(m) AS w FROM cm GROUP BY feature_group),
+sz AS (SELECT feature_group, count(*) AS n_features FROM pos GROUP BY feature_group)
+SELECT sz.feature_group, sz.n_features, round(CASE WHEN n_features >= 2 THEN w END, 6) AS within_corr
+FROM sz LEFT JOIN wg USING (feature_group)"""
+    return head + ", " + pairs + """
+SELECT round(avg(abs(sp.s)), 6) AS between_corr, count(*) AS n_pairs FROM pos a JOIN pos b
+  ON a.pos < b.pos AND a.first_group <> b.first_group LEFT JOIN sp ON sp.f1 = a.feature AND sp.f2 = b.feature"""
+
+
+def _pairs_and_positions(spark, sf):
+    fm = C.impute_median(fx.feature_matrix(spark, sf), _CORR_COLS)
+    pairs = J.spearman_pairs(fm, _CORR_COLS)
+    groups = {g: GR.group_columns(g, _CORR_COLS) for g in GR.GROUP_NAMES}
+    return pairs, J.group_positions(spark, groups, _CORR_COLS)
+
+
+@register("within_group_corr", _group_corr_sql("within"))
+def q_within_group_corr(spark, sf):
+    return M.rounded(J.within_group_corr(*_pairs_and_positions(spark, sf)))
+
+
+@register("between_group_corr", _group_corr_sql("between"))
+def q_between_group_corr(spark, sf):
+    return M.rounded(J.between_group_corr(*_pairs_and_positions(spark, sf)))
