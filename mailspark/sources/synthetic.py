@@ -89,7 +89,7 @@ def _column(spec: tuple, label: Column, seed: int) -> Column:
 
 def generate_synthetic(spark: SparkSession, n_ham: int, n_spam: int, dataset: str = "A", seed: int = 42,
                        num_partitions: int | None = None) -> DataFrame:
-    """``mail_id``, ``label`` and the 80 synthetic feature columns."""
+    """``mail_id``, ``label`` and the 81 synthetic feature columns."""
     n = n_ham + n_spam
     base = spark.range(0, n, 1, num_partitions or spark.sparkContext.defaultParallelism)
     label = (F.col("id") >= n_ham).cast("int")

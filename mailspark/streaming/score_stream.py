@@ -15,17 +15,19 @@ from pyspark.sql.streaming import StreamingQuery
 from mailspark.operators.score import REQUEST_SCHEMA, score_v1
 
 
-def request_stream(spark: SparkSession, in_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(REQUEST_SCHEMA).option("multiLine", True)
+def request_stream(spark: SparkSession, in_dir: str, max_files_per_trigger: int | None = None,
+                   multiline: bool = True) -> DataFrame:
+    """Request files: one JSON document per file (``multiline``) or JSON lines."""
+    r = spark.readStream.schema(REQUEST_SCHEMA).option("multiLine", multiline)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.json(in_dir)
 
 
 def start_scoring(spark: SparkSession, model: PipelineModel, in_dir: str, out_dir: str, checkpoint: str,
-                  available_now: bool = True) -> StreamingQuery:
+                  available_now: bool = True, multiline: bool = True) -> StreamingQuery:
     """Score every request file once; output = L2 rows (append)."""
-    scored = score_v1(request_stream(spark, in_dir), model)
+    scored = score_v1(request_stream(spark, in_dir, multiline=multiline), model)
     w = scored.writeStream.format("parquet").option("path", out_dir) \
         .option("checkpointLocation", checkpoint).outputMode("append")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -33,9 +35,9 @@ def start_scoring(spark: SparkSession, model: PipelineModel, in_dir: str, out_di
 
 
 def start_counts(spark: SparkSession, model: PipelineModel, in_dir: str, query_name: str, checkpoint: str,
-                 available_now: bool = True) -> StreamingQuery:
+                 available_now: bool = True, multiline: bool = True) -> StreamingQuery:
     """Running malicious / legitimate counts (L4 as a stateful aggregate)."""
-    scored = score_v1(request_stream(spark, in_dir), model)
+    scored = score_v1(request_stream(spark, in_dir, multiline=multiline), model)
     counts = scored.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
     w = counts.writeStream.format("memory").queryName(query_name) \
         .option("checkpointLocation", checkpoint).outputMode("complete")
