@@ -19,17 +19,18 @@ from pyspark.ml.classification import (LinearSVC, LogisticRegression, Multilayer
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from mailspark.functions.headers import sigmoid
 
-MODEL_NAMES = ["RF", "SVM", "MLP", "Stacking", "OC_SVM"]
+MODEL_NAMES = ["RF", "SVM", "MLP", "KNN", "Stacking", "OC_SVM"]
 DEFAULTS = {
     "RF": {"numTrees": 100, "maxDepth": 20},
     "SVM": {"C": 1.0, "n_components": 256, "gamma": None},
     "MLP": {"hidden": [100, 50], "maxIter": 300},
     "OC_SVM": {"nu": 0.1, "n_components": 256, "gamma": None},
-    "Stacking": {"base": ["RF", "MLP"], "inner_folds": 5},
+    "KNN": {"k": 5},
+    "Stacking": {"base": ["RF", "MLP", "KNN"], "inner_folds": 5},
 }
 
 
@@ -116,6 +117,8 @@ def fit_predict(model: str, train: DataFrame, test: DataFrame, cols: list[str],
         out = score(tef).withColumn("_s", F.col("_s") - F.lit(rho)) \
             .withColumn("prediction", (F.col("_s") < 0).cast("double")) \
             .withColumn("y_prob", sigmoid(-F.col("_s")))
+    elif model == "KNN":
+        out = knn_predict(train, test, cols, k=p["k"], seed=seed)
     elif model == "Stacking":
         out = _stacking(train, test, cols, p, seed)
     else:
@@ -123,6 +126,87 @@ def fit_predict(model: str, train: DataFrame, test: DataFrame, cols: list[str],
     return out.withColumn("y_pred", F.col("prediction").cast("int"))
 
 
+def knn_predict(train: DataFrame, test: DataFrame, cols: list[str], k: int = 5, n_buckets: int = 1024,
+                seed: int = 42) -> DataFrame:
+    """G10m: exact k-nearest-neighbour class share (Euclidean, scaled features).
+
+    No all-pairs join: training rows are first reduced to distinct points
+    with (count, positives) -- duplicate feature vectors, common for 0/1
+    header flags, become one row -- and test rows to distinct points.  Each
+    point gets a 1-D random projection p (|p(x) - p(y)| <= |x - y|),
+    bucketed into ``n_buckets`` equal-width buckets.  (1) A radius bound
+    r(q) = distance of the k-th neighbour among the points of a few buckets
+    around q's bucket (the window grows until it holds k points).  (2) The
+    exact step joins q only with buckets overlapping [p(q) - r, p(q) + r];
+    every true neighbour lies in that band.  Points tied at the k-th
+    distance share the remaining weight equally (the class share is the
+    average over the tie).  Returns test rows with ``prediction``/``y_prob``.
+    """
+    tr, te = _scaled(train, test, cols)
+    rng = np.random.default_rng(seed)
+    w = rng.normal(size=len(cols))
+    w = w / np.linalg.norm(w)
+    proj = sum((F.col(c) * float(w[i]) for i, c in enumerate(cols)), F.lit(0.0))
+    pts = tr.groupBy(*cols).agg(F.count(F.lit(1)).alias("_cnt"),
+                                F.sum(F.col("label").cast("long")).alias("_pos")).withColumn("_p", proj)
+    lo, hi = pts.agg(F.min("_p"), F.max("_p")).first()
+    width = (hi - lo) / n_buckets if hi is not None and hi > lo else 1.0
+    lo = lo or 0.0
+
+    def bucket(c):
+        return F.least(F.greatest(F.floor((c - F.lit(lo)) / F.lit(width)), F.lit(0)),
+                       F.lit(n_buckets - 1)).cast("int")
+    pts = pts.select(*[F.col(c).alias("t_" + c) for c in cols], "_cnt", "_pos",
+                     F.col("_p").alias("_tp"), bucket(F.col("_p")).alias("_tb")).cache()
+    qs = te.select(*cols).distinct().withColumn("_qid", F.xxhash64(*cols)).withColumn("_p", proj)
+    qs = qs.withColumn("_b", bucket(F.col("_p"))).cache()
+    # distances rounded to 1e-9 so that exact ties are not split by float noise
+    dist = F.round(F.sqrt(sum((F.pow(F.col(c) - F.col("t_" + c), 2) for c in cols), F.lit(0.0))), 9)
+    wq = Window.partitionBy("_qid").orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
+
+    def cand(q, lo_b, hi_b):
+        qb = q.withColumn("_bb", F.explode(F.sequence(F.greatest(lo_b, F.lit(0)),
+                                                      F.least(hi_b, F.lit(n_buckets - 1)))))
+        return qb.join(pts, qb["_bb"] == pts["_tb"]).withColumn("_d", dist)
+
+    # (1) radius bound per test point, widening the bucket window until k points are seen
+    radii, todo, span = [], qs.select("_qid", "_p", "_b", *cols), 1
+    while True:
+        c = cand(todo, F.col("_b") - span, F.col("_b") + span)
+        g = c.groupBy("_qid", "_d").agg(F.sum("_cnt").alias("_n"))
+        r = g.withColumn("_cum", F.sum("_n").over(wq)).where(F.col("_cum") >= k) \
+            .groupBy("_qid").agg(F.min("_d").alias("_r")).cache()
+        radii.append(r)
+        todo = todo.join(r, "_qid", "left_anti").cache()
+        if todo.isEmpty():
+            break
+        if span >= n_buckets:
+            # fewer than k training points overall: every point is a neighbour
+            radii.append(todo.select("_qid").withColumn("_r", F.lit(float("inf"))))
+            break
+        span *= 4
+    rad = radii[0]
+    for x in radii[1:]:
+        rad = rad.unionByName(x)
+    # (2) exact band join, then the k nearest with tie averaging at the boundary
+    q2 = qs.join(rad, "_qid")
+    eps = 1e-9
+    inf = F.col("_r") == float("inf")
+    lo_b = F.when(inf, F.lit(0)).otherwise(bucket(F.col("_p") - F.col("_r") - eps))
+    hi_b = F.when(inf, F.lit(n_buckets - 1)).otherwise(bucket(F.col("_p") + F.col("_r") + eps))
+    c = cand(q2, lo_b, hi_b).where(F.col("_d") <= F.col("_r") + eps)
+    g = c.groupBy("_qid", "_d").agg(F.sum("_cnt").alias("_n"), F.sum("_pos").alias("_pos"))
+    g = g.withColumn("_cum", F.sum("_n").over(wq))
+    take = F.least(F.col("_n"), F.greatest(F.lit(k) - (F.col("_cum") - F.col("_n")), F.lit(0)))
+    share = g.groupBy("_qid").agg((F.sum(take * F.col("_pos") / F.col("_n")) / F.sum(take)).alias("y_prob"))
+    res = qs.join(share, "_qid").select(*[F.col(c).alias("q_" + c) for c in cols], "y_prob")
+    cond = None
+    for col_ in cols:
+        e = te[col_].eqNullSafe(res["q_" + col_])
+        cond = e if cond is None else cond & e
+    out = te.join(res, cond).drop(*["q_" + c for c in cols])
+    return out.withColumn("prediction", (F.col("y_prob") > 0.5).cast("double"))
+
 def _stacking(train: DataFrame, test: DataFrame, cols: list[str], p: dict, seed: int) -> DataFrame:
     """G13m: out-of-fold base probabilities -> logistic meta model; base
     models refitted on all training rows for the test predictions."""

@@ -740,3 +740,35 @@ def q_within_group_corr(spark, sf):
 @register("between_group_corr", _group_corr_sql("between"))
 def q_between_group_corr(spark, sf):
     return M.rounded(J.between_group_corr(*_pairs_and_positions(spark, sf)))
+
+
+# --------------------------------------------------------------------------
+# G10m KNN: exact neighbours; the oracle is a brute-force distance table
+# --------------------------------------------------------------------------
+_KNN_COLS = ["n_received_hops", "mid_len", "spf_result"]
+
+
+def _knn_sql() -> str:
+    st = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _KNN_COLS)
+    sc = ", ".join(f"({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1.0 ELSE s_{c} END AS {c}" for c in _KNN_COLS)
+    dist = " + ".join(f"pow(q.{c} - t.{c}, 2)" for c in _KNN_COLS)
+    take = "least(n, greatest(5 - (cum - n), 0))"
+    return _FM + f""", f AS (SELECT *, {_FOLD_SQL} AS fold FROM feature_matrix),
+st AS (SELECT {st} FROM f WHERE fold <> 0),
+tr AS (SELECT label, {sc} FROM f, st WHERE fold <> 0),
+te AS (SELECT mail_id, {sc} FROM f, st WHERE fold = 0),
+dd AS (SELECT q.mail_id, round(sqrt({dist}), 9) AS d, count(*) AS n, sum(t.label) AS pos
+       FROM te q, tr t GROUP BY q.mail_id, d),
+w AS (SELECT *, sum(n) OVER (PARTITION BY mail_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+      FROM dd)
+SELECT mail_id, round(sum({take} * pos / n) / sum({take}), 6) AS y_prob FROM w GROUP BY mail_id"""
+
+
+@register("knn_predict", _knn_sql())
+def q_knn_predict(spark, sf):
+    folded = FO.stratified_folds(fx.feature_matrix(spark, sf), k=5, seed=42)
+    out = MD.knn_predict(folded.where("fold <> 0"), folded.where("fold = 0"), _KNN_COLS, k=5)
+    return M.rounded(out.select("mail_id", "y_prob"))
+
+
+register("knn_cv")(_cv("KNN"))
