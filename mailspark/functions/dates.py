@@ -121,8 +121,14 @@ def zone_seconds(tz: Column) -> Column:
     return F.when(v.isNotNull(), F.signum(v).cast("int") * ((a / 100).cast("int") * 3600 + (a % 100) * 60))
 
 
-def mail_epoch(s: Column) -> Column:
-    """Epoch seconds (UTC) of a mail date, null when unparsable."""
+# the common RFC 5322 spelling ("[Www, ]d Mon yyyy hh:mm:ss +zzzz [anything]"):
+# for these strings the lenient rules and a strict pattern agree, so they are
+# parsed by generated code; everything else takes the general tokenizer
+_STANDARD = (r"^\s*(?:[A-Za-z]{3},\s*)?(\d{1,2}) ([A-Za-z]{3}) ([1-9]\d{3}) (\d{2}:\d{2}:\d{2}) "
+             r"([+-](?:0\d|1[0-7])[0-5]\d)(?:\s.*)?$")
+
+
+def _general_epoch(s: Column) -> Column:
     def epoch(p: Column) -> Column:
         local = F.format_string("%04d-%02d-%02d %02d:%02d:%02d", p["yy"], p["mm"], p["dd"],
                                 p["hh"], p["mi"], p["ss"])
@@ -133,6 +139,14 @@ def mail_epoch(s: Column) -> Column:
     return let(mail_date_parts(s), epoch)
 
 
+def mail_epoch(s: Column) -> Column:
+    """Epoch seconds (UTC) of a mail date, null when unparsable."""
+    v = F.coalesce(s, F.lit(""))
+    core = F.concat_ws(" ", *[F.regexp_extract(v, _STANDARD, i) for i in range(1, 6)])
+    fast = F.unix_timestamp(F.try_to_timestamp(core, F.lit("d MMM yyyy HH:mm:ss Z"))).cast("double")
+    return F.when(v.rlike(_STANDARD), fast).otherwise(_general_epoch(s))
+
+
 def parse_mail_date(s: Column) -> Column:
     """B11 as TIMESTAMP (UTC)."""
     return F.timestamp_seconds(mail_epoch(s))

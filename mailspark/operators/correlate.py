@@ -1,8 +1,8 @@
 """2.J: Spearman correlation of features, group summaries, class profile.
 
 Ranks are average ranks (ties share the mean rank).  Each column's rank
-table is built from its distinct values (feature columns are small integer
-domains), joined back to the rows, and all pairwise Pearson correlations of
+table is built from its distinct values with an exact range-partitioned
+running count, joined back to the rows (AQE broadcasts small tables), and all pairwise Pearson correlations of
 the ranks are computed in a single aggregate.  The group summaries work on
 the small long-form correlation table (features x features rows).
 """
@@ -11,16 +11,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from mailspark.operators.numbering import cumulative_sum_by
+
 
 def average_ranks(df: DataFrame, columns: list[str], id_col: str = "mail_id") -> DataFrame:
     """``id_col`` plus ``r_<c>`` = average rank of each column's value (nulls keep null)."""
     out = df.select(id_col, *columns)
     for c in columns:
         d = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_cnt"))
-        w = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)  # over distinct values only
-        d = d.withColumn("r_" + c, F.coalesce(F.sum("_cnt").over(w), F.lit(0)) + (F.col("_cnt") + 1) / 2.0) \
-             .drop("_cnt")
-        out = out.join(F.broadcast(d), c, "left")
+        # rows before each distinct value: range-partitioned running sum (exact,
+        # no single-task window even for continuous columns)
+        d = cumulative_sum_by(d, [], [c], "_cnt", out="_before")
+        d = d.select(c, (F.col("_before") + (F.col("_cnt") + 1) / 2.0).alias("r_" + c))
+        out = out.join(d, c, "left")
     return out.select(id_col, *["r_" + c for c in columns])
 
 

@@ -210,3 +210,14 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[round_half_away(F.col(f.name), digits).alias(f.name)
                        if f.dataType.typeName() == "double" else F.col(f.name)
                        for f in df.schema.fields])
+
+
+RESULT_SCHEMA = ("dataset string, model_name string, feature_group string, n_features int, accuracy double, "
+                 "precision double, recall double, f1 double, auc double, brier_score double, ece double, "
+                 "train_time_s double, inference_ms_per_1k double")
+
+
+def metrics_to_frame(spark, rows: list[dict]) -> DataFrame:
+    """Metric rows (dicts) -> results table with a fixed schema; missing keys are null."""
+    names = [f.split()[0] for f in RESULT_SCHEMA.split(", ")]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], RESULT_SCHEMA)

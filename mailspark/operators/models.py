@@ -264,3 +264,15 @@ def fit_pipeline(df: DataFrame, cols: list[str], num_trees: int = 100, max_depth
                                                    maxDepth=max_depth, minInstancesPerNode=min_instances,
                                                    seed=seed)])
     return pipe.fit(df.withColumns({c: F.col(c).cast("double") for c in cols}))
+
+
+def split_predictions(df: DataFrame, cols: list[str], model: str, dataset: str, feature_group: str,
+                      test_size: float = 0.2, params: dict | None = None, seed: int = 42) -> DataFrame:
+    """G16m: single stratified hold-out split (train 80 %, evaluate 20 %);
+    the predictions carry ``fold = 0``."""
+    from mailspark.operators.folds import holdout_split
+    s = holdout_split(df, test_size, seed)
+    pred = fit_predict(model, s.where("is_test = 0"), s.where("is_test = 1"), cols, params, seed)
+    return pred.select(F.lit(dataset).alias("dataset"), F.lit(feature_group).alias("feature_group"),
+                       F.lit(model).alias("model_name"), F.lit(0).alias("fold"), "mail_id",
+                       F.col("label").cast("int").alias("y_true"), "y_pred", F.col("y_prob").cast("double"))

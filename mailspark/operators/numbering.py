@@ -40,3 +40,27 @@ def row_number_by(df: DataFrame, by: list[str], order: list[Column | str], out:
     r = r.join(F.broadcast(stats), ["_pid", *by])
     r = r.withColumn(out, (F.col("_off") + F.col("_loc")).cast("long"))
     return r.drop("_pid", "_loc", "_off", *tmp)
+
+
+def cumulative_sum_by(df: DataFrame, by: list[str], order: list[Column | str], value: str,
+                      out: str = "cum_before", num_partitions: int | None = None) -> DataFrame:
+    """Append ``out`` = sum of ``value`` over the rows of the same ``by``
+    group that come strictly before this row in ``order`` (ties must be
+    broken by ``order``).  Same scheme as :func:`row_number_by`: range
+    partitions, a running sum inside each (partition, group), offsets from
+    the per-partition totals; no task ever holds a whole group."""
+    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    n = num_partitions or max(df.sparkSession.sparkContext.defaultParallelism, 2)
+    tmp = [f"_o{i}" for i in range(len(order_cols))]
+    r = df.withColumns({t: c for t, c in zip(tmp, order_cols)})
+    r = r.repartitionByRange(n, *[F.col(b) for b in by], *[F.col(t) for t in tmp]) \
+         .withColumn("_pid", F.spark_partition_id())
+    local = Window.partitionBy("_pid", *by).orderBy(*[F.col(t) for t in tmp]) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    checkpoint_dir(df.sparkSession)
+    r = r.withColumn("_in", F.coalesce(F.sum(value).over(local), F.lit(0))).checkpoint(eager=True)
+    stats = r.groupBy("_pid", *by).agg(F.sum(value).alias("_tot"))
+    w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.withColumn("_off", F.coalesce(F.sum("_tot").over(w), F.lit(0))).drop("_tot")
+    r = r.join(F.broadcast(stats), ["_pid", *by])
+    return r.withColumn(out, F.col("_off") + F.col("_in")).drop("_pid", "_in", "_off", *tmp)
