@@ -185,17 +185,25 @@ def count_addresses(v: Column) -> Column:
     return F.regexp_count(F.coalesce(v, F.lit("")), F.lit(EMAIL_ADDR_RE))
 
 
-def auth_result(ha: Column, protocol: str) -> Column:
-    """First ``protocol=token`` over Authentication-Results then
-    ARC-Authentication-Results values (lower-cased), trailing ';,' removed;
-    null when no value carries one.  ``ha`` is the fast header form."""
-    vals = F.concat(all_of(ha, "Authentication-Results"), all_of(ha, "ARC-Authentication-Results"))
+def auth_values(ha: Column) -> Column:
+    """Authentication-Results values followed by ARC-Authentication-Results values."""
+    return F.concat(all_of(ha, "Authentication-Results"), all_of(ha, "ARC-Authentication-Results"))
+
+
+def auth_token(vals: Column, protocol: str) -> Column:
+    """First ``protocol=token`` over ``vals`` (lower-cased), trailing ';,'
+    removed; null when no value carries one."""
     pat = protocol + r"\s*=\s*(\S+)"
     toks = F.filter(F.transform(vals, lambda v: F.regexp_extract(F.lower(v), pat, 1)),
                     lambda t: t != "")
     return F.rtrim(F.get(toks, 0), F.lit(";,"))
 
 
+def auth_result(ha: Column, protocol: str) -> Column:
+    """The protocol's result token of a mail (``ha`` = fast header form)."""
+    return auth_token(auth_values(ha), protocol)
+
+
 def encode_auth_wide(tok: Column) -> Column:
     """Contains pass -> 1; fail or reject -> -1; else (or null) 0."""
     t = F.lower(tok)

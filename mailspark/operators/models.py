@@ -18,6 +18,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -26,11 +27,11 @@ from mailspark.functions.headers import sigmoid
 MODEL_NAMES = ["RF", "SVM", "MLP", "KNN", "Stacking", "OC_SVM"]
 DEFAULTS = {
     "RF": {"numTrees": 100, "maxDepth": 20},
-    "SVM": {"C": 1.0, "n_components": 256, "gamma": None},
+    "SVM": {"C": 1.0, "n_components": 256, "gamma": None, "calibration": "sigmoid"},
     "MLP": {"hidden": [100, 50], "maxIter": 300},
     "OC_SVM": {"nu": 0.1, "n_components": 256, "gamma": None},
     "KNN": {"k": 5},
-    "Stacking": {"base": ["RF", "MLP", "KNN"], "inner_folds": 5},
+    "Stacking": {"base": ["RF", "MLP", "KNN"], "inner_folds": 5, "passthrough": False},
 }
 
 
@@ -92,14 +93,20 @@ def fit_predict(model: str, train: DataFrame, test: DataFrame, cols: list[str],
         n = trf.count()
         svc = LinearSVC(labelCol="label", featuresCol="features", regParam=1.0 / (p["C"] * max(n, 1)), maxIter=100)
         m = svc.fit(trf)
-        # Platt scaling: a one-feature logistic fit on the decision values
-        dec_tr = m.transform(trf).withColumn("d", vector_to_array("rawPrediction")[1])
-        platt = LogisticRegression(labelCol="label", featuresCol="features", regParam=0.0).fit(
-            VectorAssembler(inputCols=["d"], outputCol="features").transform(
-                dec_tr.drop("features", "rawPrediction", "prediction")))
-        dec_te = m.transform(tef).withColumn("d", vector_to_array("rawPrediction")[1])
-        out = _prob1(platt.transform(VectorAssembler(inputCols=["d"], outputCol="features")
-                                     .transform(dec_te.drop("features", "rawPrediction", "prediction"))))
+        # calibration of the decision values: Platt (one-feature logistic fit)
+        # or isotonic regression, both fitted on the training rows
+        dec_tr = m.transform(trf).withColumn("d", vector_to_array("rawPrediction")[1]) \
+            .drop("features", "rawPrediction", "prediction")
+        dec_te = m.transform(tef).withColumn("d", vector_to_array("rawPrediction")[1]) \
+            .drop("features", "rawPrediction", "prediction")
+        if p["calibration"] == "isotonic":
+            iso = IsotonicRegression(labelCol="label", featuresCol="d", predictionCol="y_prob").fit(
+                dec_tr.withColumn("label", F.col("label").cast("double")))
+            out = iso.transform(dec_te).withColumn("prediction", (F.col("y_prob") >= 0.5).cast("double"))
+        else:
+            va = VectorAssembler(inputCols=["d"], outputCol="features")
+            platt = LogisticRegression(labelCol="label", featuresCol="features", regParam=0.0).fit(va.transform(dec_tr))
+            out = _prob1(platt.transform(va.transform(dec_te)))
     elif model == "OC_SVM":
         # one-class: RFF mean embedding of ham rows; score = <z, mu> - rho,
         # rho = nu-quantile of the training scores; outlier (score < 0) -> 1
@@ -221,8 +228,10 @@ def _stacking(train: DataFrame, test: DataFrame, cols: list[str], p: dict, seed:
         for q in parts[1:]:
             u = u.unionByName(q)
         oof = u if oof is None else oof.join(u, "mail_id")
-    meta_in = tr.select("mail_id", "label").join(oof, "mail_id")
-    base_cols = ["p_" + b for b in p["base"]]
+    # passthrough: the meta model also sees the original features
+    extra = cols if p.get("passthrough") else []
+    meta_in = tr.select("mail_id", "label", *extra).join(oof, "mail_id")
+    base_cols = ["p_" + b for b in p["base"]] + extra
     meta = LogisticRegression(labelCol="label", featuresCol="features").fit(_vec(meta_in, base_cols))
     te = test
     for b in p["base"]:

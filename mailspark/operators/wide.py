@@ -97,9 +97,10 @@ def header_values(df: DataFrame, headers_col: str = "ha") -> DataFrame:
     cols["names"] = h["names_lc"]
     for name in PRESENCE_HEADERS:
         cols["p_" + presence_name(name)] = H.has(h, name)
-    for proto in ("spf", "dkim", "dmarc"):
-        cols["tok_" + proto] = H.auth_result(h, proto)
-    return df.withColumns(cols)
+    cols["auth_vals"] = H.auth_values(h)
+    df = df.withColumns(cols)
+    # the three tokens read one shared list of authentication values
+    return df.withColumns({"tok_" + p: H.auth_token(F.col("auth_vals"), p) for p in ("spf", "dkim", "dmarc")})
 
 
 def _domain_features() -> dict[str, Column]:
