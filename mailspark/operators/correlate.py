@@ -15,15 +15,21 @@ from mailspark.operators.numbering import cumulative_sum_by
 
 
 def average_ranks(df: DataFrame, columns: list[str], id_col: str = "mail_id") -> DataFrame:
-    """``id_col`` plus ``r_<c>`` = average rank of each column's value (nulls keep null)."""
-    out = df.select(id_col, *columns)
+    """``id_col`` plus ``r_<c>`` = average rank of each column's value (nulls keep null).
+
+    All columns are ranked in one pass: the (column, value) counts of the
+    unpivoted table get an exact range-partitioned running count per column
+    (no single-task window even for continuous columns), then each column's
+    rank table is joined back on its value."""
+    long = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in columns]) \
+        .unpivot([id_col], columns, "_col", "_val").where(F.col("_val").isNotNull())
+    d = long.groupBy("_col", "_val").agg(F.count(F.lit(1)).alias("_cnt"))
+    d = cumulative_sum_by(d, ["_col"], ["_val"], "_cnt", out="_before")
+    d = d.select("_col", "_val", (F.col("_before") + (F.col("_cnt") + 1) / 2.0).alias("_rank"))
+    out = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in columns])
     for c in columns:
-        d = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_cnt"))
-        # rows before each distinct value: range-partitioned running sum (exact,
-        # no single-task window even for continuous columns)
-        d = cumulative_sum_by(d, [], [c], "_cnt", out="_before")
-        d = d.select(c, (F.col("_before") + (F.col("_cnt") + 1) / 2.0).alias("r_" + c))
-        out = out.join(d, c, "left")
+        rc = d.where(F.col("_col") == c).select(F.col("_val").alias(c), F.col("_rank").alias("r_" + c))
+        out = out.join(rc, c, "left")
     return out.select(id_col, *["r_" + c for c in columns])
 
 

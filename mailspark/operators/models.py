@@ -35,6 +35,11 @@ DEFAULTS = {
 }
 
 
+# deep trees: keep node ids with the cached training rows (checkpointed every
+# 10 levels in the shared checkpoint folder) and split more nodes per pass
+RF_TRAINING = {"cacheNodeIds": True, "maxMemoryInMB": 1024, "checkpointInterval": 10}
+
+
 def _scaled(train: DataFrame, test: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
     """G3m on a train/test pair: population mean/std of the training rows."""
     row = train.agg(*[F.avg(F.col(c).cast("double")).alias("m_" + c) for c in cols],
@@ -76,7 +81,7 @@ def fit_predict(model: str, train: DataFrame, test: DataFrame, cols: list[str],
     if model == "RF":
         rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=p["numTrees"],
                                     maxDepth=min(p["maxDepth"] or 30, 30), featureSubsetStrategy="sqrt",
-                                    seed=seed)
+                                    seed=seed, **RF_TRAINING)
         m = rf.fit(_vec(train, cols))
         out = _prob1(m.transform(_vec(test, cols)))
     elif model == "MLP":
@@ -271,7 +276,7 @@ def fit_pipeline(df: DataFrame, cols: list[str], num_trees: int = 100, max_depth
     pipe = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep"),
                             RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=num_trees,
                                                    maxDepth=max_depth, minInstancesPerNode=min_instances,
-                                                   seed=seed)])
+                                                   seed=seed, **RF_TRAINING)])
     return pipe.fit(df.withColumns({c: F.col(c).cast("double") for c in cols}))
 
 
