@@ -130,9 +130,10 @@ _STANDARD = (r"^\s*(?:[A-Za-z]{3},\s*)?(\d{1,2}) ([A-Za-z]{3}) ([1-9]\d{3}) (\d{
 
 def _general_epoch(s: Column) -> Column:
     def epoch(p: Column) -> Column:
-        local = F.format_string("%04d-%02d-%02d %02d:%02d:%02d", p["yy"], p["mm"], p["dd"],
+        # explicit +0000: the wall clock is read as UTC whatever the session zone
+        local = F.format_string("%04d-%02d-%02d %02d:%02d:%02d +0000", p["yy"], p["mm"], p["dd"],
                                 p["hh"], p["mi"], p["ss"])
-        ts = F.try_to_timestamp(local, F.lit("yyyy-MM-dd HH:mm:ss"))
+        ts = F.try_to_timestamp(local, F.lit("yyyy-MM-dd HH:mm:ss Z"))
         off = F.coalesce(zone_seconds(p["tz"]), F.lit(0))
         return F.when(p.isNotNull() & (p["yy"] >= 1) & (p["yy"] <= 9999),
                       F.unix_timestamp(ts).cast("double") - off)
@@ -155,4 +156,5 @@ def parse_mail_date(s: Column) -> Column:
 def date_to_utc_iso(s: Column) -> Column:
     """Mail date as ``yyyy-MM-ddTHH:mm:ss+00:00``; naive = UTC; bad = now."""
     ts = F.coalesce(parse_mail_date(s), F.date_trunc("second", F.current_timestamp()))
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    # render the UTC wall clock independently of the session time zone
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
