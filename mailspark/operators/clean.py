@@ -8,9 +8,11 @@ values, so the map stays small even at very large row counts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from mailspark.operators.numbering import row_number_by
+
 # --- fixed values: name fragments the reference treats as "count" columns --
 COUNT_MARKERS = ["count", "n_", "len", "hops", "hop"]
 AUTH_MARKERS = ["spf", "dkim", "dmarc", "auth"]
@@ -34,8 +36,10 @@ def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
     the sorted distinct values (null stays null)."""
     out = df
     for c in columns:
-        codes = df.select(c).where(F.col(c).isNotNull()).distinct() \
-            .withColumn("_code", (F.dense_rank().over(Window.orderBy(c)) - 1).cast("int"))
+        # dense rank = row number over the distinct values (range-partitioned,
+        # so even a high-cardinality column never sorts in one task)
+        distinct = df.select(c).where(F.col(c).isNotNull()).distinct()
+        codes = row_number_by(distinct, [], [c], out="_rn").select(c, (F.col("_rn") - 1).cast("int").alias("_code"))
         out = out.join(codes, c, "left").drop(c).withColumnRenamed("_code", c)
     return out.select(*df.columns)
 

@@ -772,3 +772,15 @@ def q_knn_predict(spark, sf):
 
 
 register("knn_cv")(_cv("KNN"))
+
+
+@register("score_stream")
+def q_score_stream(spark, sf):
+    """Request files scored by a Structured Streaming query (available-now
+    trigger, checkpointed); returns what the stream wrote."""
+    from mailspark.streaming.score_stream import start_scoring
+    in_dir, out_dir, ck = (scratch_dir(spark, x) for x in ("requests", "scored", "stream-ck"))
+    _requests(spark, sf).write.json(in_dir)
+    q = start_scoring(spark, _served_model(spark, sf), in_dir, out_dir, ck, multiline=False)
+    q.awaitTermination()
+    return spark.read.parquet(out_dir)
