@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mailspark.functions import headers as H
+from mailspark.functions import per_context
 from mailspark.functions.dates import mail_epoch
 from mailspark.operators.numbering import row_number_by
 
@@ -72,12 +73,22 @@ def compact_columns(ha: Column) -> dict[str, Column]:
     return f
 
 
+@per_context
+def _arrays(raw_col: str):
+    return H.header_arrays(F.col(raw_col))
+
+
+@per_context
+def _compact_columns_cached(ha_col: str):
+    return compact_columns(F.col(ha_col))
+
+
 def compact_features(raw_mail: DataFrame, raw_col: str = "raw",
                      keep: tuple[str, ...] = ("mail_id", "label")) -> DataFrame:
     """D1 + D2: ``keep`` columns + 24 feature columns (+ decoded date / message id)."""
     keep = tuple(k for k in keep if k in raw_mail.columns)
-    df = raw_mail.select(*keep, H.header_arrays(F.col(raw_col)).alias("ha"))
-    cols = compact_columns(F.col("ha"))
+    df = raw_mail.select(*keep, _arrays(raw_col).alias("ha"))
+    cols = _compact_columns_cached("ha")
     return df.select(*keep, *[cols[c].alias(c) for c in COMPACT_FEATURES],
                      cols["_date"].alias("date"), cols["_message_id"].alias("message_id"))
 

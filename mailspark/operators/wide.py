@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mailspark.functions import headers as H
+from mailspark.functions import per_context
 from mailspark.functions.dates import mail_epoch
 
 # --- fixed values: header names of the presence group, in output order ----
@@ -91,6 +92,13 @@ def _i(c: Column) -> Column:
 def header_values(df: DataFrame, headers_col: str = "ha") -> DataFrame:
     """Stage 2: header values, Received list, presence flags and auth tokens
     (``headers_col`` holds the fast parallel-array form)."""
+    cols, toks = _value_columns(headers_col)
+    # the three tokens read one shared list of authentication values
+    return df.withColumns(cols).withColumns(toks)
+
+
+@per_context
+def _value_columns(headers_col: str):
     h = F.col(headers_col)
     cols = {k: H.first_of(h, v) for k, v in _VALUES.items()}
     cols["recv"] = H.all_of(h, "Received")
@@ -98,11 +106,10 @@ def header_values(df: DataFrame, headers_col: str = "ha") -> DataFrame:
     for name in PRESENCE_HEADERS:
         cols["p_" + presence_name(name)] = H.has(h, name)
     cols["auth_vals"] = H.auth_values(h)
-    df = df.withColumns(cols)
-    # the three tokens read one shared list of authentication values
-    return df.withColumns({"tok_" + p: H.auth_token(F.col("auth_vals"), p) for p in ("spf", "dkim", "dmarc")})
+    return cols, {"tok_" + p: H.auth_token(F.col("auth_vals"), p) for p in ("spf", "dkim", "dmarc")}
 
 
+@per_context
 def _domain_features() -> dict[str, Column]:
     def dom(c: str) -> Column:
         return H.normalize_domain(H.extract_domain(F.col(c)))
@@ -121,6 +128,7 @@ def _domain_features() -> dict[str, Column]:
             "matched": F.filter(recv, lambda r: H.received_from(r) != "")}
 
 
+@per_context
 def _features() -> dict[str, Column]:
     c = F.col
     fd, rd, pd, ed, td, md, xd = (c(x) for x in ("d_from", "d_reply", "d_rpath", "d_env",
@@ -213,6 +221,7 @@ def _features() -> dict[str, Column]:
     return f
 
 
+@per_context
 def _epochs() -> dict[str, Column]:
     date_v = F.coalesce(F.col("v_date"), F.lit(""))
     last = F.element_at(F.col("recv"), -1)
@@ -221,13 +230,18 @@ def _epochs() -> dict[str, Column]:
     return {"e_date": F.when(date_v != "", mail_epoch(date_v)), "e_recv": mail_epoch(after)}
 
 
+@per_context
+def _arrays(raw_col: str):
+    return H.header_arrays(F.col(raw_col))
+
+
 def wide_features(raw_mail: DataFrame, raw_col: str = "raw",
                   keep: tuple[str, ...] = ("mail_id", "label"),
                   columns: list[str] | None = None) -> DataFrame:
     """C-ALL: ``keep`` columns + the 81 features (or the requested subset)."""
     keep = tuple(k for k in keep if k in raw_mail.columns)
     wanted = columns or WIDE_FEATURES
-    df = raw_mail.select(*keep, H.header_arrays(F.col(raw_col)).alias("ha"))
+    df = raw_mail.select(*keep, _arrays(raw_col).alias("ha"))
     df = header_values(df)
     df = df.withColumns(_domain_features()).withColumns(_epochs())
     feats = _features()
