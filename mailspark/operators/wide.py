@@ -106,7 +106,12 @@ def _value_columns(headers_col: str):
     for name in PRESENCE_HEADERS:
         cols["p_" + presence_name(name)] = H.has(h, name)
     cols["auth_vals"] = H.auth_values(h)
-    return cols, {"tok_" + p: H.auth_token(F.col("auth_vals"), p) for p in ("spf", "dkim", "dmarc")}
+    second = {"tok_" + p: H.auth_token(F.col("auth_vals"), p) for p in ("spf", "dkim", "dmarc")}
+    # every Received hop parsed once: from / by hosts, first zone offset, IPv4s
+    second["hops"] = F.transform(F.col("recv"), lambda r: F.struct(
+        H.received_from(r).alias("frm"), H.received_by(r).alias("by"),
+        H.tz_offset(r).alias("tz"), H.ipv4_all(r).alias("ips")))
+    return cols, second
 
 
 @per_context
@@ -118,14 +123,13 @@ def _domain_features() -> dict[str, Column]:
     ed, td = dom("v_envelope_to"), dom("v_to")
     mid = F.coalesce(F.col("v_mid"), F.lit(""))
     md = F.when(F.instr(mid, "@") > 0, H.normalize_domain(H.extract_domain(mid))).otherwise("")
-    last = F.element_at(F.col("recv"), -1)
-    xd = F.when(F.size("recv") > 0, H.normalize_domain(H.received_from(last))).otherwise("")
-    recv = F.col("recv")
+    hops = F.col("hops")
+    xd = F.when(F.size(hops) > 0, H.normalize_domain(F.element_at(hops, -1)["frm"])).otherwise("")
     return {"d_from": fd, "d_reply": rd, "d_rpath": pd, "d_env": ed, "d_to": td,
             "d_mid": md, "d_recv": xd,
-            "ips": F.flatten(F.transform(recv, H.ipv4_all)),
-            "tzs": F.filter(F.transform(recv, H.tz_offset), lambda t: t.isNotNull()),
-            "matched": F.filter(recv, lambda r: H.received_from(r) != "")}
+            "ips": F.flatten(F.transform(hops, lambda h: h["ips"])),
+            "tzs": F.filter(F.transform(hops, lambda h: h["tz"]), lambda t: t.isNotNull()),
+            "matched": F.filter(hops, lambda h: h["frm"] != "")}
 
 
 @per_context
@@ -158,7 +162,7 @@ def _features() -> dict[str, Column]:
     n = F.size(recv)
     ips, tzs, matched = c("ips"), c("tzs"), c("matched")
     n_tz = F.size(F.array_distinct(tzs))
-    hosts = F.flatten(F.transform(matched, lambda r: F.array(H.received_from(r), H.received_by(r))))
+    hosts = F.flatten(F.transform(matched, lambda h: F.array(h["frm"], h["by"])))
     f["n_received_hops"] = _i(n)
     f["missing_received"] = _i(n == 0)
     f["malformed_received_hops"] = _i(n - F.size(matched))
