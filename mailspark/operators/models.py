@@ -88,7 +88,10 @@ def fit_predict(model: str, train: DataFrame, test: DataFrame, cols: list[str],
         tr, te = _scaled(train, test, cols)
         mlp = MultilayerPerceptronClassifier(labelCol="label", featuresCol="features",
                                              layers=[len(cols), *p["hidden"], 2], maxIter=p["maxIter"], seed=seed)
-        m = mlp.fit(_vec(tr, cols))
+        # L-BFGS makes one pass per iteration: assemble the training rows once
+        vec = _vec(tr, cols).select("label", "features").cache()
+        m = mlp.fit(vec)
+        vec.unpersist()
         out = _prob1(m.transform(_vec(te, cols)))
     elif model == "SVM":
         tr, te = _scaled(train, test, cols)
