@@ -17,21 +17,36 @@ from mailspark.operators.folds import stratified_folds
 
 def run_matrix(spark: SparkSession, tables: dict[str, DataFrame], groups=("G6",), models=("RF",),
                k: int = 5, seed: int = 42, importance: DataFrame | None = None,
-               params: dict | None = None) -> dict[str, DataFrame]:
-    """Returns ``predictions``, ``results`` (fold means / stds + timings) and ``failures``."""
-    preds, timings, failures = [], [], []
+               params: dict | None = None, parallel_cells: int = 1) -> dict[str, DataFrame]:
+    """Returns ``predictions``, ``results`` (fold means / stds + timings) and ``failures``.
+
+    ``parallel_cells`` > 1 submits cells from a thread pool: each cell is a
+    chain of small Spark jobs, and concurrent jobs keep the executors busy
+    (results do not depend on it; per-fold times then overlap)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    preds, timings, failures, cells = [], [], [], []
     for ds, table in tables.items():
         folded = stratified_folds(table, k=k, seed=seed).cache()
         for g in groups:
             cols = G.group_columns(g, [c for c in table.columns if c not in ("mail_id", "label")], importance)
-            if not cols:
-                continue
-            for m in models:
-                try:
-                    preds.append(MD.cv_predictions(folded, cols, m, ds, g, k, (params or {}).get(m), seed,
-                                                   timings).withColumn("n_features", F.lit(len(cols))))
-                except Exception as e:  # noqa: BLE001 - a failed cell is logged and skipped
-                    failures.append((ds, g, m, repr(e)[:500]))
+            if cols:
+                cells.extend((ds, folded, g, cols, m) for m in models)
+
+    def run(cell):
+        ds, folded, g, cols, m = cell
+        try:
+            p = MD.cv_predictions(folded, cols, m, ds, g, k, (params or {}).get(m), seed, timings)
+            return p.withColumn("n_features", F.lit(len(cols))), None
+        except Exception as e:  # noqa: BLE001 - a failed cell is logged and skipped
+            return None, (ds, g, m, repr(e)[:500])
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel_cells)) as pool:
+        for p, fail in pool.map(run, cells):
+            if p is not None:
+                preds.append(p)
+            if fail is not None:
+                failures.append(fail)
     pred = preds[0]
     for p in preds[1:]:
         pred = pred.unionByName(p)

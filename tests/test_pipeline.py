@@ -84,7 +84,7 @@ def test_synthetic_separates_and_rf_learns(spark):
 
 def test_experiment_matrix_and_importance(spark):
     a = generate_synthetic(spark, 150, 150, "A")
-    out = run_matrix(spark, {"A": a}, groups=("G8",), models=("RF", "OC_SVM"), k=3,
+    out = run_matrix(spark, {"A": a}, groups=("G8",), models=("RF", "OC_SVM"), k=3, parallel_cells=2,
                      params={"RF": {"numTrees": 20, "maxDepth": 8}, "OC_SVM": {"n_components": 32}})
     res = {r["model_name"]: r for r in out["results"].collect()}
     assert set(res) == {"RF", "OC_SVM"} and res["RF"]["n_features"] == 5
