@@ -18,7 +18,8 @@ def per_context(fn):
         sc = SparkContext._active_spark_context
         key = (id(sc), args)
         if key not in cache:
-            cache.clear() if cache and next(iter(cache))[0] != id(sc) else None
+            if cache and next(iter(cache))[0] != id(sc):
+                cache.clear()  # a new context: expressions of the old one are stale
             cache[key] = fn(*args)
         return cache[key]
     return wrapper

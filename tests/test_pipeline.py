@@ -1,8 +1,5 @@
 """Sources, numbering, cleaning, models, scoring stream = batch."""
 
-import os
-
-import pytest
 from pyspark.sql import Window, functions as F
 
 from conftest import SF_SMALL
@@ -97,7 +94,6 @@ def test_experiment_matrix_and_importance(spark):
 
 def test_stream_scoring_equals_batch(spark):
     from mailspark.operators.score import score_v1, documents_as_requests, detection_rate
-    from mailspark.sinks import write_documents
     from mailspark.streaming.score_stream import start_scoring
     train = fallback_training_table(spark, 400)
     model = MD.fit_pipeline(train, CP.COMPACT_FEATURES, num_trees=10, max_depth=5)

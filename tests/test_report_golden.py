@@ -4,7 +4,6 @@ import os
 import re
 
 import pytest
-from pyspark.sql import Window, functions as F
 
 from mailspark.operators import report as R
 
