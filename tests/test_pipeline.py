@@ -50,6 +50,11 @@ def test_mbox_split(spark, tmp_path):
     assert [r["mail_id"] for r in got] == ["phishing-2020_00000", "phishing-2020_00001"]
     assert got[0]["raw"] == "Subject: one\n\nbody1\n"
     assert got[1]["raw"].startswith("Subject: two\n")
+    q = tmp_path / "junk" / "phishing-2021.txt"
+    q.parent.mkdir()
+    q.write_text("stray preamble\nmore\nFrom a@x Mon Jan  1 00:00:00 2021\nSubject: only\n\nbody\n")
+    got = ML.read_mbox(spark, str(q)).collect()
+    assert [(r["mail_id"], r["raw"]) for r in got] == [("phishing-2021_00000", "Subject: only\n\nbody\n")]
 
 
 def test_clean_and_encode_traps(spark):
