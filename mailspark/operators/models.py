@@ -27,7 +27,7 @@ from mailspark.functions.headers import sigmoid
 MODEL_NAMES = ["RF", "SVM", "MLP", "KNN", "Stacking", "OC_SVM"]
 DEFAULTS = {
     "RF": {"numTrees": 100, "maxDepth": 20},
-    "SVM": {"C": 1.0, "n_components": 256, "gamma": None, "calibration": "sigmoid"},
+    "SVM": {"C": 1.0, "n_components": 256, "gamma": None, "calibration": "sigmoid", "calibration_cv": 0},
     "MLP": {"hidden": [100, 50], "maxIter": 300},
     "OC_SVM": {"nu": 0.1, "n_components": 256, "gamma": None},
     "KNN": {"k": 5},
@@ -97,24 +97,25 @@ def fit_predict(model: str, train: DataFrame, test: DataFrame, cols: list[str],
         tr, te = _scaled(train, test, cols)
         gamma = p["gamma"] or 1.0 / max(len(cols), 1)
         trf, tef = _rff(tr, cols, p["n_components"], gamma, seed), _rff(te, cols, p["n_components"], gamma, seed)
-        trf = trf.select("label", "features").cache()  # iterative solver: project once
-        n = trf.count()
-        svc = LinearSVC(labelCol="label", featuresCol="features", regParam=1.0 / (p["C"] * max(n, 1)), maxIter=100)
-        m = svc.fit(trf)
-        # calibration of the decision values: Platt (one-feature logistic fit)
-        # or isotonic regression, both fitted on the training rows
-        dec_tr = m.transform(trf).withColumn("d", vector_to_array("rawPrediction")[1]) \
-            .drop("features", "rawPrediction", "prediction")
-        dec_te = m.transform(tef).withColumn("d", vector_to_array("rawPrediction")[1]) \
-            .drop("features", "rawPrediction", "prediction")
-        if p["calibration"] == "isotonic":
-            iso = IsotonicRegression(labelCol="label", featuresCol="d", predictionCol="y_prob").fit(
-                dec_tr.withColumn("label", F.col("label").cast("double")))
-            out = iso.transform(dec_te).withColumn("prediction", (F.col("y_prob") >= 0.5).cast("double"))
+        keep = [c for c in ("mail_id",) if c in trf.columns]
+        trf = trf.select(*keep, "label", "features").cache()  # iterative solver: project once
+        k = p.get("calibration_cv") or 0
+        if k > 1 and keep:
+            # the reference's cross-validated calibration: k fits, each
+            # calibrated on its held-out part, probabilities averaged
+            from mailspark.operators.folds import stratified_folds
+            inner = stratified_folds(trf, k=k, seed=seed, salt="calibration").cache()
+            parts = [_svm_probability(inner.where(F.col("fold") != f).drop("fold"),
+                                      inner.where(F.col("fold") == f).drop("fold"), tef, p)
+                     .select("mail_id", "y_prob") for f in range(k)]
+            avg = parts[0]
+            for q in parts[1:]:
+                avg = avg.unionByName(q)
+            avg = avg.groupBy("mail_id").agg(F.avg("y_prob").alias("y_prob"))
+            out = tef.drop("features").join(avg, "mail_id") \
+                .withColumn("prediction", (F.col("y_prob") > 0.5).cast("double"))
         else:
-            va = VectorAssembler(inputCols=["d"], outputCol="features")
-            platt = LogisticRegression(labelCol="label", featuresCol="features", regParam=0.0).fit(va.transform(dec_tr))
-            out = _prob1(platt.transform(va.transform(dec_te)))
+            out = _svm_probability(trf, trf, tef, p)
     elif model == "OC_SVM":
         # one-class: RFF mean embedding of ham rows; score = <z, mu> - rho,
         # rho = nu-quantile of the training scores; outlier (score < 0) -> 1
@@ -141,6 +142,27 @@ def fit_predict(model: str, train: DataFrame, test: DataFrame, cols: list[str],
     return out.withColumn("y_pred", F.col("prediction").cast("int"))
 
 
+def _svm_probability(fit_rows: DataFrame, cal_rows: DataFrame, score_rows: DataFrame, p: dict) -> DataFrame:
+    """LinearSVC on RFF features fitted on ``fit_rows``; its decision values
+    calibrated on ``cal_rows`` with Platt (one-feature logistic fit) or
+    isotonic regression; returns ``score_rows`` with ``y_prob`` / ``prediction``."""
+    n = fit_rows.count()
+    svc = LinearSVC(labelCol="label", featuresCol="features", regParam=1.0 / (p["C"] * max(n, 1)), maxIter=100)
+    m = svc.fit(fit_rows)
+
+    def dec(df):
+        return m.transform(df).withColumn("d", vector_to_array("rawPrediction")[1]) \
+            .drop("features", "rawPrediction", "prediction")
+    dec_cal, dec_te = dec(cal_rows), dec(score_rows)
+    if p["calibration"] == "isotonic":
+        iso = IsotonicRegression(labelCol="label", featuresCol="d", predictionCol="y_prob").fit(
+            dec_cal.withColumn("label", F.col("label").cast("double")))
+        return iso.transform(dec_te).withColumn("prediction", (F.col("y_prob") >= 0.5).cast("double"))
+    va = VectorAssembler(inputCols=["d"], outputCol="features")
+    platt = LogisticRegression(labelCol="label", featuresCol="features", regParam=0.0).fit(va.transform(dec_cal))
+    return _prob1(platt.transform(va.transform(dec_te)))
+
+
 def knn_predict(train: DataFrame, test: DataFrame, cols: list[str], k: int = 5, n_buckets: int = 1024,
                 seed: int = 42) -> DataFrame:
     """G10m: exact k-nearest-neighbour class share (Euclidean, scaled features).
