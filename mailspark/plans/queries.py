@@ -784,3 +784,10 @@ def q_score_stream(spark, sf):
     q = start_scoring(spark, _served_model(spark, sf), in_dir, out_dir, ck, multiline=False)
     q.awaitTermination()
     return spark.read.parquet(out_dir)
+
+
+@register("rfecv")
+def q_rfecv(spark, sf):
+    """I4: recursive elimination with 5-fold CV (50-tree forests), the score per size."""
+    _, table = IM.rfecv(_imputed_fm(spark, sf), _MODEL_COLS, k=5, step=1, min_features=1, num_trees=50)
+    return table
