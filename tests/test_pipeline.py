@@ -119,3 +119,18 @@ def test_stream_scoring_equals_batch(spark):
     c.awaitTermination(300)
     counts = {r["prediction"]: r["n"] for r in spark.sql("SELECT * FROM mail_counts").collect()}
     assert counts.get("malicious", 0) == rate["malicious"]
+
+
+def test_build_and_prepare_datasets(spark, tmp_path):
+    from mailspark.plans.dataset import build_dataset, prepare_datasets
+    for cls, n in (("ham", 4), ("spam", 3)):
+        d = tmp_path / "A" / cls
+        d.mkdir(parents=True)
+        for i in range(n):
+            extra = "Reply-To: x@other.example\n" if cls == "spam" else ""
+            (d / f"{i}.eml").write_text(f"From: u{i}@corp.example\n{extra}Subject: s{i}\n\nbody\n")
+    table, dropped = build_dataset(spark, str(tmp_path / "A"), "A", out_path=str(tmp_path / "out"))
+    assert table.count() == 7 and "label" in table.columns and "has_from" in dropped
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 7
+    ds = prepare_datasets(spark, {"A": str(tmp_path / "A")}, n_ham=20, n_spam=20)
+    assert ds["A"].count() == 7 and ds["B"].count() == 20
