@@ -1,5 +1,6 @@
 """Sources, numbering, cleaning, models, scoring stream = batch."""
 
+import pytest
 from pyspark.sql import Window, functions as F
 
 from conftest import SF_SMALL
@@ -134,3 +135,13 @@ def test_build_and_prepare_datasets(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 7
     ds = prepare_datasets(spark, {"A": str(tmp_path / "A")}, n_ham=20, n_spam=20)
     assert ds["A"].count() == 7 and ds["B"].count() == 20
+
+
+@pytest.mark.parametrize("params", [{"calibration": "isotonic"}, {"calibration": "sigmoid", "calibration_cv": 3}])
+def test_svm_calibrations(spark, params):
+    a = generate_synthetic(spark, 120, 120, "A")
+    cols = ["reply_to_present_and_differs", "spf_result", "n_received_hops", "x_spam_score"]
+    p = MD.split_predictions(a, cols, "SVM", "A", "x", params={"n_components": 16, **params})
+    m = M.classification_metrics(p, keys=["model_name"]).first()
+    assert m["n"] == 48 and m["accuracy"] >= 0.8
+    assert p.where("y_prob < 0 OR y_prob > 1").count() == 0
