@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LABELLERS = ("words", "variety", "symbols", "capitals", "shouts", "endings", "repeats", "word_length", "bars")
+LABELLERS = ("clean_words", "variety", "symbols", "capitals", "shouts", "endings", "repeats", "sentences", "bars")
 TRAIN_ROWS = 6000
 DIM = 1 << 14
 ROUNDS = 60
@@ -35,6 +35,9 @@ MEMO_WORDS = 400_000
 _UPPER = bytes(range(65, 91))
 _SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\v\f\r"
+_LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
+#: what may be left of a clean word without its letters
+_MARKS = frozenset((b"", b".", b",", b";", b":", b"!", b"?", b"'", b"-", b"\"\"", b"()"))
 _ENDS = (b".", b"!", b"?", b'"', b")", b":")
 _SHAPE = bytes(88 if 65 <= b <= 90 else 120 if 97 <= b <= 122 else 57 if 48 <= b <= 57 else 117 if b >= 128 else b
                for b in range(256))
@@ -56,14 +59,15 @@ def votes(raw: bytes, words: list[bytes]) -> str:
     lines = [x for x in raw.split(b"\n") if x.strip(_SPACES)]
     distinct = len(set(words))
     return "".join((
-        vote(n, 9, 30),
+        vote(sum(w.translate(None, _LETTERS) in _MARKS for w in words) / n, 0.6, 0.9),
         vote(distinct / min(n, 400), 0.2, 0.45),
         vote((len(raw) - len(raw.translate(None, _SYMBOLS))) / chars, 0.05, 0.005),
         vote((len(raw) - len(raw.translate(None, _UPPER))) / chars, 0.4, 0.15),
         vote(raw.count(b"!!") / n, 0.2, 0.01),
         vote(sum(x.rstrip(_SPACES).endswith(_ENDS) for x in lines) / len(lines), 0.1, 0.6),
         vote(sum(map(bytes.__eq__, words, words[1:])) / n, 0.2, 0.02),
-        vote(abs(chars / n - 6.5), 6.5, 4.0),
+        vote(raw.count(b". ") + raw.count(b".\n") + raw.endswith(b"."), 0, 1) if n < 30
+        else vote((raw.count(b". ") + raw.count(b".\n")) / n, 0.005, 0.02),
         vote(words.count(b"|") / n, 0.1, 0.0),
     ))
 
