@@ -36,7 +36,7 @@ def arrow_struct(fn, schema: str):
     names = [f.name for f in spark_type.fields]
 
     def run(texts: pa.Array) -> pa.Array:
-        rows = [fn(t or "") for t in texts.to_pylist()]
+        rows = [fn(t.as_py() or "") for t in texts]
         cols = list(zip(*rows)) if rows else [()] * len(names)
         arrays = [pa.array(list(col), type=f.type) for col, f in zip(cols, arrow_type)]
         return pa.StructArray.from_arrays(arrays, fields=list(arrow_type))

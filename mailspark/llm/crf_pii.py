@@ -370,6 +370,12 @@ def train_field(labelled: DataFrame) -> Field:
 SPANS = "base array<struct<start:int,kind:int,end:int>>, spans array<struct<start:int,kind:int,end:int>>"
 
 
+def _field(weights) -> Field:
+    field = Field()
+    field.emit, field.move, field.start, field.stop = weights.value
+    return field
+
+
 def _spans_udf(weights):
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
@@ -380,28 +386,25 @@ def _spans_udf(weights):
         return [{"start": a, "kind": k, "end": b} for a, k, b in spans]
 
     def run(texts: pa.Array) -> pa.Array:
-        field = Field()
-        field.emit, field.move, field.start, field.stop = weights.value
         return pa.array([{"base": row(base), "spans": row(every)}
-                         for base, every in find_batch([t or "" for t in texts.to_pylist()], field)], type=arrow)
+                         for base, every in find_batch([t or "" for t in texts.to_pylist()], _field(weights))], type=arrow)
 
     return F.arrow_udf(run, kind).asNondeterministic()
 
 
-def _find(docs: DataFrame, labelled: DataFrame | None = None):
-    """Spans column for ``docs['text']``; texts without digit and ``@`` are not sent to Python."""
+def _weights(docs: DataFrame, labelled: DataFrame | None):
+    """Broadcast weights (a fixed size) of the field fitted on ``labelled``, or
+    on the labelled sample of ``docs``."""
     field = train_field(label_runs(docs) if labelled is None else labelled)
-    weights = docs.sparkSession.sparkContext.broadcast((field.emit, field.move, field.start, field.stop))
-    return _spans_udf(weights)
+    return docs.sparkSession.sparkContext.broadcast((field.emit, field.move, field.start, field.stop))
 
 
-def _with_spans(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """(row, found): all columns of ``docs``, and SPANS (null where the text has no candidate)."""
-    find = _find(docs, labelled)
+def _candidates(docs: DataFrame) -> DataFrame:
+    """(row, candidate): all columns, and the text where it has a digit or ``@``;
+    other texts are not sent to Python."""
     text = docs["text"]
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-                       F.when(text.rlike("[0-9@]"), text).alias("candidate")).select(
-        "row", find("candidate").alias("found"))
+                       F.when(text.rlike("[0-9@]"), text).alias("candidate"))
 
 
 def describe(spans: list[tuple[int, int, int]]) -> str:
@@ -415,7 +418,8 @@ def _listed(spans):
 
 
 def op2_crf_pii(docs: DataFrame) -> DataFrame:
-    found = _with_spans(docs.select(docs["doc_id"], docs["text"]))
+    find = _spans_udf(_weights(docs, None))
+    found = _candidates(docs.select(docs["doc_id"], docs["text"])).select("row", find("candidate").alias("found"))
     base, spans = F.col("found.base"), F.col("found.spans")
     count = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{kind}")
              for k, kind in enumerate(KINDS)]
@@ -438,19 +442,16 @@ def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 def redact(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """``docs`` with personal data replaced in ``text`` and ``n_chars`` counted
     anew; all rows and columns stay."""
-    def run(texts: pa.Array, found: pa.Array) -> pa.Array:
-        out = []
-        for t, f in zip(texts.to_pylist(), found.to_pylist()):
-            spans = (f or {}).get("spans")
-            out.append(redact_text(t, [(s["start"], s["kind"], s["end"]) for s in spans]) if t and spans else t)
-        return pa.array(out, type=pa.string())
-
-    text = F.col("row").getField("text")
-    found = _with_spans(docs, labelled)
-    changed = F.when(F.size("found.spans") > 0, text)
+    weights = _weights(docs, labelled)
+
+    def run(texts: pa.Array) -> pa.Array:
+        rows = texts.to_pylist()
+        found = find_batch([t or "" for t in rows], _field(weights))
+        return pa.array([t if t is None else redact_text(t, spans) for t, (_, spans) in zip(rows, found)], type=pa.string())
+
     clean = F.arrow_udf(run, "string").asNondeterministic()
-    done = found.select("row", changed.alias("t"), "found").select("row", clean("t", "found").alias("t")).select(
-        "row", F.coalesce("t", text).alias("t"))
+    done = _candidates(docs).select("row", clean("candidate").alias("t")).select(
+        "row", F.coalesce("t", F.col("row").getField("text")).alias("t"))
     return done.select(*[
         F.col("t").alias(c) if c == "text" else F.length("t").cast("bigint").alias(c) if c == "n_chars"
         else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -117,10 +117,11 @@ def _scan_udf(items, size: int):
             _SCANNERS[key] = Scanner(items.value, size)
         scan = _SCANNERS[key].scan
         rows = []
-        for t in texts.to_pylist():
-            n, hit, ids = scan(t or "")
+        for t in texts:
+            text = t.as_py() or ""
+            n, hit, ids = scan(text)
             rows.append({"n_words": n, "words": hit, "items": ids,
-                         "spans": [{"start": a, "end": b} for a, b in spans_of(t or "", hit)]})
+                         "spans": [{"start": a, "end": b} for a, b in spans_of(text, hit)]})
         return pa.array(rows, type=arrow_type)
 
     return F.arrow_udf(run, spark_type).asNondeterministic()

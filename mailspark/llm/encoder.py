@@ -16,8 +16,8 @@ import numpy as np
 SEPARATOR, SEPARATOR_ID = "<|endoftext|>", 49407
 WORD_END = "</w>"
 _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
-#: words kept before the memo starts anew (about 250 bytes each)
-MEMO_WORDS = 600_000
+#: words in one of the memo's two generations (about 250 bytes each)
+MEMO_WORDS = 150_000
 
 
 class WordEncoder:
@@ -37,6 +37,7 @@ class WordEncoder:
             self.ends[i] = token.endswith(WORD_END)
         self.memo_words = memo_words
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @staticmethod
     def words(text: str) -> list[bytes]:
@@ -57,6 +58,9 @@ class WordEncoder:
                 tailed.append(w)
                 if core in memo or core in new:
                     continue
+                if core in self.older:
+                    memo[core] = self.older[core]
+                    continue
             (plain if core.isalpha() and core.islower() else other).append(core)
         if tailed:
             other += [m for m in (b".", b",") if m not in memo]
@@ -89,10 +93,16 @@ class WordEncoder:
         """Ids of each word, as bytes."""
         new = set(words).difference(self.memo)
         if new:
-            if len(self.memo) + len(new) > self.memo_words:
-                self.memo.clear()
+            if len(self.memo) > self.memo_words:
+                # words not met again in the next generation are forgotten
+                self.older, self.memo = self.memo, {}
                 new = set(words)
-            self._learn(new)
+            known = {w for w in new if w in self.older}
+            if known:
+                self.memo.update((w, self.older[w]) for w in known)
+                new -= known
+            if new:
+                self._learn(new)
         return list(map(self.memo.__getitem__, words))
 
     def encode(self, text: str) -> bytes:

@@ -66,7 +66,7 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
 def fingerprints(text: Column, shingle_words: int = SHINGLE_WORDS) -> Column:
     """Fingerprint of a text column as a signed long."""
     def run(texts: pa.Array) -> pa.Array:
-        values = np.array([fingerprint(t or "", shingle_words) for t in texts.to_pylist()], dtype=np.uint64)
+        values = np.array([fingerprint(t.as_py() or "", shingle_words) for t in texts], dtype=np.uint64)
         return pa.array(values.view(np.int64))
     return F.arrow_udf(run, "bigint").asNondeterministic()(text)
 
