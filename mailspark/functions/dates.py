@@ -34,9 +34,9 @@ def _strip_comma(c: Column) -> Column:
 def _drop_weekday(toks: Column) -> Column:
     first = F.get(toks, 0)
     drop_first = first.endswith(",") | F.lower(first).isin(*DAY_NAMES)
-    return F.when(drop_first, F.slice(toks, 2, 1000)).otherwise(
+    return F.when(drop_first, F.slice(toks, F.lit(2), F.size(toks))).otherwise(
         F.when(F.instr(first, ",") > 0,
-               F.concat(F.array(F.substring_index(first, ",", -1)), F.slice(toks, 2, 1000)))
+               F.concat(F.array(F.substring_index(first, ",", -1)), F.slice(toks, F.lit(2), F.size(toks))))
         .otherwise(toks))
 
 
@@ -44,7 +44,7 @@ def _rfc850(toks: Column) -> Column:
     # "01-Jan-2000 10:00:00 GMT": three tokens, the first one dashed
     return let(F.split(F.get(toks, 0), "-"), lambda dashed: F.when(
         (F.size(toks) == 3) & (F.size(dashed) == 3),
-        F.concat(dashed, F.slice(toks, 2, 1000))).otherwise(toks))
+        F.concat(dashed, F.slice(toks, F.lit(2), F.size(toks)))).otherwise(toks))
 
 
 def _split_zone(toks: Column) -> Column:

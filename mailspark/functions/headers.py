@@ -23,14 +23,12 @@ EMAIL_ADDR_RE = r"(?U)[\w.+-]+@[\w.-]+\.[a-zA-Z]{2,}"
 TZ_RE = r"[+-]\d{4}"
 # Received hop "from X ... by Y", case-insensitive, dot matches newline
 RECEIVED_FROM_RE = r"(?is)from\s+(\S+).*?by\s+(\S+)"
-# a header-section line: "name:" or a continuation (or a stray "From " line)
-HEADER_LINE_RE = r"^(From |[\x21-\x39\x3b-\x7e]*:|[ \t])"
 # ---------------------------------------------------------------------------
 
 
 def pystrip(c: Column) -> Column:
     """Python ``str.strip()``: remove leading/trailing whitespace of any kind."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def let(value: Column, fn) -> Column:
@@ -257,7 +255,8 @@ def to_number(v: Column) -> Column:
     """Numeric coercion of a string, JSON booleans as 1/0, bad -> 0."""
     s = F.lower(pystrip(v.cast("string")))
     return F.when(s == "true", 1.0).when(s == "false", 0.0) \
-        .otherwise(F.coalesce(s.try_cast("double"), F.lit(0.0)))
+        .when(s.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?inf(inity)?$"),
+              F.coalesce(s.try_cast("double"), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 @F.pandas_udf(T.StringType())

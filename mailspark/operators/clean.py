@@ -24,7 +24,7 @@ def drop_metadata(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 
-def split_types(df: DataFrame, exclude=("label",)) -> tuple[list[str], list[str]]:
+def split_types(df: DataFrame, exclude=("label", "mail_id")) -> tuple[list[str], list[str]]:
     """(numeric columns, string columns)."""
     num = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in exclude]
     cat = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType) and f.name not in exclude]

@@ -135,51 +135,40 @@ def upgrade_documents(docs: DataFrame) -> DataFrame:
                .withColumn("header_features", F.when(missing, filled).otherwise(hf))
 
 
-def repair_auth(docs: DataFrame, raw_mail: DataFrame, containment: bool = False) -> DataFrame:
-    """D7 + D8: overwrite six auth fields of each document from the mail with
-    the same Message-ID (first mail in path order), re-extracted with the
-    repair encoding (B20); unmatched documents pass unchanged.
-
-    The default join is an equi-join on the parsed Message-ID (scales); the
-    reference's "raw text contains the id" rule is ``containment=True``,
-    a non-equi join meant for small folders.
+def repair_auth(docs: DataFrame, raw_mail: DataFrame) -> DataFrame:
+    """D7 + D8: overwrite six auth fields of each document from the first mail
+    (path order) whose text holds the document's Message-ID, re-extracted with
+    the repair encoding (B20); unmatched documents pass unchanged.
+
+    A mail is filed under every ``<...@...>`` token of its text and under its
+    own Message-ID, reduced to the first path per id map-side (a hot id never
+    lands whole in one task) and equi-joined.
     """
-    ha = H.header_arrays(F.col("raw"))
-    m = raw_mail.select("path", "raw", ha.alias("ha"))
+    m = raw_mail.select("path", "raw", H.header_arrays(F.col("raw")).alias("ha"))
     auth = H.decode_mime(H.first_of(F.col("ha"), "Authentication-Results"))
     toks = {p: F.regexp_extract(auth, rf"(?i){p}\s*=\s*(\S+)", 1) for p in ("spf", "dkim", "dmarc")}
     enc = {p: F.when(toks[p] != "", H.encode_auth_repair(toks[p])) for p in toks}
-    sig = F.coalesce(H.first_of(F.col("ha"), "DKIM-Signature"), F.lit(""))
-    found = [enc[p] for p in ("spf", "dkim", "dmarc")]
-    # all() over the tokens that were found: vacuously 1 when none was found
-    all_pass = F.forall(F.filter(F.array(*found), lambda x: x.isNotNull()), lambda x: x == 1)
+    # tokens that were found: all() is vacuously 1 and any() 0 without one
+    found = F.filter(F.array(*[enc[p] for p in ("spf", "dkim", "dmarc")]), lambda x: x.isNotNull())
     fixed = m.select("path", "raw",
                      H.pystrip(H.decode_mime(H.first_of(F.col("ha"), "Message-ID"))).alias("_mid"),
                      F.coalesce(enc["spf"], F.lit(0)).alias("spf_result"),
                      F.coalesce(enc["dkim"], F.lit(0)).alias("dkim_result"),
                      F.coalesce(enc["dmarc"], F.lit(0)).alias("dmarc_result"),
-                     (sig != "").cast("int").alias("dkim_signature_present"),
                      (auth != "").cast("int").alias("auth_results_present"),
-                     all_pass.cast("int").alias("all_auth_pass"))
+                     F.exists(found, lambda x: x == -1).cast("int").alias("any_auth_fail"),
+                     F.forall(found, lambda x: x == 1).cast("int").alias("all_auth_pass"))
+    repaired = ["spf_result", "dkim_result", "dmarc_result", "auth_results_present", "any_auth_fail", "all_auth_pass"]
+    ids = F.array_distinct(F.array_append(
+        F.regexp_extract_all("raw", F.lit(r"(<[^<>\s]+@[^<>\s]+>)"), 1), F.col("_mid")))
+    filed = fixed.select(F.explode(ids).alias("_mid"), "path", *repaired).where("_mid <> ''")
+    first = filed.groupBy("_mid").agg(F.min_by(F.struct("path", *repaired), F.col("path")).alias("_m"))
     d = docs.withColumn("_doc_mid", H.pystrip(F.col("headers.message_id")))
-    fields = ["path", "spf_result", "dkim_result", "dmarc_result", "dkim_signature_present",
-              "auth_results_present", "all_auth_pass"]
-    if containment:
-        cond = (F.col("_doc_mid") != "") & (F.instr(F.col("raw"), F.col("_doc_mid")) > 0)
-        j = d.join(fixed.drop("_mid"), cond, "left")
-        w = Window.partitionBy("email_id").orderBy(F.col("path").asc_nulls_last())
-        j = j.withColumn("_rk", F.row_number().over(w)).where("_rk = 1")
-    else:
-        # first mail (path order) per Message-ID, pre-aggregated map-side so a
-        # hot id never lands whole in one task, then a plain equi-join
-        first = fixed.where(F.col("_mid") != "").groupBy("_mid").agg(
-            F.min_by(F.struct(*fields), F.col("path")).alias("_m"))
-        j = d.join(first, F.col("_doc_mid") == F.col("_mid"), "left").select("*", "_m.*")
+    j = d.join(first, F.col("_doc_mid") == F.col("_mid"), "left")
     hf = F.col("header_features")
     new = hf
-    for c in ("spf_result", "dkim_result", "dmarc_result", "dkim_signature_present",
-              "auth_results_present", "all_auth_pass"):
-        new = new.withField(c, F.col(c))
+    for c in repaired:
+        new = new.withField(c, F.col("_m").getField(c))
     return j.select(*[c for c in docs.columns if c != "header_features"],
-                    F.when(F.col("path").isNotNull(), new).otherwise(hf).alias("header_features"),
-                    F.col("path").isNotNull().cast("int").alias("fixed"))
+                    F.when(F.col("_m").isNotNull(), new).otherwise(hf).alias("header_features"),
+                    F.col("_m").isNotNull().cast("int").alias("fixed"))

@@ -205,9 +205,13 @@ def round_half_away(x: Column, digits: int = 6) -> Column:
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) > 1e12), x).otherwise(r)
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every DOUBLE column (for value-hash comparisons)."""
-    return df.select(*[round_half_away(F.col(f.name), digits).alias(f.name)
+def rounded(df: DataFrame, digits: int = 6, settle: int | None = None) -> DataFrame:
+    """Round every DOUBLE column (for value-hash comparisons).  ``settle``
+    rounds to that many digits first, so that means whose sums ran in another
+    order do not part on a rounding tie."""
+    def shown(c: Column) -> Column:
+        return round_half_away(c if settle is None else round_half_away(c, settle), digits)
+    return df.select(*[shown(F.col(f.name)).alias(f.name)
                        if f.dataType.typeName() == "double" else F.col(f.name)
                        for f in df.schema.fields])
 

@@ -3,7 +3,6 @@ real-or-synthetic source resolution of the experiment runner (A15)."""
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -25,9 +24,9 @@ def build_dataset(spark: SparkSession, root: str, dataset: str = "A", out_path:
     Only the dataset's class folders are read (a flat folder is all ham);
     no mail at all is an error.  Returns the table and the dropped columns."""
     classes = DATASET_CLASSES[dataset.upper()]
-    present = [c for c in classes if os.path.isdir(os.path.join(root, c))]
+    present = [c for c in classes if _exists(spark, f"{root.rstrip('/')}/{c}")]
     raw = (read_mail_dir(spark, root) if not present else
-           _union([read_mail_dir(spark, os.path.join(root, c))
+           _union([read_mail_dir(spark, f"{root.rstrip('/')}/{c}")
                    .withColumn("label", F.lit(0 if c == "ham" else 1).cast("int")) for c in present]))
     if max_per_class:
         raw = cap_per_class(raw, max_per_class)
@@ -40,6 +39,12 @@ def build_dataset(spark: SparkSession, root: str, dataset: str = "A", out_path:
     return table, dropped
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder exists in whatever store the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -48,18 +53,20 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def prepare_datasets(spark: SparkSession, roots: dict[str, str] | None = None, n_ham: int = 1000,
-                     n_spam: int = 1000, max_per_class: int | None = None, seed: int = 42) -> dict[str, DataFrame]:
-    """A real corpus where its folder exists (and builds), otherwise the
-    synthetic table; synthetic B has half the size of A."""
+                     n_spam: int = 1000, max_per_class: int | None = None, seed: int = 42, synthetic: bool = False) -> dict[str, DataFrame]:
+    """The real corpus of each named root; a root that is missing or fails
+    to build raises.  Only with ``synthetic`` a dataset without a root is
+    generated (B has half the size of A)."""
     out: dict[str, DataFrame] = {}
     for ds in ("A", "B"):
         root = (roots or {}).get(ds)
-        if root and os.path.isdir(root):
-            try:
-                out[ds] = build_dataset(spark, root, ds, max_per_class=max_per_class)[0]
-                continue
-            except Exception:  # noqa: BLE001 - fall back to synthetic data like the reference
-                pass
+        if root:
+            if not _exists(spark, root):
+                raise FileNotFoundError(f"no mail folder for dataset {ds}: {root}")
+            out[ds] = build_dataset(spark, root, ds, max_per_class=max_per_class)[0]
+            continue
+        if not synthetic:
+            raise ValueError(f"no root for dataset {ds}; pass synthetic=True for a generated table")
         nh, ns = (n_ham, n_spam) if ds == "A" else (n_ham // 2, n_spam // 2)
         out[ds] = generate_synthetic(spark, nh, ns, ds, seed)
     return out

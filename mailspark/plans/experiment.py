@@ -39,7 +39,7 @@ def run_matrix(spark: SparkSession, tables: dict[str, DataFrame], groups=("G6",)
             p = MD.cv_predictions(folded, cols, m, ds, g, k, (params or {}).get(m), seed, timings)
             return p.withColumn("n_features", F.lit(len(cols))), None
         except Exception as e:  # noqa: BLE001 - a failed cell is logged and skipped
-            return None, (ds, g, m, repr(e)[:500])
+            return None, (ds, g, m, repr(e))
 
     with ThreadPoolExecutor(max_workers=max(1, parallel_cells)) as pool:
         for p, fail in pool.map(run, cells):
@@ -47,6 +47,8 @@ def run_matrix(spark: SparkSession, tables: dict[str, DataFrame], groups=("G6",)
                 preds.append(p)
             if fail is not None:
                 failures.append(fail)
+    if not preds:
+        raise RuntimeError(f"every cell failed; first: {failures[0] if failures else None}")
     pred = preds[0]
     for p in preds[1:]:
         pred = pred.unionByName(p)
@@ -54,10 +56,10 @@ def run_matrix(spark: SparkSession, tables: dict[str, DataFrame], groups=("G6",)
     res = M.fold_summary(fm).join(pred.select("dataset", "feature_group", "model_name", "n_features").distinct(),
                                   ["dataset", "feature_group", "model_name"])
     t = spark.createDataFrame(timings, "dataset string, feature_group string, model_name string, fold int, "
-                                       "seconds double, n_test long")
+                                       "train_s double, score_s double, n_test long")
     tm = t.groupBy("dataset", "feature_group", "model_name").agg(
-        F.avg("seconds").alias("train_time_s"),
-        (F.sum("seconds") / F.sum("n_test") * 1000.0).alias("inference_ms_per_row"))
+        F.avg("train_s").alias("train_time_s"),
+        (F.sum("score_s") / F.sum("n_test") * 1000.0).alias("inference_ms_per_row"))
     res = res.join(tm, ["dataset", "feature_group", "model_name"], "left") \
         .withColumn("inference_ms_per_1k", F.col("inference_ms_per_row"))
     fail = spark.createDataFrame(failures, "dataset string, feature_group string, model_name string, error string")

@@ -75,12 +75,12 @@ _SC = O.prefix_for("scored")
 
 
 @register("classification_metrics", _SC + f"""
-SELECT {_K}, n, round(accuracy, 6) AS accuracy,
-       round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 6) AS precision,
-       round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 6) AS recall,
-       round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1,
-       round(brier_score, 6) AS brier_score, round(mean_confidence, 6) AS mean_confidence,
-       round(positive_rate, 6) AS positive_rate
+SELECT {_K}, n, round(round(accuracy, 12), 6) AS accuracy,
+       round(round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 12), 6) AS precision,
+       round(round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 12), 6) AS recall,
+       round(round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 12), 6) AS f1,
+       round(round(brier_score, 12), 6) AS brier_score, round(round(mean_confidence, 12), 6) AS mean_confidence,
+       round(round(positive_rate, 12), 6) AS positive_rate
 FROM (SELECT {_K}, CAST(count(*) AS BIGINT) AS n,
              CAST(sum(CASE WHEN y_true = 1 AND y_pred = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS tp,
              CAST(sum(CASE WHEN y_true = 0 AND y_pred = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS fp,
@@ -90,7 +90,7 @@ FROM (SELECT {_K}, CAST(count(*) AS BIGINT) AS n,
              avg(y_prob) AS mean_confidence, avg(CAST(y_true AS DOUBLE)) AS positive_rate
       FROM scored GROUP BY {_K}) t""")
 def q_classification_metrics(spark, sf):
-    return M.rounded(M.classification_metrics(fx.scored(spark, sf)))
+    return M.rounded(M.classification_metrics(fx.scored(spark, sf)), settle=12)
 
 
 @register("brier", _SC + f"SELECT {_K}, round(avg((y_prob - y_true) * (y_prob - y_true)), 6) AS brier_score "
@@ -487,7 +487,7 @@ def _compact_sql() -> str:
     mid = dec("Message-ID")
     date = dec("Date")
     subj = dec("Subject")
-    return O._mail_prefix().replace(",\nhd AS", ",\nhd0 AS", 1) if False else O.mail_prefix() + f"""
+    return O.mail_prefix() + f"""
 , c AS (SELECT mail_id, label, {pres},
   CAST(length({subj}) AS INTEGER) AS subject_len, CAST(len(recv) AS INTEGER) AS n_received_hops,
   CAST(contains(lower({dec('Content-Transfer-Encoding')}), 'base64') AS INTEGER) AS is_base64_encoded,
@@ -604,17 +604,19 @@ def _repair_sql() -> str:
     mid = strip.format(f"regexp_replace(coalesce({O._first('Message-ID')}, ''), '\\r?\\n([ \\t])', '\\1', 'g')")
     return O.mail_prefix() + f"""
 , fx AS (SELECT path, {mid} AS mid, {enc('spf')} AS s, {enc('dkim')} AS k, {enc('dmarc')} AS m,
-         CAST(coalesce({O._first('DKIM-Signature')}, '') <> '' AS INTEGER) AS dsp,
-         CAST({auth} <> '' AS INTEGER) AS arp FROM hh),
-first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mid ORDER BY path) AS rk FROM fx WHERE mid <> '') t
-          WHERE rk = 1),
+         CAST({auth} <> '' AS INTEGER) AS arp, raw FROM hh),
+ids AS (SELECT DISTINCT path, unnest(list_append(regexp_extract_all(raw, '<[^<>\s]+@[^<>\s]+>'), mid)) AS mid FROM fx),
+first AS (SELECT i.mid, f.* EXCLUDE (mid) FROM (SELECT mid, min(path) AS path FROM ids WHERE mid <> '' GROUP BY mid) i
+          JOIN fx f USING (path)),
 docs AS ({_COMPACT_SQL})
 SELECT CAST(d.mail_id AS VARCHAR) AS email_id,
        CASE WHEN f.path IS NULL THEN d.spf_result ELSE coalesce(f.s, 0) END AS spf_result,
        CASE WHEN f.path IS NULL THEN d.dkim_result ELSE coalesce(f.k, 0) END AS dkim_result,
        CASE WHEN f.path IS NULL THEN d.dmarc_result ELSE coalesce(f.m, 0) END AS dmarc_result,
-       CASE WHEN f.path IS NULL THEN d.dkim_signature_present ELSE f.dsp END AS dkim_signature_present,
+       d.dkim_signature_present,
        CASE WHEN f.path IS NULL THEN d.auth_results_present ELSE f.arp END AS auth_results_present,
+       CASE WHEN f.path IS NULL THEN d.any_auth_fail
+            ELSE CAST(coalesce(f.s, 0) = -1 OR coalesce(f.k, 0) = -1 OR coalesce(f.m, 0) = -1 AS INTEGER) END AS any_auth_fail,
        CASE WHEN f.path IS NULL THEN d.all_auth_pass
             ELSE CAST(coalesce(f.s, 1) = 1 AND coalesce(f.k, 1) = 1 AND coalesce(f.m, 1) = 1 AS INTEGER) END AS all_auth_pass,
        CAST(f.path IS NOT NULL AS INTEGER) AS fixed
@@ -628,7 +630,8 @@ def q_repair_auth(spark, sf):
     fixed = CP.repair_auth(CP.documents(feats), rm)
     return fixed.select("email_id", "header_features.spf_result", "header_features.dkim_result",
                         "header_features.dmarc_result", "header_features.dkim_signature_present",
-                        "header_features.auth_results_present", "header_features.all_auth_pass", "fixed")
+                        "header_features.auth_results_present", "header_features.any_auth_fail",
+                        "header_features.all_auth_pass", "fixed")
 
 
 def _requests(spark, sf):

@@ -57,6 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc_dir = spark.sparkContext.getCheckpointDir()
         if sc_dir:
             return sc_dir
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="mailspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

@@ -133,7 +133,7 @@ def test_build_and_prepare_datasets(spark, tmp_path):
     table, dropped = build_dataset(spark, str(tmp_path / "A"), "A", out_path=str(tmp_path / "out"))
     assert table.count() == 7 and "label" in table.columns and "has_from" in dropped
     assert spark.read.parquet(str(tmp_path / "out")).count() == 7
-    ds = prepare_datasets(spark, {"A": str(tmp_path / "A")}, n_ham=20, n_spam=20)
+    ds = prepare_datasets(spark, {"A": str(tmp_path / "A")}, n_ham=20, n_spam=20, synthetic=True)
     assert ds["A"].count() == 7 and ds["B"].count() == 20
 
 
@@ -145,3 +145,51 @@ def test_svm_calibrations(spark, params):
     m = M.classification_metrics(p, keys=["model_name"]).first()
     assert m["n"] == 48 and m["accuracy"] >= 0.8
     assert p.where("y_prob < 0 OR y_prob > 1").count() == 0
+
+
+def test_missing_or_failing_corpus_raises(spark, tmp_path):
+    import pytest
+    from mailspark.plans.dataset import prepare_datasets
+    with pytest.raises(FileNotFoundError):
+        prepare_datasets(spark, {"A": str(tmp_path / "none")}, synthetic=True)
+    (tmp_path / "empty" / "ham").mkdir(parents=True)
+    with pytest.raises(Exception):
+        prepare_datasets(spark, {"A": str(tmp_path / "empty")}, synthetic=True)
+    with pytest.raises(ValueError):
+        prepare_datasets(spark, {})
+
+
+def test_mbox_keeps_every_message(spark, tmp_path):
+    from mailspark.sources.mail import read_mbox, write_mbox
+    (tmp_path / "phishing-1.txt").write_text("\nFrom a@b Thu\nSubject: one\n\nbody\n\nFrom c@d Fri\nSubject: two\n\nbody\n")
+    got = read_mbox(spark, str(tmp_path / "phishing-*.txt")).orderBy("mail_id").collect()
+    assert [r.raw.split("\n")[0] for r in got] == ["Subject: one", "Subject: two"]
+    one = spark.createDataFrame([("Subject: x\n\nFrom here on\n>From there\n",)], "raw string")
+    write_mbox(one.coalesce(1), str(tmp_path / "out"))
+    assert read_mbox(spark, str(tmp_path / "out")).count() == 1
+
+
+def test_number_coercion_takes_plain_numbers_only(spark):
+    from pyspark.sql import functions as F
+    from mailspark.functions import headers as H
+    words = ["nan", "1d", "1f", "2.5", " -3e1 ", "true", "x", ".5", "7."]
+    rows = spark.createDataFrame([(w,) for w in words], "v string").select("v", H.to_number(F.col("v")).alias("n")).collect()
+    assert [r.n for r in rows] == [0, 0, 0, 2.5, -30, 1, 0, 0.5, 7]
+    nbsp = spark.createDataFrame([("\u00a0b.example\u00a0",)], "v string").select(H.pystrip(F.col("v")).alias("v")).first().v
+    assert nbsp == "b.example"
+
+
+def test_auth_repair_fields_and_id_in_text(spark):
+    from mailspark.operators import compact as CP
+    raw = ("From: a@b.c\nMessage-ID: <own@x>\nAuthentication-Results: h; spf=fail; dkim=pass\n\nin reply to <quoted@x> today\n")
+    mails = spark.createDataFrame([("p1", raw, 1, 0)], "path string, raw string, mail_id long, label int")
+    feats = CP.compact_features(mails.select("mail_id", "label", "path", "raw"))
+    docs = CP.documents(feats.selectExpr("*", "cast(mail_id as string) as email_id"))
+    from pyspark.sql import functions as F
+    for mid, fixed in (("<own@x>", 1), ("<quoted@x>", 1), ("<other@x>", 0)):
+        d = docs.withColumn("headers", F.col("headers").withField("message_id", F.lit(mid)))
+        r = CP.repair_auth(d, mails).first()
+        assert r.fixed == fixed
+        if fixed:
+            h = r.header_features
+            assert (h.spf_result, h.dkim_result, h.dmarc_result, h.any_auth_fail, h.all_auth_pass, h.auth_results_present) == (-1, 1, 0, 1, 0, 1)
