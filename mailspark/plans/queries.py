@@ -605,7 +605,7 @@ def _repair_sql() -> str:
     return O.mail_prefix() + f"""
 , fx AS (SELECT path, {mid} AS mid, {enc('spf')} AS s, {enc('dkim')} AS k, {enc('dmarc')} AS m,
          CAST({auth} <> '' AS INTEGER) AS arp, raw FROM hh),
-ids AS (SELECT DISTINCT path, unnest(list_append(regexp_extract_all(raw, '<[^<>\s]+@[^<>\s]+>'), mid)) AS mid FROM fx),
+ids AS (SELECT DISTINCT path, unnest(list_append(regexp_extract_all(raw, '<[^<>\\s]+@[^<>\\s]+>'), mid)) AS mid FROM fx),
 first AS (SELECT i.mid, f.* EXCLUDE (mid) FROM (SELECT mid, min(path) AS path FROM ids WHERE mid <> '' GROUP BY mid) i
           JOIN fx f USING (path)),
 docs AS ({_COMPACT_SQL})
