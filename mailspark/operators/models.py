@@ -14,15 +14,18 @@ import math
 import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from mailspark.functions.headers import sigmoid
+from mailspark.session import checkpoint_dir
 
 MODEL_NAMES = ["RF", "SVM", "MLP", "KNN", "Stacking", "OC_SVM"]
 DEFAULTS = {
@@ -56,15 +59,29 @@ def _vec(df: DataFrame, cols: list[str]) -> DataFrame:
         df.withColumns({c: F.col(c).cast("double") for c in cols}))
 
 
-def _rff(df: DataFrame, cols: list[str], n_components: int, gamma: float, seed: int = 42) -> DataFrame:
-    """Random Fourier features z(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma)."""
+def _fourier(n_columns: int, n_components: int, gamma: float, seed: int = 42):
+    """x -> z(x) = sqrt(2/D) cos(x W + b), W ~ N(0, 2 gamma), on matrices of rows."""
     rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(n_components, len(cols)))
+    w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(n_components, n_columns)).T
     b = rng.uniform(0.0, 2.0 * math.pi, size=n_components)
-    scale = math.sqrt(2.0 / n_components)
-    z = [F.lit(scale) * F.cos(sum((F.col(c) * float(w[j, i]) for i, c in enumerate(cols)), F.lit(float(b[j]))))
-         for j in range(n_components)]
-    return df.withColumn("features", array_to_vector(F.array(*z)))
+    return lambda x: math.sqrt(2.0 / n_components) * np.cos(x @ w + b)
+
+
+def _matrix_udf(fn, cols: list[str], returns: str):
+    """Column from ``fn`` over the matrix of a batch's ``cols``: one matrix product per Arrow batch."""
+    def run(*parts: pa.Array) -> pa.Array:
+        x = np.column_stack([p.cast(pa.float64()).to_numpy(zero_copy_only=False) for p in parts])
+        z = fn(x)
+        if z.ndim == 1:
+            return pa.array(z)
+        return pa.ListArray.from_arrays(np.arange(len(z) + 1, dtype=np.int32) * z.shape[1], z.ravel())
+    return F.arrow_udf(run, returns)(*[F.col(c) for c in cols])
+
+
+def _rff(df: DataFrame, cols: list[str], n_components: int, gamma: float, seed: int = 42) -> DataFrame:
+    """Random Fourier features of ``cols`` as the vector column ``features``."""
+    z = _matrix_udf(_fourier(len(cols), n_components, gamma, seed), cols, "array<double>")
+    return df.withColumn("features", array_to_vector(z))
 
 
 def _prob1(df: DataFrame) -> DataFrame:
@@ -124,16 +141,15 @@ def fit_predict(model: str, train: DataFrame, test: DataFrame, cols: list[str],
         # rho = nu-quantile of the training scores; outlier (score < 0) -> 1
         tr, te = _scaled(train.where("label = 0"), test, cols)
         gamma = p["gamma"] or 1.0 / max(len(cols), 1)
-        trf, tef = _rff(tr, cols, p["n_components"], gamma, seed), _rff(te, cols, p["n_components"], gamma, seed)
-        mu = trf.select(vector_to_array("features").alias("z")).agg(
-            F.array(*[F.avg(F.col("z")[j]) for j in range(p["n_components"])]).alias("mu")).first()["mu"]
-        mu_col = F.array(*[F.lit(float(v)) for v in mu])
+        mu = _rff(tr, cols, p["n_components"], gamma, seed).agg(Summarizer.mean(F.col("features")).alias("mu")).first()["mu"]
+        if mu is None:
+            raise ValueError("the one-class model needs rows of class 0")
+        fourier, mean = _fourier(len(cols), p["n_components"], gamma, seed), mu.toArray()
 
         def score(df):
-            return df.withColumn("_s", F.aggregate(F.zip_with(vector_to_array("features"), mu_col,
-                                                              lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x))
-        rho = score(trf).agg(F.percentile("_s", F.lit(p["nu"]))).first()[0]
-        out = score(tef).withColumn("_s", F.col("_s") - F.lit(rho)) \
+            return df.withColumn("_s", _matrix_udf(lambda x: fourier(x) @ mean, cols, "double"))
+        rho = score(tr).agg(F.percentile("_s", F.lit(p["nu"]))).first()[0]
+        out = score(te).withColumn("_s", F.col("_s") - F.lit(rho)) \
             .withColumn("prediction", (F.col("_s") < 0).cast("double")) \
             .withColumn("y_prob", sigmoid(-F.col("_s")))
     elif model == "KNN":
@@ -166,87 +182,102 @@ def _svm_probability(fit_rows: DataFrame, cal_rows: DataFrame, score_rows: DataF
     return _prob1(platt.transform(va.transform(dec_te)))
 
 
-def knn_predict(train: DataFrame, test: DataFrame, cols: list[str], k: int = 5, n_buckets: int = 1024,
-                seed: int = 42) -> DataFrame:
+#: training points of a block, and test points that meet it in one task
+KNN_BLOCK, KNN_QUERIES = 4096, 16384
+KNN_MAX_BLOCKS = 4096
+
+
+def _block_neighbours(cols: list[str], k: int, cells: int = 1 << 21):
+    """Cogrouped step (test points, training points of one block): per test
+    point the counts at its nearest distances of the block, up to the k-th
+    nearest point and its ties, so at most k rows."""
+    schema = pa.schema([("_qid", pa.int64()), ("_d", pa.float64()), ("_n", pa.int64()), ("_pos", pa.int64())])
+
+    def run(key, queries: pa.Table, points: pa.Table) -> pa.Table:
+        if not len(queries) or not len(points):
+            return schema.empty_table()
+        t = [points.column(c).to_numpy() for c in cols]
+        cnt, pos = points.column("_cnt").to_numpy(), points.column("_pos").to_numpy()
+        step, out = max(1, cells // len(points)), []
+        for at in range(0, len(queries), step):
+            part = queries.slice(at, step)
+            square = np.zeros((len(part), len(points)))
+            for c, x in zip(cols, t):
+                square += (part.column(c).to_numpy()[:, None] - x) ** 2
+            # rounded to 1e-9 so that exact ties are not split by float noise
+            d = np.round(np.sqrt(square), 9)
+            last = min(k, len(points)) - 1
+            cut = np.partition(d, last, axis=1)[:, last]
+            row, col = np.nonzero(d <= np.where(np.isnan(cut), np.inf, cut)[:, None])
+            if not len(row):
+                continue
+            near = d[row, col]
+            order = np.lexsort((near, row))
+            row, col, near = row[order], col[order], near[order]
+            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (near[1:] != near[:-1])]))
+            out.append(pa.table([part.column("_qid").to_numpy()[row[first]], near[first],
+                                 np.add.reduceat(cnt[col], first), np.add.reduceat(pos[col], first)], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    return run
+
+
+def knn_predict(train: DataFrame, test: DataFrame, cols: list[str], k: int = 5, seed: int = 42) -> DataFrame:
     """G10m: exact k-nearest-neighbour class share (Euclidean, scaled features).
 
-    No all-pairs join: training rows are first reduced to distinct points
-    with (count, positives) -- duplicate feature vectors, common for 0/1
-    header flags, become one row -- and test rows to distinct points.  Each
-    point gets a 1-D random projection p (|p(x) - p(y)| <= |x - y|),
-    bucketed into ``n_buckets`` equal-width buckets.  (1) A radius bound
-    r(q) = distance of the k-th neighbour among the points of a few buckets
-    around q's bucket (the window grows until it holds k points).  (2) The
-    exact step joins q only with buckets overlapping [p(q) - r, p(q) + r];
-    every true neighbour lies in that band.  Points tied at the k-th
-    distance share the remaining weight equally (the class share is the
-    average over the tie).  Returns test rows with ``prediction``/``y_prob``.
+    Training rows become distinct points with (count, positives), test rows
+    distinct points.  Training points are dealt to blocks of about KNN_BLOCK
+    by the quantiles of a 1-D random projection p; |p(x) - p(y)| <= |x - y|.
+    (1) The block of a test point bounds the radius r of its k neighbours.
+    (2) The test point meets every block that overlaps [p - r, p + r], in
+    matrix form; blocks out of reach are left out, so few columns need few
+    blocks and many columns at worst all.  Test points that meet a block are
+    split over tasks by KNN_QUERIES.  Points tied at the k-th distance share
+    the remaining weight equally.  Returns test rows with ``prediction`` /
+    ``y_prob``, null where a feature is null or there are no training rows.
     """
+    checkpoint_dir(train.sparkSession)
     tr, te = _scaled(train, test, cols)
-    rng = np.random.default_rng(seed)
-    w = rng.normal(size=len(cols))
+    w = np.random.default_rng(seed).normal(size=len(cols))
     w = w / np.linalg.norm(w)
     proj = sum((F.col(c) * float(w[i]) for i, c in enumerate(cols)), F.lit(0.0))
-    pts = tr.groupBy(*cols).agg(F.count(F.lit(1)).alias("_cnt"),
-                                F.sum(F.col("label").cast("long")).alias("_pos")).withColumn("_p", proj)
-    lo, hi = pts.agg(F.min("_p"), F.max("_p")).first()
-    width = (hi - lo) / n_buckets if hi is not None and hi > lo else 1.0
-    lo = lo or 0.0
-
-    def bucket(c):
-        return F.least(F.greatest(F.floor((c - F.lit(lo)) / F.lit(width)), F.lit(0)),
-                       F.lit(n_buckets - 1)).cast("int")
-    pts = pts.select(*[F.col(c).alias("t_" + c) for c in cols], "_cnt", "_pos",
-                     F.col("_p").alias("_tp"), bucket(F.col("_p")).alias("_tb")).cache()
-    qs = te.select(*cols).distinct().withColumn("_qid", F.xxhash64(*cols)).withColumn("_p", proj)
-    qs = qs.withColumn("_b", bucket(F.col("_p"))).cache()
-    # distances rounded to 1e-9 so that exact ties are not split by float noise
-    dist = F.round(F.sqrt(sum((F.pow(F.col(c) - F.col("t_" + c), 2) for c in cols), F.lit(0.0))), 9)
+    pts = tr.dropna(subset=cols).groupBy(*cols).agg(
+        F.count(F.lit(1)).alias("_cnt"), F.sum(F.col("label").cast("long")).alias("_pos")).withColumn("_p", proj).checkpoint()
+    # numbered once: the ids must not change when a lost task runs again
+    qs = te.select(*cols).dropna().distinct().withColumn("_qid", F.monotonically_increasing_id()).withColumn("_p", proj).checkpoint()
+    n_points, n_queries = pts.count(), qs.count()
+    n_blocks = min(max(1, -(-n_points // KNN_BLOCK)), KNN_MAX_BLOCKS)
+    inner = pts.approxQuantile("_p", [i / n_blocks for i in range(1, n_blocks)], 0.1 / n_blocks) if n_blocks > 1 else []
+    splits = [-math.inf, *sorted(set(inner)), math.inf]
+    n_salts = max(1, -(-n_queries // KNN_QUERIES))
+
+    def block(df: DataFrame, c: str, out: str) -> DataFrame:
+        if len(splits) == 2:
+            return df.withColumn(out, F.lit(0))
+        return Bucketizer(splits=splits, inputCol=c, outputCol=out).transform(df).withColumn(out, F.col(out).cast("int"))
+
+    def meet(queries: DataFrame) -> DataFrame:
+        return queries.groupBy("_blk", "_salt").cogroup(points.groupBy("_blk", "_salt")).applyInArrow(
+            _block_neighbours(cols, k), "_qid long, _d double, _n long, _pos long")
+
+    points = block(pts, "_p", "_blk").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1))))
+    qs = qs.withColumn("_salt", F.pmod(F.xxhash64("_qid"), F.lit(n_salts)).cast("int"))
     wq = Window.partitionBy("_qid").orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
-
-    def cand(q, lo_b, hi_b):
-        qb = q.withColumn("_bb", F.explode(F.sequence(F.greatest(lo_b, F.lit(0)),
-                                                      F.least(hi_b, F.lit(n_buckets - 1)))))
-        return qb.join(pts, qb["_bb"] == pts["_tb"]).withColumn("_d", dist)
-
-    # (1) radius bound per test point, widening the bucket window until k points are seen
-    radii, todo, span = [], qs.select("_qid", "_p", "_b", *cols), 1
-    while True:
-        c = cand(todo, F.col("_b") - span, F.col("_b") + span)
-        g = c.groupBy("_qid", "_d").agg(F.sum("_cnt").alias("_n"))
-        r = g.withColumn("_cum", F.sum("_n").over(wq)).where(F.col("_cum") >= k) \
-            .groupBy("_qid").agg(F.min("_d").alias("_r")).cache()
-        radii.append(r)
-        todo = todo.join(r, "_qid", "left_anti").cache()
-        if todo.isEmpty():
-            break
-        if span >= n_buckets:
-            # fewer than k training points overall: every point is a neighbour
-            radii.append(todo.select("_qid").withColumn("_r", F.lit(float("inf"))))
-            break
-        span *= 4
-    rad = radii[0]
-    for x in radii[1:]:
-        rad = rad.unionByName(x)
-    # (2) exact band join, then the k nearest with tie averaging at the boundary
-    q2 = qs.join(rad, "_qid")
-    eps = 1e-9
-    inf = F.col("_r") == float("inf")
-    lo_b = F.when(inf, F.lit(0)).otherwise(bucket(F.col("_p") - F.col("_r") - eps))
-    hi_b = F.when(inf, F.lit(n_buckets - 1)).otherwise(bucket(F.col("_p") + F.col("_r") + eps))
-    c = cand(q2, lo_b, hi_b).where(F.col("_d") <= F.col("_r") + eps)
-    g = c.groupBy("_qid", "_d").agg(F.sum("_cnt").alias("_n"), F.sum("_pos").alias("_pos"))
-    g = g.withColumn("_cum", F.sum("_n").over(wq))
+    home = meet(block(qs, "_p", "_blk")).withColumn("_cum", F.sum("_n").over(wq))
+    radius = home.where(F.col("_cum") >= k).groupBy("_qid").agg((F.min("_d") + 1e-6).alias("_r"))
+    far = qs.join(radius, "_qid", "left").withColumn("_r", F.coalesce("_r", F.lit(math.inf)))
+    far = far.withColumn("_lo", F.col("_p") - F.col("_r")).withColumn("_hi", F.col("_p") + F.col("_r"))
+    far = block(block(far, "_lo", "_b0"), "_hi", "_b1").withColumn("_blk", F.explode(F.sequence("_b0", "_b1")))
+    g = meet(far.select("_qid", *cols, "_blk", "_salt")).groupBy("_qid", "_d").agg(
+        F.sum("_n").alias("_n"), F.sum("_pos").alias("_pos")).withColumn("_cum", F.sum("_n").over(wq))
     take = F.least(F.col("_n"), F.greatest(F.lit(k) - (F.col("_cum") - F.col("_n")), F.lit(0)))
     share = g.groupBy("_qid").agg((F.sum(take * F.col("_pos") / F.col("_n")) / F.sum(take)).alias("y_prob"))
-    res = qs.join(share, "_qid").select(*[F.col(c).alias("q_" + c) for c in cols], "y_prob")
-    cond = None
-    for col_ in cols:
-        e = te[col_].eqNullSafe(res["q_" + col_])
-        cond = e if cond is None else cond & e
-    out = te.join(res, cond).drop(*["q_" + c for c in cols])
+    res = qs.join(share, "_qid").select(*cols, "y_prob")
+    # scaled values only match the points they were taken from; zero and minus zero are one
+    out = te.join(res, cols, "left").select(*[te[c] for c in te.columns], "y_prob")
     return out.withColumn("prediction", (F.col("y_prob") > 0.5).cast("double"))
 
+
 def _stacking(train: DataFrame, test: DataFrame, cols: list[str], p: dict, seed: int) -> DataFrame:
     """G13m: out-of-fold base probabilities -> logistic meta model; base
     models refitted on all training rows for the test predictions."""

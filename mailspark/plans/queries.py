@@ -539,9 +539,9 @@ def _cv(model, params=None):
 
 
 register("rf_cv")(_cv("RF", {"numTrees": 100, "maxDepth": 20}))
-register("svm_cv")(_cv("SVM", {"n_components": 64}))
+register("svm_cv")(_cv("SVM"))
 register("mlp_cv")(_cv("MLP", {"maxIter": 100}))
-register("one_class_score")(_cv("OC_SVM", {"n_components": 64}))
+register("one_class_score")(_cv("OC_SVM"))
 
 
 # --------------------------------------------------------------------------
