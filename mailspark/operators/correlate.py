@@ -92,6 +92,14 @@ def between_group_corr(pairs: DataFrame, positions: DataFrame) -> DataFrame:
     return t.agg(F.avg(F.abs("spearman")).alias("between_corr"), F.count(F.lit(1)).alias("n_pairs"))
 
 
+def overall_corr(within: DataFrame, between: DataFrame) -> DataFrame:
+    """Mean of the groups' within means (undefined ones skipped) and its
+    ratio to the between mean; both tables hold a row per group or one row."""
+    w = within.agg(F.avg("within_corr").alias("mean_within"))
+    return w.join(between.select("between_corr")).select(
+        "mean_within", "between_corr", F.try_divide("mean_within", "between_corr").alias("ratio"))
+
+
 def class_means(df: DataFrame, columns: list[str], label: str = "label") -> DataFrame:
     """Mean of each feature per class, one row per feature."""
     m = df.groupBy(label).agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns])

@@ -9,7 +9,9 @@ plus per-bucket offsets, so no single task has to order a whole cell.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from mailspark.operators.numbering import cumulative_sums_by
 
 CELL = ["dataset", "feature_group", "model_name", "fold"]
 METRICS = ["accuracy", "precision", "recall", "f1", "auc", "brier_score", "ece"]
@@ -57,33 +59,21 @@ def brier(pred: DataFrame, keys=CELL) -> DataFrame:
     return pred.groupBy(*keys).agg(F.avg(F.pow(F.col("y_prob") - F.col("y_true"), 2)).alias("brier_score"))
 
 
-def _score_counts(pred: DataFrame, keys, n_buckets: int, descending: bool) -> DataFrame:
+def _score_counts(pred: DataFrame, keys, descending: bool) -> DataFrame:
     """Distinct scores per cell with positive / negative counts and the
     number of rows ranked strictly before each score (ascending or
-    descending), computed as bucket offset + running sum inside the bucket."""
+    descending).  Ranges of scores follow the data, so scores that pile up
+    near 0 and 1 are split over tasks."""
     g = pred.groupBy(*keys, "y_prob").agg(
         F.sum(F.col("y_true").cast("long")).alias("pos"),
         F.sum((1 - F.col("y_true")).cast("long")).alias("neg"))
-    b = F.least(F.greatest(F.floor(F.col("y_prob") * n_buckets), F.lit(0)), F.lit(n_buckets - 1)).cast("int")
-    g = g.withColumn("bucket", (n_buckets - 1 - b) if descending else b)
-    order = F.col("y_prob").desc() if descending else F.col("y_prob").asc()
-    w_in = Window.partitionBy(*keys, "bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("pos_in", F.coalesce(F.sum("pos").over(w_in), F.lit(0))) \
-         .withColumn("neg_in", F.coalesce(F.sum("neg").over(w_in), F.lit(0)))
-    # per-bucket totals: at most n_buckets rows per cell, a small relation
-    tot = g.groupBy(*keys, "bucket").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
-    w_b = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.withColumn("pos_off", F.coalesce(F.sum("bpos").over(w_b), F.lit(0))) \
-             .withColumn("neg_off", F.coalesce(F.sum("bneg").over(w_b), F.lit(0))) \
-             .drop("bpos", "bneg")
-    g = g.join(tot, [*keys, "bucket"])
-    return g.withColumn("pos_before", F.col("pos_in") + F.col("pos_off")) \
-            .withColumn("neg_before", F.col("neg_in") + F.col("neg_off"))
-
-
-def roc_auc(pred: DataFrame, keys=CELL, n_buckets: int = 1024) -> DataFrame:
+    g = g.withColumn("_rank", -F.col("y_prob") if descending else F.col("y_prob"))
+    return cumulative_sums_by(g, list(keys), ["_rank"], {"pos_before": "pos", "neg_before": "neg"}).drop("_rank")
+
+
+def roc_auc(pred: DataFrame, keys=CELL) -> DataFrame:
     """H5: tie-aware ROC AUC (Mann-Whitney); null when a cell has one class."""
-    g = _score_counts(pred, keys, n_buckets, descending=False)
+    g = _score_counts(pred, keys, descending=False)
     # average rank of a tie group = rows before + (group size + 1) / 2
     rank = F.col("pos_before") + F.col("neg_before") + (F.col("pos") + F.col("neg") + 1) / 2.0
     agg = g.groupBy(*keys).agg(F.sum(F.col("pos") * rank).alias("rsum"),
@@ -93,9 +83,9 @@ def roc_auc(pred: DataFrame, keys=CELL, n_buckets: int = 1024) -> DataFrame:
                       .alias("auc"))
 
 
-def average_precision(pred: DataFrame, keys=CELL, n_buckets: int = 1024) -> DataFrame:
+def average_precision(pred: DataFrame, keys=CELL) -> DataFrame:
     """H6: step-wise average precision over distinct thresholds; null without positives."""
-    g = _score_counts(pred, keys, n_buckets, descending=True)
+    g = _score_counts(pred, keys, descending=True)
     tp = F.col("pos_before") + F.col("pos")
     fp = F.col("neg_before") + F.col("neg")
     agg = g.groupBy(*keys).agg(F.sum(F.col("pos") * tp / (tp + fp)).alias("s"), F.sum("pos").alias("P"))
