@@ -1,9 +1,8 @@
 """2.E: cleaning of a labelled feature table (the dataset builder).
 
-The statistics are one global aggregate each (partial aggregation on every
-executor, one small final merge).  Exact ``percentile`` keeps a value ->
-count map per column; header features are small integers with few distinct
-values, so the map stays small even at very large row counts.
+Medians and 99th percentiles are exact: distinct values with their counts
+are numbered in value order over range partitions, so no task holds the
+values of a whole column.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import NumericType, StringType
 
-from mailspark.operators.numbering import row_number_by
+from mailspark.operators.numbering import cumulative_sum_by, row_number_by
 
 # --- fixed values: name fragments the reference treats as "count" columns --
 COUNT_MARKERS = ["count", "n_", "len", "hops", "hop"]
@@ -31,25 +30,43 @@ def split_types(df: DataFrame, exclude=("label", "mail_id")) -> tuple[list[str],
     return num, cat
 
 
-def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
+def label_encode(df: DataFrame, columns: list[str], null_text: str | None = "nan") -> DataFrame:
     """Replace each string column by the 0-based rank of its value among
-    the sorted distinct values (null stays null)."""
-    out = df
+    the sorted distinct values.  A null counts as the text ``null_text``
+    (None: it stays null)."""
+    out = df if null_text is None else df.fillna(null_text, subset=columns) if columns else df
     for c in columns:
         # dense rank = row number over the distinct values (range-partitioned,
         # so even a high-cardinality column never sorts in one task)
-        distinct = df.select(c).where(F.col(c).isNotNull()).distinct()
+        distinct = out.select(c).where(F.col(c).isNotNull()).distinct()
         codes = row_number_by(distinct, [], [c], out="_rn").select(c, (F.col("_rn") - 1).cast("int").alias("_code"))
         out = out.join(codes, c, "left").drop(c).withColumnRenamed("_code", c)
     return out.select(*df.columns)
 
 
-def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    """Exact medians (linear interpolation) of all columns in one pass."""
+def quantiles(df: DataFrame, columns: list[str], q: float) -> dict[str, float | None]:
+    """Exact quantiles (linear interpolation, nulls skipped) of all columns."""
     if not columns:
         return {}
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in columns]).first()
-    return {c: row[c] for c in columns}
+    long = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]) \
+        .unpivot([], [f"c{i}" for i in range(len(columns))], "_col", "_val").where(F.col("_val").isNotNull())
+    d = long.groupBy("_col", "_val").agg(F.count(F.lit(1)).alias("_cnt"))
+    d = cumulative_sum_by(d, ["_col"], ["_val"], "_cnt", out="_before")
+    total = d.groupBy("_col").agg(F.sum("_cnt").alias("_n"))  # a row per column
+    d = d.join(F.broadcast(total), "_col")
+    at = F.lit(q) * (F.col("_n") - 1)
+
+    def value(index):
+        return F.max(F.when((F.col("_before") <= index) & (index < F.col("_before") + F.col("_cnt")), F.col("_val")))
+    rows = d.groupBy("_col").agg(value(F.floor(at)).alias("lo"), value(F.ceil(at)).alias("hi"),
+                                 F.max(at - F.floor(at)).alias("part")).collect()
+    found = {r["_col"]: r["lo"] if r["lo"] == r["hi"] else r["lo"] + (r["hi"] - r["lo"]) * r["part"] for r in rows}
+    return {c: found.get(f"c{i}") for i, c in enumerate(columns)}
+
+
+def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """Exact medians of all columns."""
+    return quantiles(df, columns, 0.5)
 
 
 def impute_median(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -73,10 +90,7 @@ def count_columns(columns: list[str], mode: str = "reference") -> list[str]:
 
 
 def p99_caps(df: DataFrame, columns: list[str], q: float = 0.99) -> dict[str, float | None]:
-    if not columns:
-        return {}
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(q)).alias(c) for c in columns]).first()
-    return {c: row[c] for c in columns}
+    return quantiles(df, columns, q)
 
 
 def clip_p99(df: DataFrame, columns: list[str] | None = None, mode: str = "reference",
@@ -120,8 +134,8 @@ def clean_and_encode(df: DataFrame, dataset: str = "A", clip_mode: str = "refere
     df = drop_metadata(df)
     num, cat = split_types(df)
     df = label_encode(df, cat)
-    df = impute_median(df, num + cat)
-    df = clip_p99(df, count_columns(num + cat, clip_mode))
+    df = impute_median(df, num)
+    df = clip_p99(df, count_columns(num, clip_mode))
     df, dropped = drop_constant(df)
     if dataset.upper().endswith("B"):
         df = zero_fill_auth(df)

@@ -25,6 +25,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from mailspark.functions.headers import sigmoid
+from mailspark.operators.clean import quantiles
 from mailspark.session import checkpoint_dir
 
 MODEL_NAMES = ["RF", "SVM", "MLP", "KNN", "Stacking", "OC_SVM"]
@@ -148,7 +149,7 @@ def fit_predict(model: str, train: DataFrame, test: DataFrame, cols: list[str],
 
         def score(df):
             return df.withColumn("_s", _matrix_udf(lambda x: fourier(x) @ mean, cols, "double"))
-        rho = score(tr).agg(F.percentile("_s", F.lit(p["nu"]))).first()[0]
+        rho = quantiles(score(tr), ["_s"], p["nu"])["_s"]
         out = score(te).withColumn("_s", F.col("_s") - F.lit(rho)) \
             .withColumn("prediction", (F.col("_s") < 0).cast("double")) \
             .withColumn("y_prob", sigmoid(-F.col("_s")))

@@ -201,7 +201,7 @@ def wide_sql(columns: list[str]) -> str:
 def header_split_sql() -> str:
     return (oracle_cte(raw_mail=RAW_MAIL_SQL) + "," + _HEADERS +
             "SELECT mail_id, CAST(h.pos AS INTEGER) AS pos, h.name_lc AS name_lc,"
-            " CAST(length(h.value) AS INTEGER) AS value_len"
+            " CAST(length(h.value) AS INTEGER) AS value_len, h.value AS value"
             " FROM (SELECT mail_id, unnest(headers) AS h FROM hh) t")
 
 

@@ -20,7 +20,7 @@ def q_header_split(spark, sf):
     rm = fx.raw_mail(spark, sf)
     h = rm.select("mail_id", F.explode(H.split_headers(F.col("raw"))).alias("h"))
     return h.select("mail_id", F.col("h.pos").cast("int").alias("pos"), F.col("h.name_lc").alias("name_lc"),
-                    F.length("h.value").cast("int").alias("value_len"))
+                    F.length("h.value").cast("int").alias("value_len"), F.col("h.value").alias("value"))
 
 
 @register("header_first", O.mail_prefix() +
@@ -155,13 +155,12 @@ _REL_BIN = (f"CASE WHEN b0 > 0 AND y_prob <= {_edge('b0')} THEN b0 - 1 "
 
 
 @register("reliability_curve", _SC + f"""
-SELECT {_K}, bin, count(*) AS n, CAST(sum(y_true) AS BIGINT) AS n_positive, round(sum(y_prob), 6) AS sum_predicted
+SELECT {_K}, bin, count(*) AS n, CAST(sum(y_true) AS BIGINT) AS n_positive, round(round(sum(y_prob), 12), 6) AS sum_predicted,
+       round(round(sum(y_true) / CAST(count(*) AS DOUBLE), 12), 6) AS fraction_of_positives,
+       round(round(sum(y_prob) / count(*), 12), 6) AS mean_predicted
 FROM (SELECT *, {_REL_BIN} AS bin FROM (SELECT *, {_RB0} AS b0 FROM scored) s) t GROUP BY {_K}, bin""")
 def q_reliability_curve(spark, sf):
-    # the per-bin means are n_positive / n and sum_predicted / n; the check
-    # compares the exact parts (a mean can sit on a rounding tie)
-    rc = M.reliability_curve(fx.scored(spark, sf))
-    return M.rounded(rc.drop("fraction_of_positives", "mean_predicted"))
+    return M.rounded(M.reliability_curve(fx.scored(spark, sf)), settle=12)
 
 
 @register("score_histogram", _SC + """
@@ -187,21 +186,6 @@ def q_confidence_rows(spark, sf):
     return M.confidence_rows(fx.scored(spark, sf))
 
 
-_FOLD_METRICS_SQL = f"""
-, fm AS (SELECT {_K}, avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) AS accuracy,
-              avg((y_prob - y_true) * (y_prob - y_true)) AS brier_score FROM scored GROUP BY {_K})"""
-
-
-@register("fold_summary", _SC + _FOLD_METRICS_SQL + """
-SELECT dataset, feature_group, model_name, round(avg(accuracy), 6) AS accuracy,
-       round(stddev_pop(accuracy), 6) AS accuracy_std, round(avg(brier_score), 6) AS brier_score,
-       round(stddev_pop(brier_score), 6) AS brier_score_std, count(DISTINCT fold) AS n_folds
-FROM fm GROUP BY dataset, feature_group, model_name""")
-def q_fold_summary(spark, sf):
-    fm = M.classification_metrics(fx.scored(spark, sf))
-    return M.rounded(M.fold_summary(fm, metrics=["accuracy", "brier_score"]))
-
-
 # --------------------------------------------------------------------------
 # A2/E1/E10 corpus, 2.E cleaning, G1m-G3m folds, 2.J correlation
 # --------------------------------------------------------------------------
@@ -395,6 +379,17 @@ def _results(spark, sf):
     return M.fold_summary(fm, metrics=_RES_METRICS).drop(*[m + "_std" for m in _RES_METRICS], "n_folds")
 
 
+_SUMMARY = ", ".join(f"round(round(avg({m}), 12), 6) AS {m}, round(round(stddev_pop({m}), 12), 6) AS {m}_std" for m in _RES_METRICS)
+
+
+@register("fold_summary", _RES_SQL + f"""
+SELECT dataset, feature_group, model_name, {_SUMMARY}, count(DISTINCT fold) AS n_folds
+FROM fm GROUP BY dataset, feature_group, model_name""")
+def q_fold_summary(spark, sf):
+    fm = M.classification_metrics(fx.scored(spark, sf))
+    return M.rounded(M.fold_summary(fm, metrics=_RES_METRICS), settle=12)
+
+
 @register("extended_table", _RES_SQL + """
 SELECT dataset, model_name, feature_group, round(accuracy, 4) AS accuracy, round(precision, 4) AS precision,
        round(recall, 4) AS recall, round(f1, 4) AS f1, round(brier_score, 4) AS brier_score,
@@ -794,3 +789,130 @@ def q_rfecv(spark, sf):
     """I4: recursive elimination with 5-fold CV (50-tree forests), the score per size."""
     _, table = IM.rfecv(_imputed_fm(spark, sf), _MODEL_COLS, k=5, step=1, min_features=1, num_trees=50)
     return table
+
+
+# --------------------------------------------------------------------------
+# E2-E9 as one step, F1-F7 and F10, H13, J4, K3, K6, K10, K11, K13
+# --------------------------------------------------------------------------
+def _cleaned_sql(source: str, cols: list[str], mode: str, codes: str = "") -> str:
+    """CTEs ``imp``, ``caps``, ``fin`` over ``source``: imputed, clipped, encoded."""
+    clipped = C.count_columns(cols, mode)
+    imp = ", ".join(f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM {source})) AS {c}" for c in cols)
+    caps = ", ".join(f"quantile_cont({c}, 0.99) AS cap_{c}" for c in clipped)
+    sel = ", ".join(f"CAST(least({c}, cap_{c}) AS DOUBLE) AS {c}" if c in clipped else f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
+    return (f", imp AS MATERIALIZED (SELECT mail_id, label, {imp}{codes} FROM {source}), caps AS (SELECT {caps} FROM imp), "
+            f"fin AS MATERIALIZED (SELECT mail_id, label, {sel}{', raw_status' if codes else ''} FROM imp, caps)\n")
+
+
+def _clean_rows_sql(mode: str) -> str:
+    code = ", CAST(dense_rank() OVER (ORDER BY coalesce(raw_status, 'nan')) - 1 AS DOUBLE) AS raw_status"
+    return _FM + _cleaned_sql("feature_matrix", _FM_NUM, mode, code) + " UNION ALL ".join(
+        f"SELECT mail_id, label, '{c}' AS feature, round({c}, 6) AS value FROM fin WHERE (SELECT min({c}) < max({c}) FROM fin)"
+        for c in [*_FM_NUM, "raw_status"])
+
+
+def _clean_rows(mode: str):
+    def build(spark, sf):
+        t, _ = C.clean_and_encode(fx.feature_matrix(spark, sf), "B", mode)
+        features = [c for c in t.columns if c not in ("mail_id", "label")]
+        return M.rounded(t.select("mail_id", "label", *[F.col(c).cast("double").alias(c) for c in features])
+                         .unpivot(["mail_id", "label"], features, "feature", "value"))
+    return build
+
+
+for _mode in ("reference", "counts"):
+    register(f"clean_and_encode_{_mode}", _clean_rows_sql(_mode))(_clean_rows(_mode))
+
+
+@register("clean_wide", O.mail_prefix() + ", w AS MATERIALIZED (SELECT mail_id, label, "
+          + ", ".join(f"{O.FEATURE_SQL[c]} AS {c}" for c in W.WIDE_FEATURES) + " FROM hd)"
+          + _cleaned_sql("w", W.WIDE_FEATURES, "reference") + " UNION ALL ".join(
+              f"SELECT '{c}' AS feature, count(*) AS n, round(round(avg({c}), 12), 6) AS mean, round(max({c}), 6) AS largest "
+              f"FROM fin HAVING min({c}) < max({c})" for c in W.WIDE_FEATURES))
+def q_clean_wide(spark, sf):
+    """The cleaning of all 81 extracted columns, one row per column that is left."""
+    # extracted once: the cleaning reads its input for medians, caps, constants and rows
+    wide = W.wide_features(fx.raw_mail(spark, sf)).checkpoint()
+    t, _ = C.clean_and_encode(wide, "A", "reference")
+    features = [c for c in t.columns if c not in ("mail_id", "label")]
+    row = t.agg(*[F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.col(c).cast("double")).alias("mean"),
+                           F.max(F.col(c).cast("double")).alias("largest")).alias(c) for c in features])
+    out = row.unpivot([], features, "feature", "s").select("feature", "s.n", "s.mean", "s.largest")
+    return M.rounded(out, settle=12)
+
+
+def _group(group: str):
+    def build(spark, sf):
+        wanted = GR.group_columns(group, W.WIDE_FEATURES)
+        return GR.feature_subset(W.wide_features(fx.raw_mail(spark, sf), columns=wanted), group)
+    return build
+
+
+for _g in ("G1", "G2", "G3", "G4", "G5", "G6", "G7", "G8"):
+    register(f"feature_subset_{_g.lower()}", O.wide_sql(GR.group_columns(_g, W.WIDE_FEATURES)))(_group(_g))
+
+
+@register("overall_corr", _group_corr_sql("within").replace("SELECT sz.feature_group", ", wc AS (SELECT sz.feature_group").replace(
+    "round(CASE WHEN n_features >= 2 THEN w END, 6)", "CASE WHEN n_features >= 2 THEN w END") + """),
+bt AS (SELECT avg(abs(sp.s)) AS between_corr FROM pos a JOIN pos b
+       ON a.pos < b.pos AND a.first_group <> b.first_group LEFT JOIN sp ON sp.f1 = a.feature AND sp.f2 = b.feature)
+SELECT round(avg(within_corr), 6) AS mean_within, round(max(between_corr), 6) AS between_corr,
+       round(avg(within_corr) / max(between_corr), 6) AS ratio FROM wc, bt""")
+def q_overall_corr(spark, sf):
+    pairs, positions = _pairs_and_positions(spark, sf)
+    return M.rounded(J.overall_corr(J.within_group_corr(pairs, positions), J.between_group_corr(pairs, positions)))
+
+
+# the supplied tables hold no timings: a cell's mean of `mail_id % 97` stands for its scoring time
+_TIMED_SQL = _RES_SQL.rstrip() + """,
+tm AS (SELECT dataset, feature_group, model_name, avg(CAST(mail_id % 97 AS DOUBLE)) AS inference_ms_per_1k
+       FROM scored GROUP BY dataset, feature_group, model_name),
+rt AS (SELECT * FROM res JOIN tm USING (dataset, feature_group, model_name))
+"""
+
+
+def _timed_results(spark, sf):
+    cell = ["dataset", "feature_group", "model_name"]
+    times = fx.scored(spark, sf).groupBy(*cell).agg(F.avg((F.col("mail_id") % 97).cast("double")).alias("inference_ms_per_1k"))
+    return _results(spark, sf).join(times, cell)
+
+
+@register("fastest_within_1pct", _TIMED_SQL + """
+SELECT dataset, model_name, feature_group, round(inference_ms_per_1k, 6) AS inference_ms_per_1k,
+       round(accuracy, 6) AS accuracy, round(best_accuracy, 6) AS best_accuracy
+FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY inference_ms_per_1k, pos) AS rn
+      FROM (SELECT *, max(accuracy) OVER (PARTITION BY dataset) AS best_accuracy FROM rt) t
+      WHERE accuracy >= best_accuracy - 0.01) u WHERE rn = 1""")
+def q_fastest_within(spark, sf):
+    return M.rounded(R.fastest_within(_timed_results(spark, sf)))
+
+
+@register("accuracy_time", _TIMED_SQL + """
+SELECT dataset, model_name, feature_group, round(inference_ms_per_1k, 6) AS inference_ms_per_1k,
+       round(accuracy, 6) AS accuracy FROM rt""")
+def q_accuracy_time(spark, sf):
+    return M.rounded(R.accuracy_vs_time(_timed_results(spark, sf)))
+
+
+@register("timing_stats", _TIMED_SQL + """
+SELECT model_name, round(avg(inference_ms_per_1k), 6) AS mean, round(stddev_pop(inference_ms_per_1k), 6) AS std,
+       round(min(inference_ms_per_1k), 6) AS min, round(max(inference_ms_per_1k), 6) AS max FROM tm GROUP BY model_name""")
+def q_timing_stats(spark, sf):
+    return M.rounded(M.timing_stats(_timed_results(spark, sf), "inference_ms_per_1k", ["model_name"]))
+
+
+@register("best_baseline", _RES_SQL + """
+SELECT dataset, round(max(accuracy), 6) AS best_accuracy FROM res WHERE feature_group = 'G1' GROUP BY dataset""")
+def q_best_baseline(spark, sf):
+    return M.rounded(R.best_baseline_accuracy(_results(spark, sf).where("feature_group = 'G1'")))
+
+
+@register("metric_listing", _RES_SQL + "SELECT model_name, feature_group, " + ", ".join(
+    f"round(round({m}, 12), 4) AS {m}" for m in _RES_METRICS) + " FROM res")
+def q_metric_listing(spark, sf):
+    return R.metric_listing(_results(spark, sf))
+
+
+@register("datasets", _SC + "SELECT DISTINCT dataset FROM scored")
+def q_datasets(spark, sf):
+    return R.datasets(_results(spark, sf))
