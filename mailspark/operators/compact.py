@@ -116,11 +116,12 @@ def extract_folder(raw_mail: DataFrame, start_index: int = 1, max_files: int = 0
     """Sniff filter, path order, optional cap, running ``email_%04d`` ids
     (ids number the mail files, so a later failure would leave a gap)."""
     mails = raw_mail.where(is_mail_text(F.col("raw")))
-    numbered = row_number_by(mails, [], [path_col], out="_n")
+    # the features are numbered, not the mails: no text travels through the shuffle
+    numbered = row_number_by(compact_features(mails, keep=(path_col, "label")), [], [path_col], out="_n")
     if max_files > 0:
         numbered = numbered.where(F.col("_n") <= max_files)
     numbered = numbered.withColumn("email_id", F.format_string("email_%04d", F.col("_n") + (start_index - 1)))
-    return documents(compact_features(numbered, keep=("email_id", path_col, "label", "_n")))
+    return documents(numbered)
 
 
 def upgrade_documents(docs: DataFrame) -> DataFrame:

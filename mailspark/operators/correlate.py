@@ -1,50 +1,108 @@
 """2.J: Spearman correlation of features, group summaries, class profile.
 
-Ranks are average ranks (ties share the mean rank).  Each column's rank
-table is built from its distinct values with an exact range-partitioned
-running count, joined back to the rows (AQE broadcasts small tables), and all pairwise Pearson correlations of
-the ranks are computed in a single aggregate.  The group summaries work on
-the small long-form correlation table (features x features rows).
+Ranks are average ranks (ties share the mean rank).  Rank tables are built from
+the columns' distinct values with an exact range-partitioned running count.
+Tables that together stay under a counted bound travel to the tasks as sorted
+arrays; a column with more distinct values is joined to its table.  Every task
+streams its rows into one matrix of moments per pair of columns, and the
+correlations are a small aggregate of those.  The group summaries work on the
+long-form correlation table (features x features rows).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailspark.operators.numbering import cumulative_sum_by
+from mailspark.session import checkpoint_dir
 
+#: distinct values, of all columns together, up to which rank tables are broadcast
+BROADCAST_RANKS = 500_000
 
-def average_ranks(df: DataFrame, columns: list[str], id_col: str = "mail_id") -> DataFrame:
-    """``id_col`` plus ``r_<c>`` = average rank of each column's value (nulls keep null).
 
-    All columns are ranked in one pass: the (column, value) counts of the
-    unpivoted table get an exact range-partitioned running count per column
-    (no single-task window even for continuous columns), then each column's
-    rank table is joined back on its value."""
-    long = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in columns]) \
-        .unpivot([id_col], columns, "_col", "_val").where(F.col("_val").isNotNull())
-    d = long.groupBy("_col", "_val").agg(F.count(F.lit(1)).alias("_cnt"))
-    d = cumulative_sum_by(d, ["_col"], ["_val"], "_cnt", out="_before")
-    d = d.select("_col", "_val", (F.col("_before") + (F.col("_cnt") + 1) / 2.0).alias("_rank"))
-    out = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in columns])
-    for c in columns:
-        rc = d.where(F.col("_col") == c).select(F.col("_val").alias(c), F.col("_rank").alias("r_" + c))
-        out = out.join(rc, c, "left")
-    return out.select(id_col, *["r_" + c for c in columns])
+def _value(c: str):
+    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
 
 
-def spearman_pairs(df: DataFrame, columns: list[str], id_col: str = "mail_id") -> DataFrame:
+def rank_table(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(_col, _val, _cnt, _rank)``: average rank of every distinct value of each
+    column, in one pass over the unpivoted values; nulls and NaN have none."""
+    long = df.select(*[_value(c).alias(c) for c in columns]).unpivot([], columns, "_col", "_val") \
+        .where(F.col("_val").isNotNull())
+    d = long.groupBy("_col", "_val").agg(F.count(F.lit(1)).alias("_cnt"))
+    d = cumulative_sum_by(d, ["_col"], ["_val"], "_cnt", out="_before")
+    return d.select("_col", "_val", "_cnt", (F.col("_before") + (F.col("_cnt") + 1) / 2.0).alias("_rank"))
+
+
+def _moments(columns: list[str], tables, means: dict[str, float]):
+    """Arrow step: per task, one row of moments for each pair of columns.  Values
+    of the columns in ``tables`` are looked up there, others are ranks already.
+    Ranks are taken from their mean, so nothing cancels in the sums."""
+    schema = pa.schema([("i", pa.int32()), ("j", pa.int32())] + [(c, pa.float64()) for c in ("n", "si", "sj", "sii", "sjj", "sij")])
+
+    def run(batches):
+        known, total = tables.value, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ranks = []
+            for c in columns:
+                x = batch.column(c).to_numpy(zero_copy_only=False).astype(float)
+                if c in known:
+                    values, rank = known[c]
+                    at = np.minimum(np.searchsorted(values, x), len(values) - 1)
+                    x = np.where(np.isnan(x), np.nan, rank[at])
+                ranks.append(x - means.get(c, 0.0))
+            x = np.column_stack(ranks)
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            part = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+            total = part if total is None else total + part
+        if total is not None:
+            i, j = np.triu_indices(len(columns), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *(pa.array(t[i, j]) for t in total)],
+                                             schema=schema)
+    return run
+
+
+def spearman_pairs(df: DataFrame, columns: list[str], broadcast_ranks: int = BROADCAST_RANKS) -> DataFrame:
     """J1 + J5: long form ``(f1, f2, spearman, distance)`` for every pair f1 < f2
     in column order; undefined correlations (constant columns) are null."""
-    r = average_ranks(df, columns, id_col)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    row = r.agg(*[F.corr("r_" + a, "r_" + b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     spark = df.sparkSession
-    vals = row.first()
-    data = [(a, b, None if vals[f"{i}"] is None or vals[f"{i}"] != vals[f"{i}"] else float(vals[f"{i}"]))
-            for i, (a, b) in enumerate(pairs)]
-    out = spark.createDataFrame(data, "f1 string, f2 string, spearman double")
-    return out.withColumn("distance", 1.0 - F.abs("spearman"))
+    checkpoint_dir(spark)
+    d = rank_table(df, columns).checkpoint()
+    # one row per column
+    sizes = {r["_col"]: (r.values_, r.rows_) for r in d.groupBy("_col").agg(
+        F.count(F.lit(1)).alias("values_"), F.sum("_cnt").alias("rows_")).collect()}
+    known, room = [], broadcast_ranks
+    for c in sorted(sizes, key=lambda c: sizes[c][0]):
+        room -= sizes[c][0]
+        if room < 0:
+            break
+        known.append(c)
+    tables = {}
+    if known:
+        t = d.where(F.col("_col").isin(known)).select("_col", "_val", "_rank").toPandas().sort_values(["_col", "_val"])
+        tables = {c: (g["_val"].to_numpy(), g["_rank"].to_numpy()) for c, g in t.groupby("_col")}
+    rows = df.select(*[_value(c).alias(c) for c in columns])
+    for c in sizes.keys() - set(known):
+        rank = d.where(F.col("_col") == c).select(F.col("_val").alias(c), F.col("_rank").alias("_r"))
+        rows = rows.join(rank, c, "left").drop(c).withColumnRenamed("_r", c)
+    means = {c: (n + 1) / 2.0 for c, (_, n) in sizes.items()}
+    sums = ["n", "si", "sj", "sii", "sjj", "sij"]
+    moments = rows.select(*columns).mapInArrow(
+        _moments(columns, spark.sparkContext.broadcast(tables), means), "i int, j int, " + ", ".join(f"{c} double" for c in sums))
+    t = moments.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums])
+    n, si, sj = F.col("n"), F.col("si"), F.col("sj")
+    vi, vj = n * F.col("sii") - si * si, n * F.col("sjj") - sj * sj
+    # a column that is constant where both are present leaves rounding noise at most
+    varies = (vi > 1e-9 * n * F.col("sii")) & (vj > 1e-9 * n * F.col("sjj"))
+    r = F.when(varies, (n * F.col("sij") - si * sj) / F.sqrt(vi) / F.sqrt(vj))
+    names = F.array(*map(F.lit, columns))
+    return t.select(F.get(names, "i").alias("f1"), F.get(names, "j").alias("f2"), r.alias("spearman")) \
+        .withColumn("distance", 1.0 - F.abs("spearman")).checkpoint()
 
 
 def _symmetric(pairs: DataFrame) -> DataFrame:

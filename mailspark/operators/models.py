@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,8 @@ from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.util import inheritable_thread_target
 
 from mailspark.functions.headers import sigmoid
 from mailspark.operators.clean import quantiles
@@ -31,7 +33,7 @@ from mailspark.session import checkpoint_dir
 MODEL_NAMES = ["RF", "SVM", "MLP", "KNN", "Stacking", "OC_SVM"]
 DEFAULTS = {
     "RF": {"numTrees": 100, "maxDepth": 20},
-    "SVM": {"C": 1.0, "n_components": 256, "gamma": None, "calibration": "sigmoid", "calibration_cv": 0},
+    "SVM": {"C": 1.0, "n_components": 256, "gamma": None, "calibration": "sigmoid", "calibration_cv": 5},
     "MLP": {"hidden": [100, 50], "maxIter": 300},
     "OC_SVM": {"nu": 0.1, "n_components": 256, "gamma": None},
     "KNN": {"k": 5},
@@ -44,6 +46,18 @@ DEFAULTS = {
 RF_TRAINING = {"cacheNodeIds": True, "maxMemoryInMB": 1024, "checkpointInterval": 10}
 
 
+#: fits submitted side by side
+PARALLEL_FITS = 8
+
+
+def in_parallel(fits: list) -> list:
+    """Results of independent fits.  A fit is a chain of small jobs, so several
+    are submitted at once, as the library's own cross-validator does."""
+    submit = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(max_workers=min(PARALLEL_FITS, len(fits))) as pool:
+        return list(pool.map(lambda fit: fit(), [submit(f) for f in fits]))
+
+
 def _scaled(train: DataFrame, test: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
     """G3m on a train/test pair: population mean/std of the training rows."""
     row = train.agg(*[F.avg(F.col(c).cast("double")).alias("m_" + c) for c in cols],
@@ -118,25 +132,25 @@ def fit_predict(model: str, train: DataFrame, test: DataFrame, cols: list[str],
         tr, te = _scaled(train, test, cols)
         gamma = p["gamma"] or 1.0 / max(len(cols), 1)
         trf, tef = _rff(tr, cols, p["n_components"], gamma, seed), _rff(te, cols, p["n_components"], gamma, seed)
-        keep = [c for c in ("mail_id",) if c in trf.columns]
-        trf = trf.select(*keep, "label", "features").cache()  # iterative solver: project once
-        k = p.get("calibration_cv") or 0
-        if k > 1 and keep:
-            # the reference's cross-validated calibration: k fits, each
-            # calibrated on its held-out part, probabilities averaged
+        k = p["calibration_cv"] or 0
+        trf = trf.select(*(["mail_id"] if k > 1 else []), "label", "features").cache()  # iterative solver: project once
+        if k > 1:
+            # k fits, each calibrated on its held-out part, probabilities averaged
             from mailspark.operators.folds import stratified_folds
             inner = stratified_folds(trf, k=k, seed=seed, salt="calibration").cache()
-            parts = [_svm_probability(inner.where(F.col("fold") != f).drop("fold"),
-                                      inner.where(F.col("fold") == f).drop("fold"), tef, p)
-                     .select("mail_id", "y_prob") for f in range(k)]
-            avg = parts[0]
-            for q in parts[1:]:
-                avg = avg.unionByName(q)
-            avg = avg.groupBy("mail_id").agg(F.avg("y_prob").alias("y_prob"))
-            out = tef.drop("features").join(avg, "mail_id") \
-                .withColumn("prediction", (F.col("y_prob") > 0.5).cast("double"))
+            fitted = in_parallel([lambda f=f: _svm_fit(inner.where(F.col("fold") != f), inner.where(F.col("fold") == f), p)
+                                  for f in range(k)])
+            inner.unpersist()
         else:
-            out = _svm_probability(trf, trf, tef, p)
+            fitted = [_svm_fit(trf, trf, p)]
+        trf.unpersist()
+        names = [f"_p{i}" for i in range(len(fitted))]
+        out = tef
+        for name, probability in zip(names, fitted):
+            out = probability(out, name)
+        mean = sum((F.col(c) for c in names[1:]), F.col(names[0])) / len(names)
+        out = out.withColumn("y_prob", mean).drop("features", *names) \
+            .withColumn("prediction", (F.col("y_prob") > 0.5).cast("double"))
     elif model == "OC_SVM":
         # one-class: RFF mean embedding of ham rows; score = <z, mu> - rho,
         # rho = nu-quantile of the training scores; outlier (score < 0) -> 1
@@ -162,25 +176,25 @@ def fit_predict(model: str, train: DataFrame, test: DataFrame, cols: list[str],
     return out.withColumn("y_pred", F.col("prediction").cast("int"))
 
 
-def _svm_probability(fit_rows: DataFrame, cal_rows: DataFrame, score_rows: DataFrame, p: dict) -> DataFrame:
-    """LinearSVC on RFF features fitted on ``fit_rows``; its decision values
-    calibrated on ``cal_rows`` with Platt (one-feature logistic fit) or
-    isotonic regression; returns ``score_rows`` with ``y_prob`` / ``prediction``."""
+def _svm_fit(fit_rows: DataFrame, cal_rows: DataFrame, p: dict):
+    """LinearSVC on RFF features fitted on ``fit_rows``, its decision values
+    calibrated on ``cal_rows`` with Platt (one-feature logistic fit) or isotonic
+    regression.  Returns ``(rows, name) -> rows`` with the probability as ``name``."""
     n = fit_rows.count()
-    svc = LinearSVC(labelCol="label", featuresCol="features", regParam=1.0 / (p["C"] * max(n, 1)), maxIter=100)
-    m = svc.fit(fit_rows)
+    svc = LinearSVC(labelCol="label", featuresCol="features", rawPredictionCol="_raw", predictionCol="_class",
+                    regParam=1.0 / (p["C"] * max(n, 1)), maxIter=100).fit(fit_rows)
 
-    def dec(df):
-        return m.transform(df).withColumn("d", vector_to_array("rawPrediction")[1]) \
-            .drop("features", "rawPrediction", "prediction")
-    dec_cal, dec_te = dec(cal_rows), dec(score_rows)
+    def decided(df):
+        return svc.transform(df).withColumn("_d", vector_to_array("_raw")[1]).drop("_raw", "_class")
     if p["calibration"] == "isotonic":
-        iso = IsotonicRegression(labelCol="label", featuresCol="d", predictionCol="y_prob").fit(
-            dec_cal.withColumn("label", F.col("label").cast("double")))
-        return iso.transform(dec_te).withColumn("prediction", (F.col("y_prob") >= 0.5).cast("double"))
-    va = VectorAssembler(inputCols=["d"], outputCol="features")
-    platt = LogisticRegression(labelCol="label", featuresCol="features", regParam=0.0).fit(va.transform(dec_cal))
-    return _prob1(platt.transform(va.transform(dec_te)))
+        iso = IsotonicRegression(labelCol="label", featuresCol="_d", predictionCol="_iso").fit(
+            decided(cal_rows).withColumn("label", F.col("label").cast("double")))
+        return lambda df, name: iso.transform(decided(df)).withColumnRenamed("_iso", name).drop("_d")
+    va = VectorAssembler(inputCols=["_d"], outputCol="_dv")
+    platt = LogisticRegression(labelCol="label", featuresCol="_dv", rawPredictionCol="_raw", probabilityCol="_prob",
+                               predictionCol="_class", regParam=0.0).fit(va.transform(decided(cal_rows)))
+    return lambda df, name: platt.transform(va.transform(decided(df))).withColumn(
+        name, vector_to_array("_prob")[1]).drop("_d", "_dv", "_raw", "_prob", "_class")
 
 
 #: training points of a block, and test points that meet it in one task
@@ -285,23 +299,23 @@ def _stacking(train: DataFrame, test: DataFrame, cols: list[str], p: dict, seed:
     from mailspark.operators.folds import stratified_folds
     k = p["inner_folds"]
     tr = stratified_folds(train, k=k, seed=seed, salt="inner").cache()
-    oof = None
-    for b in p["base"]:
-        parts = [fit_predict(b, tr.where(F.col("fold") != f), tr.where(F.col("fold") == f), cols, seed=seed)
-                 .select("mail_id", F.col("y_prob").alias("p_" + b)) for f in range(k)]
-        u = parts[0]
-        for q in parts[1:]:
+    folds = [(tr.where(F.col("fold") != f), tr.where(F.col("fold") == f)) for f in range(k)]
+    # the inner folds of every base model, then the base models on all training rows
+    jobs = [(b, fit, held) for b in p["base"] for fit, held in [*folds, (train, test)]]
+    scored = in_parallel([lambda j=j: fit_predict(*j, cols, seed=seed).select(
+        "mail_id", F.col("y_prob").alias("p_" + j[0])).checkpoint() for j in jobs])
+    tr_all, te = tr, test
+    for i in range(len(p["base"])):
+        *held, final = scored[i * (k + 1):(i + 1) * (k + 1)]
+        u = held[0]
+        for q in held[1:]:
             u = u.unionByName(q)
-        oof = u if oof is None else oof.join(u, "mail_id")
+        tr_all, te = tr_all.join(u, "mail_id"), te.join(final, "mail_id")
     # passthrough: the meta model also sees the original features
     extra = cols if p.get("passthrough") else []
-    meta_in = tr.select("mail_id", "label", *extra).join(oof, "mail_id")
     base_cols = ["p_" + b for b in p["base"]] + extra
-    meta = LogisticRegression(labelCol="label", featuresCol="features").fit(_vec(meta_in, base_cols))
-    te = test
-    for b in p["base"]:
-        te = te.join(fit_predict(b, train, test, cols, seed=seed).select("mail_id", F.col("y_prob").alias("p_" + b)),
-                     "mail_id")
+    meta = LogisticRegression(labelCol="label", featuresCol="features").fit(_vec(tr_all, base_cols))
+    tr.unpersist()
     return _prob1(meta.transform(_vec(te, base_cols)))
 
 
@@ -311,17 +325,21 @@ def cv_predictions(df: DataFrame, cols: list[str], model: str, dataset: str, fea
     """G14m/G15m: k-fold loop; ``df`` carries ``fold``.  Returns the long
     predictions rows of every fold; per-fold train / inference seconds are
     appended to ``timings`` when given (H14)."""
-    parts = []
-    for f in range(k):
+    def fold(f: int) -> DataFrame:
         train, test = df.where(F.col("fold") != f), df.where(F.col("fold") == f)
         t0 = time.perf_counter()
         pred = fit_predict(model, train, test, cols, params, seed) \
-            .select("mail_id", F.col("label").alias("y_true"), "y_pred", "y_prob").cache()
-        t1 = time.perf_counter()  # fits run when the plan is made, scoring when it is counted
-        n = pred.count()
+            .select("mail_id", F.col("label").alias("y_true"), "y_pred", "y_prob")
+        t1 = time.perf_counter()  # fits run when the plan is made, scoring when it is written
+        pred = pred.checkpoint()
+        t2 = time.perf_counter()
         if timings is not None:
-            timings.append((dataset, feature_group, model, f, t1 - t0, time.perf_counter() - t1, n))
-        parts.append(pred.withColumn("fold", F.lit(f)))
+            timings.append((dataset, feature_group, model, f, t1 - t0, t2 - t1, pred.count()))
+        return pred.withColumn("fold", F.lit(f))
+
+    checkpoint_dir(df.sparkSession)
+    # folds that are timed run one after another
+    parts = [fold(f) for f in range(k)] if timings is not None else in_parallel([lambda f=f: fold(f) for f in range(k)])
     u = parts[0]
     for q in parts[1:]:
         u = u.unionByName(q)

@@ -331,14 +331,14 @@ def _spearman_sql() -> str:
     sel = " UNION ALL ".join(
         f"SELECT '{a}' AS f1, '{b}' AS f2, corr(r_{a}, r_{b}) AS s FROM rk" for a, b in pairs)
     return _imputed_fm_sql() + f""", rk AS (SELECT {ranks} FROM imp), c AS ({sel})
-SELECT f1, f2, round(CASE WHEN isnan(s) THEN NULL ELSE s END, 6) AS spearman,
-       round(1.0 - abs(CASE WHEN isnan(s) THEN NULL ELSE s END), 6) AS distance FROM c"""
+SELECT f1, f2, round(round(CASE WHEN isnan(s) THEN NULL ELSE s END, 12), 6) AS spearman,
+       round(round(1.0 - abs(CASE WHEN isnan(s) THEN NULL ELSE s END), 12), 6) AS distance FROM c"""
 
 
 @register("spearman_pairs", _spearman_sql())
 def q_spearman_pairs(spark, sf):
     fm = C.impute_median(fx.feature_matrix(spark, sf), _CORR_COLS)
-    return M.rounded(J.spearman_pairs(fm, _CORR_COLS))
+    return M.rounded(J.spearman_pairs(fm, _CORR_COLS), settle=12)
 
 
 @register("class_means", _imputed_fm_sql() + "\n" + " UNION ALL ".join(
@@ -535,7 +535,7 @@ def _cv(model, params=None):
 
 register("rf_cv")(_cv("RF", {"numTrees": 100, "maxDepth": 20}))
 register("svm_cv")(_cv("SVM"))
-register("mlp_cv")(_cv("MLP", {"maxIter": 100}))
+register("mlp_cv")(_cv("MLP"))
 register("one_class_score")(_cv("OC_SVM"))
 
 
@@ -691,8 +691,8 @@ def q_feature_topk(spark, sf):
     return imp.where(F.col("feature").isin(g8))
 
 
-def _positions():
-    groups = {g: GR.group_columns(g, _CORR_COLS) for g in GR.GROUP_NAMES}
+def _positions(cols=_CORR_COLS):
+    groups = {g: GR.group_columns(g, cols) for g in GR.GROUP_NAMES}
     rows, home, pos = [], {}, 0
     for g, feats in groups.items():
         for i, f in enumerate(feats):
@@ -702,9 +702,9 @@ def _positions():
     return [(g, gp, f, p, home[f]) for g, gp, f, p in rows]
 
 
-def _group_corr_sql(kind: str) -> str:
-    vals = ", ".join(f"('{g}', {gp}, '{f}', {p}, '{h}')" for g, gp, f, p, h in _positions())
-    spear = _spearman_sql()
+def _group_corr_sql(kind: str, spear: str | None = None, cols=_CORR_COLS) -> str:
+    vals = ", ".join(f"('{g}', {gp}, '{f}', {p}, '{h}')" for g, gp, f, p, h in _positions(cols))
+    spear = spear or _spearman_sql()
     head = spear[:spear.rindex("SELECT f1, f2")]
     pairs = ("sp AS (SELECT f1, f2, CASE WHEN isnan(s) THEN NULL ELSE s END AS s FROM c "
              "UNION ALL SELECT f2, f1, CASE WHEN isnan(s) THEN NULL ELSE s END FROM c), "

@@ -84,9 +84,7 @@ def _derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     # The supplied file is one row group, i.e. one scan task.  The per-mail
     # work downstream is CPU-bound, so spread the (narrow) order rows over
     # the cluster first; a deterministic hash on the key keeps retries exact.
-    n = spark.sparkContext.defaultParallelism
-    if orders.rdd.getNumPartitions() < n:
-        orders = orders.repartition(n, "o_orderkey")
+    orders = orders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     return spark.sql(sql, orders=orders)
 
 

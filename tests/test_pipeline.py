@@ -193,3 +193,19 @@ def test_auth_repair_fields_and_id_in_text(spark):
         if fixed:
             h = r.header_features
             assert (h.spf_result, h.dkim_result, h.dmarc_result, h.any_auth_fail, h.all_auth_pass, h.auth_results_present) == (-1, 1, 0, 1, 0, 1)
+
+
+def test_spearman_joined_and_broadcast_ranks_agree(spark):
+    from mailspark.operators.correlate import spearman_pairs
+    rows = [(float(i % 7), float((i * 3) % 5) if i % 4 else None, 1.0, float("nan") if i % 6 == 0 else float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    out = [sorted((r.f1, r.f2, None if r.spearman is None else round(r.spearman, 9)) for r in spearman_pairs(df, list("abcd"), n).collect())
+           for n in (0, 6, 1000)]
+    assert out[0] == out[1] == out[2]
+    got = {(a, b): v for a, b, v in out[0]}
+    assert got["a", "c"] is None and len(got) == 6
+    for a, b in (("a", "b"), ("a", "d"), ("b", "d")):
+        both = df.toPandas()[[a, b]]
+        # ranks of whole columns, pairs where both are present
+        r = both.rank()
+        assert abs(got[a, b] - r.corr().loc[a, b]) < 1e-9
