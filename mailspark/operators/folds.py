@@ -38,22 +38,24 @@ def holdout_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, id_col:
 
 def fold_stats(df: DataFrame, columns: list[str], fold: str = "fold") -> DataFrame:
     """Per held-out fold k: mean and population std of each column over the
-    training rows (fold != k), from one aggregate of per-fold sums."""
-    per = df.groupBy(fold).agg(F.count(F.lit(1)).alias("_n"),
-                               *[F.sum(F.col(c).cast("double")).alias("s_" + c) for c in columns],
-                               *[F.sum(F.pow(F.col(c).cast("double"), 2)).alias("q_" + c) for c in columns])
-    whole = Window.partitionBy()  # over the k per-fold rows only
-    # (column names are case-insensitive: totals get their own prefixes)
-    j = per.withColumns({"_ntot": F.sum("_n").over(whole),
-                         **{"st_" + c: F.sum("s_" + c).over(whole) for c in columns},
-                         **{"qt_" + c: F.sum("q_" + c).over(whole) for c in columns}})
-    out = [F.col(fold)]
-    n = F.col("_ntot") - F.col("_n")
-    for c in columns:
-        mean = (F.col("st_" + c) - F.col("s_" + c)) / n
-        var = F.greatest((F.col("qt_" + c) - F.col("q_" + c)) / n - mean * mean, F.lit(0.0))
-        out += [mean.alias("mean_" + c), F.sqrt(var).alias("std_" + c)]
-    return j.select(*out)
+    training rows (fold != k), from one aggregate per fold.  Squares are taken
+    from the means, so nothing cancels; nulls are left out."""
+    value = {c: F.col(c).cast("double") for c in columns}
+    per = df.groupBy(fold).agg(*[F.struct(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2")).alias("p_" + c) for c, v in value.items()])
+    # the k rows of all folds beside each of them
+    every = F.collect_list(F.struct(fold, *["p_" + c for c in columns])).over(Window.partitionBy())
+    j = per.withColumn("_all", every)
+    others = F.filter("_all", lambda r: (r[fold] != F.col(fold)))
+    none = F.lit(0).cast("bigint")
+
+    def stats(c: str) -> list:
+        parts = F.filter(F.transform(others, lambda r: r["p_" + c]), lambda p: p["n"] > 0)
+        n = F.nullif(F.aggregate(parts, none, lambda a, p: a + p["n"]), none)
+        mean = F.aggregate(parts, F.lit(0.0), lambda a, p: a + p["mean"] * p["n"]) / n
+        m2 = F.aggregate(parts, F.lit(0.0), lambda a, p: a + p["m2"] + p["n"] * (p["mean"] - mean) * (p["mean"] - mean))
+        return [mean.alias("mean_" + c), F.sqrt(m2 / n).alias("std_" + c)]
+    return j.select(fold, *[s for c in columns for s in stats(c)])
 
 
 def standard_scale(df: DataFrame, columns: list[str], fold: str = "fold") -> DataFrame:

@@ -44,7 +44,7 @@ def extended_table(results: DataFrame, digits: int = 4) -> DataFrame:
     """K1: fixed column order (available only), doubles rounded, and
     ``is_best_accuracy`` per (dataset, model) compared after rounding."""
     cols = [c for c in KEY_COLUMNS if c in results.columns]
-    t = M.rounded(results.select(*cols), digits)
+    t = M.rounded(results.select(*cols), digits, settle=12)
     w = Window.partitionBy("dataset", "model_name")
     return t.withColumn("is_best_accuracy", F.col("accuracy") == F.max("accuracy").over(w))
 
@@ -129,7 +129,7 @@ def metric_listing(results: DataFrame, cols=None, digits: int = 4) -> DataFrame:
     """Default metric columns (available only), rounded."""
     cols = cols or ["model_name", "feature_group", "accuracy", "precision", "recall", "f1", "auc",
                     "brier_score", "ece"]
-    return M.rounded(results.select(*[c for c in cols if c in results.columns]), digits)
+    return M.rounded(results.select(*[c for c in cols if c in results.columns]), digits, settle=12)
 
 
 def datasets(results: DataFrame) -> DataFrame:

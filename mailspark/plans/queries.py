@@ -107,17 +107,17 @@ r AS (SELECT *, coalesce(sum(pos + neg) OVER (PARTITION BY {keys} ORDER BY y_pro
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g),
 a AS (SELECT {keys}, sum(pos * (before + (pos + neg + 1) / 2.0)) AS rsum, sum(pos) AS p, sum(neg) AS n
       FROM r GROUP BY {keys})
-SELECT {keys}, round(CASE WHEN p > 0 AND n > 0 THEN (rsum - p * (p + 1) / 2.0) / (p * n) END, 6) AS auc FROM a"""
+SELECT {keys}, round(round(CASE WHEN p > 0 AND n > 0 THEN (rsum - p * (p + 1) / 2.0) / (p * n) END, 12), 6) AS auc FROM a"""
 
 
 @register("roc_auc", _auc_sql(_K))
 def q_roc_auc(spark, sf):
-    return M.rounded(M.roc_auc(fx.scored(spark, sf)))
+    return M.rounded(M.roc_auc(fx.scored(spark, sf)), settle=12)
 
 
 @register("roc_auc_by_model", _auc_sql("dataset, model_name"))
 def q_roc_auc_by_model(spark, sf):
-    return M.rounded(M.roc_auc(fx.scored(spark, sf), keys=["dataset", "model_name"]))
+    return M.rounded(M.roc_auc(fx.scored(spark, sf), keys=["dataset", "model_name"]), settle=12)
 
 
 @register("average_precision", _SC + f"""
@@ -143,10 +143,10 @@ _ECE_BIN = (f"CASE WHEN y_prob >= 0 AND y_prob < 1.0 THEN (CASE WHEN y_prob < {_
 @register("ece", _SC + f"""
 , b AS (SELECT {_K}, y_true, y_prob, {_ECE_BIN} AS bin FROM (SELECT *, {_B0} AS b0 FROM scored) s),
 pb AS (SELECT {_K}, bin, count(*) AS cnt, sum(y_true) AS sy, sum(y_prob) AS sp FROM b GROUP BY {_K}, bin)
-SELECT {_K}, round(coalesce(sum(CASE WHEN bin IS NOT NULL THEN abs(sp - sy) END), 0.0) / sum(cnt), 6) AS ece
+SELECT {_K}, round(round(coalesce(sum(CASE WHEN bin IS NOT NULL THEN abs(sp - sy) END), 0.0) / sum(cnt), 12), 6) AS ece
 FROM pb GROUP BY {_K}""")
 def q_ece(spark, sf):
-    return M.rounded(M.ece(fx.scored(spark, sf)))
+    return M.rounded(M.ece(fx.scored(spark, sf)), settle=12)
 
 
 _RB0 = "CAST(least(greatest(ceil(y_prob * 10) - 1, 0), 9) AS INTEGER)"
@@ -290,7 +290,7 @@ def q_holdout_split(spark, sf):
     return FO.holdout_split(fx.feature_matrix(spark, sf).select("mail_id", "label"), 0.2, 42)
 
 
-_SCALE_COLS = ["n_received_hops", "mid_len", "spf_result"]
+_SCALE_COLS = [c for c in _FM_NUM if c != "subject_len"]  # that one has nulls
 
 
 def _scale_sql() -> str:
@@ -300,7 +300,7 @@ def _scale_sql() -> str:
         f"(st_{c} - s_{c}) / (ntot - nn) AS mean_{c}, "
         f"sqrt(greatest((qt_{c} - q_{c}) / (ntot - nn) - ((st_{c} - s_{c}) / (ntot - nn)) ^ 2, 0.0)) AS std_{c}"
         for c in _SCALE_COLS)
-    sel = ", ".join(f"round(({c} - mean_{c}) / CASE WHEN std_{c} = 0 THEN 1.0 ELSE std_{c} END, 6) AS {c}"
+    sel = ", ".join(f"round(round(({c} - mean_{c}) / CASE WHEN std_{c} = 0 THEN 1.0 ELSE std_{c} END, 12), 6) AS {c}"
                     for c in _SCALE_COLS)
     return _FM + f""", f AS (SELECT *, {_FOLD_SQL} AS fold FROM feature_matrix),
 per AS (SELECT fold, count(*) AS nn, {per} FROM f GROUP BY fold),
@@ -312,7 +312,7 @@ SELECT mail_id, fold, {sel} FROM f JOIN st USING (fold)"""
 @register("standard_scale", _scale_sql())
 def q_standard_scale(spark, sf):
     fm = FO.stratified_folds(fx.feature_matrix(spark, sf), k=5, seed=42)
-    return M.rounded(FO.standard_scale(fm, _SCALE_COLS).select("mail_id", "fold", *_SCALE_COLS))
+    return M.rounded(FO.standard_scale(fm, _SCALE_COLS).select("mail_id", "fold", *_SCALE_COLS), settle=12)
 
 
 _CORR_COLS = ["subject_len", "n_received_hops", "mid_len", "spf_result", "has_reply_to", "from_non_ascii"]
@@ -354,9 +354,18 @@ def q_class_means(spark, sf):
 # --------------------------------------------------------------------------
 from mailspark.operators import report as R  # noqa: E402
 
-_RES_METRICS = ["accuracy", "precision", "recall", "f1", "brier_score"]
+_RES_METRICS = M.METRICS
 _RES_SQL = _SC + f"""
-, fm AS (SELECT {_K}, avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) AS accuracy,
+, ag AS (SELECT {_K}, y_prob, CAST(sum(y_true) AS DOUBLE) AS pos, CAST(sum(1 - y_true) AS DOUBLE) AS neg
+        FROM scored GROUP BY {_K}, y_prob),
+ar AS (SELECT *, coalesce(sum(pos + neg) OVER (PARTITION BY {_K} ORDER BY y_prob
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ag),
+au AS (SELECT {_K}, CASE WHEN p > 0 AND n > 0 THEN (rsum - p * (p + 1) / 2.0) / (p * n) END AS auc
+       FROM (SELECT {_K}, sum(pos * (before + (pos + neg + 1) / 2.0)) AS rsum, sum(pos) AS p, sum(neg) AS n FROM ar GROUP BY {_K}) t),
+eb AS (SELECT {_K}, y_true, y_prob, {_ECE_BIN} AS bin FROM (SELECT *, {_B0} AS b0 FROM scored) s),
+ep AS (SELECT {_K}, bin, count(*) AS cnt, sum(y_true) AS sy, sum(y_prob) AS sp FROM eb GROUP BY {_K}, bin),
+ec AS (SELECT {_K}, coalesce(sum(CASE WHEN bin IS NOT NULL THEN abs(sp - sy) END), 0.0) / sum(cnt) AS ece FROM ep GROUP BY {_K}),
+fc AS (SELECT {_K}, avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) AS accuracy,
          CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision,
          CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall,
          CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1,
@@ -366,6 +375,7 @@ _RES_SQL = _SC + f"""
                CAST(sum(CASE WHEN y_true = 1 AND y_pred = 0 THEN 1 ELSE 0 END) OVER c AS DOUBLE) AS fn
         FROM scored WINDOW c AS (PARTITION BY {_K})) s
   GROUP BY {_K}, tp, fp, fn),
+fm AS (SELECT * FROM fc JOIN au USING ({_K}) JOIN ec USING ({_K})),
 res AS (SELECT dataset, feature_group, model_name, {", ".join(f"avg({m}) AS {m}" for m in _RES_METRICS)},
         row_number() OVER (ORDER BY dataset, feature_group, model_name) AS pos
         FROM fm GROUP BY dataset, feature_group, model_name),
@@ -375,7 +385,7 @@ paper AS (SELECT * FROM (VALUES {", ".join(f"('{d}', '{m}', CAST({a} AS DOUBLE),
 
 
 def _results(spark, sf):
-    fm = M.classification_metrics(fx.scored(spark, sf))
+    fm = M.all_metrics(fx.scored(spark, sf))
     return M.fold_summary(fm, metrics=_RES_METRICS).drop(*[m + "_std" for m in _RES_METRICS], "n_folds")
 
 
@@ -386,15 +396,13 @@ _SUMMARY = ", ".join(f"round(round(avg({m}), 12), 6) AS {m}, round(round(stddev_
 SELECT dataset, feature_group, model_name, {_SUMMARY}, count(DISTINCT fold) AS n_folds
 FROM fm GROUP BY dataset, feature_group, model_name""")
 def q_fold_summary(spark, sf):
-    fm = M.classification_metrics(fx.scored(spark, sf))
+    fm = M.all_metrics(fx.scored(spark, sf))
     return M.rounded(M.fold_summary(fm, metrics=_RES_METRICS), settle=12)
 
 
 @register("extended_table", _RES_SQL + """
-SELECT dataset, model_name, feature_group, round(accuracy, 4) AS accuracy, round(precision, 4) AS precision,
-       round(recall, 4) AS recall, round(f1, 4) AS f1, round(brier_score, 4) AS brier_score,
-       round(accuracy, 4) = max(round(accuracy, 4)) OVER (PARTITION BY dataset, model_name) AS is_best_accuracy
-FROM res""")
+SELECT *, accuracy = max(accuracy) OVER (PARTITION BY dataset, model_name) AS is_best_accuracy
+FROM (SELECT dataset, model_name, feature_group, """ + ", ".join(f"round(round({m}, 12), 4) AS {m}" for m in _RES_METRICS) + " FROM res) t")
 def q_extended_table(spark, sf):
     return R.extended_table(_results(spark, sf))
 
@@ -409,16 +417,12 @@ def q_best_accuracy(spark, sf):
     return M.rounded(R.best_accuracy(_results(spark, sf), R.paper_baseline(spark)))
 
 
-@register("calibration_extremes", _RES_SQL + """
-SELECT 'brier_score' AS metric, kind, round(value, 6) AS value, model_name, feature_group, dataset FROM (
-  SELECT 'best' AS kind, brier_score AS value, model_name, feature_group, dataset,
-         row_number() OVER (ORDER BY brier_score ASC, pos) AS rn FROM res WHERE brier_score IS NOT NULL
-  UNION ALL
-  SELECT 'worst', brier_score, model_name, feature_group, dataset,
-         row_number() OVER (ORDER BY brier_score DESC, pos) FROM res WHERE brier_score IS NOT NULL) t
-WHERE rn = 1""")
+@register("calibration_extremes", _RES_SQL + " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, '{kind}' AS kind, round(round({m}, 12), 6) AS value, model_name, feature_group, dataset FROM ("
+    f"SELECT *, row_number() OVER (ORDER BY {m} {order}, pos) AS rn FROM res WHERE {m} IS NOT NULL) {m}_{kind} WHERE rn = 1"
+    for m in ("brier_score", "ece") for kind, order in (("best", "ASC"), ("worst", "DESC"))))
 def q_calibration_extremes(spark, sf):
-    return M.rounded(R.calibration_extremes(_results(spark, sf), columns=("brier_score",)))
+    return M.rounded(R.calibration_extremes(_results(spark, sf)), settle=12)
 
 
 @register("paper_delta", _RES_SQL + """
@@ -444,10 +448,10 @@ def q_group_bars(spark, sf):
     return M.rounded(R.group_bars(_results(spark, sf), "f1"))
 
 
-@register("best_per_dataset", _RES_SQL + """
-SELECT dataset, round(max(accuracy), 6) AS best_accuracy, round(max(f1), 6) AS best_f1 FROM res GROUP BY dataset""")
+@register("best_per_dataset", _RES_SQL + "SELECT dataset, " + ", ".join(
+    f"round(round(max({m}), 12), 6) AS best_{m}" for m in ("accuracy", "f1", "auc")) + " FROM res GROUP BY dataset")
 def q_best_per_dataset(spark, sf):
-    return M.rounded(R.best_per_dataset(_results(spark, sf), metrics=("accuracy", "f1")))
+    return M.rounded(R.best_per_dataset(_results(spark, sf)), settle=12)
 
 
 @register("flagship_class_profile", O.mail_prefix() + "\n" + " UNION ALL ".join(
