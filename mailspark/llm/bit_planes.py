@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailspark.llm.encoder import encoder, vocabulary
+from mailspark.llm.encoder import LARGE_MEMO_WORDS, encoder, vocabulary
 from mailspark.session import scratch_dir
 
 MAGIC = b"BPL1"
@@ -134,7 +134,7 @@ def write_files(docs: DataFrame, path: str, bits: int = 8, file_ids: int = FILE_
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches):
-        words = encoder(vocab)
+        words = encoder(vocab, LARGE_MEMO_WORDS)
         shard = TaskContext.get().partitionId()
         names, lengths, parts = [], [], []
         held = file = before = 0

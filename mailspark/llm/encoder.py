@@ -16,8 +16,10 @@ import numpy as np
 SEPARATOR, SEPARATOR_ID = "<|endoftext|>", 49407
 WORD_END = "</w>"
 _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
-#: words in one of the memo's two generations (about 250 bytes each)
+#: words in one of the memo's two generations (about 250 bytes each); a step that
+#: shares its workers with other operators takes the smaller one
 MEMO_WORDS = 150_000
+LARGE_MEMO_WORDS = 300_000
 
 
 class WordEncoder:
@@ -110,9 +112,9 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, memo_words: int = MEMO_WORDS) -> WordEncoder:
     """The encoder of this Python worker."""
-    return WordEncoder(path)
+    return WordEncoder(path, memo_words)
 
 
 def vocabulary() -> str:
