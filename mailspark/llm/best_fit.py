@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailspark.llm.encoder import encoder, vocabulary
+from mailspark.llm.encoder import LARGE_MEMO_WORDS, encoder, vocabulary
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 ATTENTION = 65536
@@ -64,9 +64,8 @@ def token_count(text: Column, vocab: str | None = None) -> Column:
     vocab = vocab or vocabulary()
 
     def run(texts: pa.Array) -> pa.Array:
-        words = encoder(vocab)
-        return pa.array([sum(map(len, words.word_ids(words.words(t.as_py())))) // 4 if t.is_valid else 0
-                         for t in texts], type=pa.int64())
+        words = encoder(vocab, LARGE_MEMO_WORDS, counts=True)
+        return pa.array([words.count(t.as_py()) if t.is_valid else 0 for t in texts], type=pa.int64())
     return F.arrow_udf(run, "bigint").asNondeterministic()(text)
 
 

@@ -16,16 +16,17 @@ import numpy as np
 SEPARATOR, SEPARATOR_ID = "<|endoftext|>", 49407
 WORD_END = "</w>"
 _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
-#: words in one of the memo's two generations (about 250 bytes each); a step that
-#: shares its workers with other operators takes the smaller one
+#: words in one of the memo's two generations (about 250 bytes each, less where only
+#: counts are held); the larger one is for steps that hold little beside it
 MEMO_WORDS = 150_000
 LARGE_MEMO_WORDS = 300_000
 
 
 class WordEncoder:
-    """``word -> little-endian uint32 ids`` with a bounded memo."""
+    """``word -> little-endian uint32 ids``, or with ``counts`` the number of
+    these, with a bounded memo."""
 
-    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS, counts: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -38,8 +39,9 @@ class WordEncoder:
         for token, i in self.full.get_vocab(with_added_tokens=False).items():
             self.ends[i] = token.endswith(WORD_END)
         self.memo_words = memo_words
-        self.memo: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.counts = counts
+        self.memo: dict[bytes, bytes | int] = {}
+        self.older: dict[bytes, bytes | int] = {}
 
     @staticmethod
     def words(text: str) -> list[bytes]:
@@ -71,7 +73,8 @@ class WordEncoder:
             self._split(plain, self._ids(self.plain, " ".join([w.decode() for w in plain])), None)
         odd = [w for w in other if b"<|" in w]
         for w in odd:
-            memo[w] = self._ids(self.full, w.decode()).tobytes()
+            ids = self._ids(self.full, w.decode())
+            memo[w] = len(ids) if self.counts else ids.tobytes()
         other = [w for w in other if b"<|" not in w]
         if other:
             self._split(other, self._ids(self.full, SEPARATOR.join([w.decode() for w in other])), SEPARATOR_ID)
@@ -87,12 +90,15 @@ class WordEncoder:
             start, end = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(ids)]])
         if len(start) != len(words):
             raise ValueError(f"{len(words)} words gave {len(start)} groups of ids")
+        if self.counts:
+            self.memo.update(zip(words, (end - start).tolist()))
+            return
         raw = ids.tobytes()
         for w, a, b in zip(words, (start * 4).tolist(), (end * 4).tolist()):
             self.memo[w] = raw[a:b]
 
-    def word_ids(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word, as bytes."""
+    def word_ids(self, words: list[bytes]) -> list[bytes | int]:
+        """Ids of each word as bytes, or their number."""
         new = set(words).difference(self.memo)
         if new:
             if len(self.memo) > self.memo_words:
@@ -110,11 +116,15 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         return b"".join(self.word_ids(self.words(text)))
 
+    def count(self, text: str) -> int:
+        """Number of ids of ``text``; the encoder must hold ``counts``."""
+        return sum(self.word_ids(self.words(text)))
+
 
 @lru_cache(maxsize=1)
-def encoder(path: str, memo_words: int = MEMO_WORDS) -> WordEncoder:
+def encoder(path: str, memo_words: int = MEMO_WORDS, counts: bool = False) -> WordEncoder:
     """The encoder of this Python worker."""
-    return WordEncoder(path, memo_words)
+    return WordEncoder(path, memo_words, counts)
 
 
 def vocabulary() -> str:

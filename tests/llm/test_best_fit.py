@@ -61,3 +61,13 @@ def test_many_groups(spark):
     counts = {i: rng.randint(1, 8192) for i in range(500)}
     pieces = spark.createDataFrame([(i, 0, n, 0) for i, n in counts.items()], "doc_id long, piece int, n_tokens int, salt long")
     check(bf.pack_pieces(pieces, 500, group_pieces=60).collect(), counts)
+
+
+def test_counts_are_lengths_of_the_ids():
+    from mailspark.llm.encoder import WordEncoder, vocabulary
+    texts = ["", "plain words, and more.", "A<|endoftext|>b <|x", "caf\u00e9 caf\u00e9. 12,5 . ,", "w1 w2. w3, " * 9, " \t\n"]
+    ids, counts = WordEncoder(vocabulary(), 5), WordEncoder(vocabulary(), 5, counts=True)
+    for _ in range(2):
+        for t in texts:
+            assert counts.count(t) == len(ids.encode(t)) // 4
+            assert counts.count(t) == len(ids.full.encode(t, add_special_tokens=False).ids)
