@@ -209,3 +209,15 @@ def test_spearman_joined_and_broadcast_ranks_agree(spark):
         # ranks of whole columns, pairs where both are present
         r = both.rank()
         assert abs(got[a, b] - r.corr().loc[a, b]) < 1e-9
+
+
+def test_fold_stats_far_from_zero(spark):
+    import numpy as np
+    from mailspark.operators.folds import fold_stats
+    rows = [(i % 3, 1e9 + i % 7, None if i % 5 == 0 else float(i), None) for i in range(60)]
+    got = {r["fold"]: r for r in fold_stats(spark.createDataFrame(rows, "fold int, a double, b double, c double"), ["a", "b", "c"]).collect()}
+    for f in range(3):
+        for c, k in (("a", 1), ("b", 2)):
+            x = np.array([r[k] for r in rows if r[0] != f and r[k] is not None])
+            assert abs(got[f]["mean_" + c] - x.mean()) < 1e-6 and abs(got[f]["std_" + c] - x.std()) < 1e-6
+        assert got[f]["mean_c"] is None and got[f]["std_c"] is None
