@@ -32,7 +32,7 @@ from mailspark.session import checkpoint_dir
 
 MODEL_NAMES = ["RF", "SVM", "MLP", "KNN", "Stacking", "OC_SVM"]
 DEFAULTS = {
-    "RF": {"numTrees": 100, "maxDepth": 20},
+    "RF": {"numTrees": 100, "maxDepth": None},  # no limit of its own: the library's 30 levels
     "SVM": {"C": 1.0, "n_components": 256, "gamma": None, "calibration": "sigmoid", "calibration_cv": 5},
     "MLP": {"hidden": [100, 50], "maxIter": 300},
     "OC_SVM": {"nu": 0.1, "n_components": 256, "gamma": None},

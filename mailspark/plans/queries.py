@@ -537,7 +537,7 @@ def _cv(model, params=None):
     return build
 
 
-register("rf_cv")(_cv("RF", {"numTrees": 100, "maxDepth": 20}))
+register("rf_cv")(_cv("RF"))
 register("svm_cv")(_cv("SVM"))
 register("mlp_cv")(_cv("MLP"))
 register("one_class_score")(_cv("OC_SVM"))

@@ -221,3 +221,25 @@ def test_fold_stats_far_from_zero(spark):
             x = np.array([r[k] for r in rows if r[0] != f and r[k] is not None])
             assert abs(got[f]["mean_" + c] - x.mean()) < 1e-6 and abs(got[f]["std_" + c] - x.std()) < 1e-6
         assert got[f]["mean_c"] is None and got[f]["std_c"] is None
+
+
+def test_forests_have_the_librarys_full_depth(spark, monkeypatch):
+    from mailspark import catalog
+    levels, limits = [], []
+
+    class Kept(MD.RandomForestClassifier):
+        def fit(self, rows):
+            model = super().fit(rows)
+            limits.append(self.getMaxDepth())
+            levels.append(max(t.depth for t in model.trees))
+            return model
+    monkeypatch.setattr(MD, "RandomForestClassifier", Kept)
+    # labels without order over a fine grid: pure only far down
+    noisy = spark.range(6000).select(F.col("id").alias("mail_id"), (F.xxhash64("id") % 2 == 0).cast("int").alias("label"),
+                                     *[F.pmod(F.xxhash64("id", F.lit(c)), F.lit(1000)).alias(c) for c in "abc"])
+    MD.fit_predict("RF", noisy, noisy, list("abc")).count()
+    assert levels[0] > 20
+    catalog.queries()["rf_cv"](spark, "/root/testdata/sf0.001").count()
+    assert limits == [30] * 6
+    with pytest.raises(ValueError):
+        MD.fit_predict("RF", noisy, noisy, list("abc"), {"maxDepth": 31})
