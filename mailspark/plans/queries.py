@@ -750,12 +750,12 @@ def q_between_group_corr(spark, sf):
 _KNN_COLS = ["n_received_hops", "mid_len", "spf_result"]
 
 
-def _knn_sql() -> str:
-    st = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _KNN_COLS)
-    sc = ", ".join(f"({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1.0 ELSE s_{c} END AS {c}" for c in _KNN_COLS)
-    dist = " + ".join(f"pow(q.{c} - t.{c}, 2)" for c in _KNN_COLS)
+def _knn_sql(cols=_KNN_COLS, head: str = _FM, source: str = "feature_matrix") -> str:
+    st = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in cols)
+    sc = ", ".join(f"({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1.0 ELSE s_{c} END AS {c}" for c in cols)
+    dist = " + ".join(f"pow(q.{c} - t.{c}, 2)" for c in cols)
     take = "least(n, greatest(5 - (cum - n), 0))"
-    return _FM + f""", f AS (SELECT *, {_FOLD_SQL} AS fold FROM feature_matrix),
+    return head + f""", f AS (SELECT *, {_FOLD_SQL} AS fold FROM {source}),
 st AS (SELECT {st} FROM f WHERE fold <> 0),
 tr AS (SELECT label, {sc} FROM f, st WHERE fold <> 0),
 te AS (SELECT mail_id, {sc} FROM f, st WHERE fold = 0),
@@ -773,6 +773,14 @@ def q_knn_predict(spark, sf):
     return M.rounded(out.select("mail_id", "y_prob"))
 
 
+@register("knn_predict_wide", _knn_sql(_MODEL_COLS, _imputed_fm_sql(), "imp"))
+def q_knn_predict_wide(spark, sf):
+    """The six model columns: nearly a point per mail, so several blocks from sf0.01 on."""
+    folded = FO.stratified_folds(_imputed_fm(spark, sf), k=5, seed=42)
+    out = MD.knn_predict(folded.where("fold <> 0"), folded.where("fold = 0"), _MODEL_COLS, k=5)
+    return M.rounded(out.select("mail_id", "y_prob"))
+
+
 register("knn_cv")(_cv("KNN"))
 
 

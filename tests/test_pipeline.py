@@ -243,3 +243,29 @@ def test_forests_have_the_librarys_full_depth(spark, monkeypatch):
     assert limits == [30] * 6
     with pytest.raises(ValueError):
         MD.fit_predict("RF", noisy, noisy, list("abc"), {"maxDepth": 31})
+
+
+@pytest.mark.parametrize("columns", [1, 6])
+def test_knn_over_many_blocks_equals_brute_force(spark, monkeypatch, columns):
+    import numpy as np
+    monkeypatch.setattr(MD, "KNN_BLOCK", 50)
+    monkeypatch.setattr(MD, "KNN_QUERIES", 40)
+    rng = np.random.default_rng(1)
+    # small whole numbers beside wide ones: exact ties, repeated points and distant ones
+    x = np.column_stack([rng.integers(0, 1000, 700), *[rng.integers(0, 4, 700) for _ in range(columns - 1)]]).astype(float)
+    x[:100] = x[100:200]
+    label = rng.integers(0, 2, 700)
+    cols = [f"c{i}" for i in range(columns)]
+    df = spark.createDataFrame([(i, int(y), *map(float, r)) for i, (y, r) in enumerate(zip(label, x))],
+                               "mail_id long, label int, " + ", ".join(c + " double" for c in cols))
+    train, test = df.where("mail_id % 5 <> 0"), df.where("mail_id % 5 = 0")
+    got = {r.mail_id: r.y_prob for r in MD.knn_predict(train, test, cols, k=5).select("mail_id", "y_prob").collect()}
+    fit = np.arange(700) % 5 != 0
+    z = (x - x[fit].mean(axis=0)) / x[fit].std(axis=0)
+    assert len(got) == 140
+    for i in np.flatnonzero(~fit):
+        d = np.round(np.sqrt(((z[fit] - z[i]) ** 2).sum(axis=1)), 9)
+        cut = np.sort(d)[4]
+        near, tied = d < cut, d == cut
+        want = (label[fit][near].sum() + (5 - near.sum()) * label[fit][tied].mean()) / 5
+        assert abs(got[i] - want) < 1e-9
