@@ -315,6 +315,23 @@ def q_standard_scale(spark, sf):
     return M.rounded(FO.standard_scale(fm, _SCALE_COLS).select("mail_id", "fold", *_SCALE_COLS), settle=12)
 
 
+def _scale_all_sql() -> str:
+    st = ", ".join(f"avg(f.{c}) AS mean_{c}, sqrt(var_pop(f.{c})) AS std_{c}" for c in _FM_NUM)
+    sel = ", ".join(f"round(round(({c} - mean_{c}) / CASE WHEN std_{c} = 0 THEN 1.0 ELSE std_{c} END, 12), 6) AS {c}"
+                    for c in _FM_NUM)
+    return _FM + f""", f AS (SELECT *, {_FOLD_SQL} AS fold FROM feature_matrix),
+k AS (SELECT DISTINCT fold FROM f),
+st AS (SELECT k.fold, {st} FROM k JOIN f ON f.fold <> k.fold GROUP BY k.fold)
+SELECT mail_id, fold, {sel} FROM f JOIN st USING (fold)"""
+
+
+@register("standard_scale_all", _scale_all_sql())
+def q_standard_scale_all(spark, sf):
+    """With subject_len: statistics of the values that are not null, squares from the mean."""
+    fm = FO.stratified_folds(fx.feature_matrix(spark, sf), k=5, seed=42)
+    return M.rounded(FO.standard_scale(fm, _FM_NUM).select("mail_id", "fold", *_FM_NUM), settle=12)
+
+
 _CORR_COLS = ["subject_len", "n_received_hops", "mid_len", "spf_result", "has_reply_to", "from_non_ascii"]
 
 
