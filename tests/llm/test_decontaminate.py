@@ -46,3 +46,27 @@ def test_blocks_give_the_same(spark):
     assert 1 not in ids and 2 not in ids and 3 in ids and 4 in ids and 7 in ids
     assert dc.drop_contaminated(docs, bench.filter("false")).count() == docs.count()
     assert dc.drop_contaminated(awkward.documents(spark, []), bench).count() == 0
+
+
+def test_blocks_hold_a_bounded_number_of_windows(spark):
+    rng = random.Random(4)
+    vocab = ["a", "b", "\u00e9", "C1"]
+    items = [(k, ", ".join(rng.choices(vocab, k=n))) for k, n in enumerate([0, 3, 13, 14, 30, 200, 500, 12])]
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    blocks = [b.value for b in dc._blocks(bench, dc.MAX_BYTES, 50, dc.WINDOW)]
+    assert len(blocks) > 10
+    every = {}
+    for block in blocks:
+        windows = [(i, w) for i, t in block for w in dc.windows_of(dc.split_words(t))]
+        assert len(windows) <= 50
+        for i, w in windows:
+            every.setdefault(i, []).append(w)
+    # no window is lost, made up or found twice
+    assert every == {str(k): dc.windows_of(dc.split_words(t)) for k, t in items if t}
+    texts = [", ".join(rng.choices(vocab + ["zz"], k=rng.randrange(60))) for _ in range(30)] + [items[6][1][40:700]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in dc.scan_documents(docs, bench, max_windows=200).collect():
+        assert (r.hits.n_words, r.hits.words, r.hits.items) == brute(r.row.text, [(str(k), t) for k, t in items])
+    # one text of the size of a few blocks leaves the default with several
+    wide = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(3 * dc.MAX_WINDOWS)))], "item_id long, text string")
+    assert len(dc._blocks(wide, dc.MAX_BYTES, dc.MAX_WINDOWS, dc.WINDOW)) == 3
