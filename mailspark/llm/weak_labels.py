@@ -31,6 +31,8 @@ EPOCHS = 150
 #: a document is kept from this score on
 KEEP = 0.5
 MEMO_WORDS = 400_000
+#: words of a block of ``variety``, and the power of its length by which a text's distinct words grow
+BLOCK, GROWTH = 400, 0.7
 
 _UPPER = bytes(range(65, 91))
 _SYMBOLS = b"#*$%&|<>"
@@ -43,6 +45,17 @@ _SHAPE = bytes(88 if 65 <= b <= 90 else 120 if 97 <= b <= 122 else 57 if 48 <= b
                for b in range(256))
 
 
+def variety(words: list[bytes]) -> float:
+    """Share of distinct words; over ``BLOCK`` words the lower of two measures of
+    the whole text: the mean share of consecutive blocks, and the distinct words
+    against the number that a text of this length should have."""
+    n = len(words)
+    if n <= BLOCK:
+        return len(set(words)) / n
+    near = sum(len(set(words[i:i + BLOCK])) for i in range(0, n, BLOCK)) / n
+    return min(near, len(set(words)) / (BLOCK * (n / BLOCK) ** GROWTH))
+
+
 def votes(raw: bytes, words: list[bytes]) -> str:
     """One sign per labeller."""
     n = len(words)
@@ -57,10 +70,9 @@ def votes(raw: bytes, words: list[bytes]) -> str:
         return "0" if value <= bad else "1" if value >= good else "-"
 
     lines = [x for x in raw.split(b"\n") if x.strip(_SPACES)]
-    distinct = len(set(words))
     return "".join((
         vote(sum(w.translate(None, _LETTERS) in _MARKS for w in words) / n, 0.6, 0.9),
-        vote(distinct / min(n, 400), 0.2, 0.45),
+        vote(variety(words), 0.2, 0.45),
         vote((len(raw) - len(raw.translate(None, _SYMBOLS))) / chars, 0.05, 0.005),
         vote((len(raw) - len(raw.translate(None, _UPPER))) / chars, 0.4, 0.15),
         vote(raw.count(b"!!") / n, 0.2, 0.01),

@@ -37,3 +37,22 @@ def test_awkward_rows(spark):
     assert len(rows) == len(awkward.TEXTS)
     assert len({(r.score, r.votes) for r in rows if r.doc_id == 2}) == 1
     assert wl.op3_weak_labels(awkward.documents(spark, [])).count() == 0
+
+
+def test_variety_covers_the_whole_of_long_texts():
+    def vote(words):
+        return wl.votes(b" ".join(words), words)[wl.LABELLERS.index("variety")]
+    rng = np.random.default_rng(1)
+    some = [b"w%d" % i for i in range(200)]
+    assert vote(some) == vote(some * 2) == "1"
+    # the same 200 words again and again, in order or not
+    assert vote(some * 100) == "0"
+    assert vote([some[i] for i in rng.integers(0, 200, 20_000)]) == "0"
+    # many words in all, few in any place
+    assert vote([b"v%d" % (i // 400 * 20 + i % 20) for i in range(20_000)]) == "0"
+    # words as prose has them: few that are common, many that are rare
+    for n in (1_000, 20_000, 200_000):
+        rank = (np.exp(rng.random(n) * np.log(200_000))).astype(int)
+        assert vote([b"p%d" % i for i in rank]) == "1"
+    # a text whose second half repeats one passage loses its good vote only by its share
+    assert wl.variety([b"n%d" % i for i in range(10_000)] + some * 50) > wl.variety(some * 100)
