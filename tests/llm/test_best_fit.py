@@ -1,6 +1,8 @@
+import hashlib
 import random
 
 import awkward
+import pytest
 from mailspark.llm import best_fit as bf
 from mailspark.llm.encoder import WordEncoder, vocabulary
 
@@ -71,3 +73,33 @@ def test_counts_are_lengths_of_the_ids():
         for t in texts:
             assert counts.count(t) == len(ids.encode(t)) // 4
             assert counts.count(t) == len(ids.full.encode(t, add_special_tokens=False).ids)
+
+
+def test_sequences_hold_every_text(spark, tmp_path):
+    docs = awkward.documents(spark)
+    words = WordEncoder(vocabulary())
+    want = {}
+    for i, t in awkward.TEXTS:
+        ids = words.full.encode(t or "", add_special_tokens=False).ids
+        if ids:
+            want.setdefault((i, hashlib.sha256(t.encode()).hexdigest()), []).append(ids)
+    assert len(want) < sum(map(len, want.values()))  # copies
+    bf.write_sequences(docs, str(tmp_path / "packed"))
+    got, n = {}, 0
+    for r in spark.read.parquet(str(tmp_path / "packed")).collect():
+        assert len(r.ids) <= r.capacity and [p.offset for p in r.parts] == sorted({p.offset for p in r.parts})
+        assert sum(p.n_tokens for p in r.parts) == len(r.ids)
+        for p in r.parts:
+            got.setdefault((p.doc_id, p.text_sha256, p.start), []).append(r.ids[p.offset:p.offset + p.n_tokens])
+            n += p.n_tokens
+    assert n == sum(len(ids) for copies in want.values() for ids in copies)
+    for (i, key, start), pieces in got.items():
+        assert pieces == [ids[start:start + max(bf.CAPACITIES)] for ids in want[i, key]]
+    # placements name their rows; the query stays the assignment
+    placed = bf.pack_documents(docs)
+    assert {"text_sha256", "start"} <= set(placed.columns)
+    assert bf.op7_best_fit(docs).columns == [c.split()[0] for c in bf.PACKED.split(", ")]
+    assert bf.sequences(docs, placed).count() == len({r.bin_id for r in placed.collect()})
+    with pytest.raises(Exception, match="does not fit"):
+        bf.sequences(docs.filter("doc_id <> 7"), placed).collect()
+    assert bf.sequences(docs.filter("false"), placed.filter("false")).count() == 0
