@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from mailspark.llm import (best_fit, bit_planes, crf_pii, decontaminate, edit_counts, line_quality, reply_trees,
-                           simhash_variants, url_rules, weak_labels)
+from mailspark.llm import (best_fit, bit_planes, crf_pii, decontaminate, edit_counts, golomb_dedup,
+                           importance_resampling, line_quality, orchard_codes, reply_trees, simhash_variants, url_rules,
+                           weak_labels)
 from mailspark.llm.common import read
 
 
@@ -28,6 +29,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bit_planes": _on_documents(bit_planes.op8_bit_planes),
         "op9_line_quality": _on_documents(line_quality.op9_line_quality),
         "op10_simhash": _on_documents(simhash_variants.op10_simhash),
+        "op11_orchard_codes": lambda spark, sf_dir: orchard_codes.op11_orchard_codes(read(spark, sf_dir, "embeddings")),
+        "op12_golomb_dedup": _on_documents(golomb_dedup.op12_golomb_dedup),
+        "op13_importance_resampling": importance_resampling.op13_importance_resampling,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -38,6 +42,9 @@ def oracle_sql() -> dict[str, str]:
         "op5_url_rules": url_rules.ORACLE,
         "op6_decontaminate": decontaminate.ORACLE,
         "op9_line_quality": line_quality.ORACLE,
+        "op11_orchard_codes": orchard_codes.ORACLE,
+        "op12_golomb_dedup": golomb_dedup.ORACLE,
+        "op13_importance_resampling": importance_resampling.ORACLE,
     }
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL

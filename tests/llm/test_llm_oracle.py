@@ -17,4 +17,4 @@ def test_query_equals_sql(spark, name):
 
 def test_one_query_per_operator():
     names = list(registry.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)] + ["pipeline"]
