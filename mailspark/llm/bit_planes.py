@@ -15,8 +15,9 @@ which attempt of a task counts, and an executor may be lost at any time.
 Reading needs only sums per range to place a file among all ids.
 
 Null texts count as empty: such documents have the end id alone.  Documents
-with a null id come first; equal ids go by text.  An empty table gives no file.
-Other columns are not read.
+with a null id come first; equal ids go by the hash of their text.  A very long
+text makes a file of its own.  An empty table gives no file.  Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -146,8 +147,9 @@ def write_files(docs: DataFrame, path: str, bits: int = 8, file_ids: int = FILE_
                 (shard, file, before, len(ids), len(names), image), schema.types)], schema=schema)
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                raw = words.encode(text.as_py() or "") + end
+            ids = words.encode_all(text.as_py() or "" for text in batch.column("text"))
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), ids):
+                raw += end
                 names.append(doc)
                 lengths.append(len(raw) // 4)
                 parts.append(raw)
@@ -160,7 +162,9 @@ def write_files(docs: DataFrame, path: str, bits: int = 8, file_ids: int = FILE_
             yield close()
 
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # equal and null ids are dealt by their text as well, so none of them is bound to one range
+    mark = F.xxhash64("text")
+    ordered = rows.repartitionByRange("doc_id", mark).sortWithinPartitions("doc_id", mark, "text")
     ordered.mapInArrow(run, WRITTEN).write.parquet(path)
 
 

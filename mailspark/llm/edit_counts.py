@@ -1,18 +1,26 @@
 """Edit-aware token counts.
 
 Per document a segment tree is kept over leaves of ``LEAF_WORDS`` white-space
-separated pre-tokens: every node has the characters and the tokens below it.
-The tree is two arrays and can be stored beside the text (``index_documents``).
-An edit replaces characters ``[start, end)`` by a string.  It goes down the
-tree to the leaves it touches, takes the neighbouring leaf in where the edit
-reaches a leaf's end (so a word grown together over the border is seen whole),
-encodes this region anew, and updates the sums on the way up.  All other
-leaves keep their counts.
+separated pre-tokens and at most about ``LEAF_CHARS`` characters: every node
+has the characters and the tokens below it.  The tree is two arrays and can be
+stored beside the text (``index_documents``).  An edit replaces characters
+``[start, end)`` by a string.  It goes down the tree to the leaves it touches,
+changes their text and the character sums on the way up.  All edits of a leaf
+are applied before it is counted.  Then the touched regions grow to borders
+over which the encoder never merges (white space, or a digit between ASCII
+characters), every region is encoded once, and its token sums go up the tree.
+All other leaves keep their counts.
+
+A word longer than a leaf is cut at such borders, and where it has none, into
+leaves that form one run: the run is encoded as a whole, and its first leaf has
+its tokens.  So edits cost the leaves they touch, and counting costs the runs
+they touch once, however many edits there are.
 
 Edits of a document apply in the order given, each to the text the ones before
 it left; places beyond the text are drawn in to its end.  Null texts count as
 empty, null edits as none.  Rows are counted one by one; repeated rows get
-equal counts and other columns are not read.
+equal counts, an empty table gives an empty result, and other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -27,17 +35,52 @@ from pyspark.sql import functions as F
 from mailspark.llm.encoder import WordEncoder, encoder, vocabulary
 
 LEAF_WORDS = 48
+LEAF_CHARS = 2048
 #: white space of the encoder's word split
+_SPACE = " \t\n\v\f\r"
 _BORDER = re.compile(r"[ \t\n\v\f\r]+")
 
 
-def leaf_starts(text: str, leaf_words: int = LEAF_WORDS) -> list[int]:
-    """Starts of the leaves: the first one at 0, the others after white space."""
+#: places between two ASCII characters of which one is a digit
+_DIGIT = re.compile(r"(?<=[0-9])(?=[\x00-\x7F])|(?<=[\x00-\x7F])(?=[0-9])")
+
+
+def parted(before: str, after: str) -> bool:
+    """Whether the encoder never merges over the border of two texts."""
+    a, b = before[-1:], after[:1]
+    return a in _SPACE or b in _SPACE or a.isascii() and b.isascii() and (a.isdigit() or b.isdigit())
+
+
+def leaf_starts(text: str, leaf_words: int = LEAF_WORDS, leaf_chars: int = LEAF_CHARS) -> list[int]:
+    """Starts of the leaves: the first one at 0, the others after white space,
+    and inside leaves of more than ``leaf_chars`` where these are cut."""
     starts = [0]
     for n, m in enumerate(_BORDER.finditer(text), 1):
         if n % leaf_words == 0 and m.end() < len(text):
             starts.append(m.end())
-    return starts
+    if len(text) <= leaf_chars:
+        return starts
+    out = []
+    for a, b in zip(starts, starts[1:] + [len(text)]):
+        out.append(a)
+        while b - out[-1] > leaf_chars:
+            at = out[-1]
+            cuts = [m.end() for border in (_BORDER, _DIGIT) for m in border.finditer(text, at + leaf_chars // 2, at + leaf_chars)]
+            out.append(max(cuts, default=at + leaf_chars))
+    return out
+
+
+def runs_of(leaves: list[str]) -> list[list[int]]:
+    """Numbers of the non-empty leaves, in runs between borders."""
+    runs: list[list[int]] = []
+    before = " "
+    for k, leaf in enumerate(leaves):
+        if leaf:
+            if parted(before, leaf):
+                runs.append([])
+            runs[-1].append(k)
+            before = leaf
+    return runs
 
 
 class CountTree:
@@ -87,23 +130,25 @@ class CountTree:
             k //= 2
 
 
-def build_tree(text: str, words: WordEncoder, leaf_words: int = LEAF_WORDS) -> CountTree:
-    starts = leaf_starts(text, leaf_words)
-    pieces = words.words(text)
-    sizes = [len(b) // 4 for b in words.word_ids(pieces)]
-    # words per leaf: leaf_words each, but a text may begin with white space
-    if len(starts) == 1:
-        return CountTree.of([len(text)], [sum(sizes)])
-    first = leaf_words - (1 if text[:1] and _BORDER.match(text) else 0)
-    bounds = np.concatenate([[0], first + leaf_words * np.arange(len(starts) - 1), [len(sizes)]])
-    sums = np.concatenate([[0], np.cumsum(sizes)])
-    tokens = sums[bounds[1:]] - sums[bounds[:-1]]
+def build_tree(text: str, words: WordEncoder, leaf_words: int = LEAF_WORDS, leaf_chars: int = LEAF_CHARS) -> CountTree:
+    starts = leaf_starts(text, leaf_words, leaf_chars)
     chars = np.diff(starts + [len(text)])
-    return CountTree.of(chars.tolist(), tokens.tolist())
+    if len(starts) == 1:
+        return CountTree.of([len(text)], [words.token_count(text)])
+    leaves = [text[a:a + n] for a, n in zip(starts, chars.tolist())]
+    tokens = [0] * len(leaves)
+    if len(text) > leaf_chars:
+        runs = runs_of(leaves)
+    else:
+        runs = [[k] for k in range(len(leaves))]
+    for run, n in zip(runs, words.token_counts(["".join(leaves[run[0]:run[-1] + 1]) for run in runs])):
+        tokens[run[0]] = n
+    return CountTree.of(chars.tolist(), tokens)
 
 
 class EditedText:
-    """A text under edits with its tree; leaves are kept as strings."""
+    """A text under edits with its tree; leaves are kept as strings.  Token
+    sums hold after ``settle``."""
 
     def __init__(self, text: str, tree: CountTree, words: WordEncoder):
         self.tree, self.words = tree, words
@@ -111,58 +156,73 @@ class EditedText:
         for n in tree.chars[tree.size:].tolist():
             self.leaves.append(text[at:at + n])
             at += n
+        #: leaves that had one run with the leaf before, when last counted
+        self.glued = np.zeros(len(self.leaves) + 1, dtype=bool)
+        for run in runs_of(self.leaves):
+            self.glued[run[0] + 1:run[-1] + 1] = True
+        self.touched: set[int] = set()
         self.encoded_chars = 0
 
-    def _count(self, text: str) -> int:
-        self.encoded_chars += len(text)
-        return sum(map(len, self.words.word_ids(self.words.words(text)))) // 4
-
     def edit(self, start: int, end: int, new: str) -> None:
-        tree = self.tree
+        tree, leaves = self.tree, self.leaves
         length = int(tree.chars[1])
         start = min(max(0, start), length)
         end = min(max(start, end), length)
         first, at = tree.find(start)
         last, last_at = tree.find(max(start, end - 1))
-        stop = last_at + len(self.leaves[last])
-        # boundary context: the leaf before or after, where the edit meets its border
-        if start == at:
-            k = self._neighbour(first, -1)
-            if k is not None:
-                first, at = k, at - len(self.leaves[k])
-        if end >= stop:
-            k = self._neighbour(last, 1)
-            if k is not None:
-                last, stop = k, stop + len(self.leaves[k])
-        region = "".join(self.leaves[first:last + 1])
-        region = region[:start - at] + new + region[end - at:]
-        # a leaf that lost its white space at either border takes in more leaves
-        while (k := self._neighbour(first, -1)) is not None and not _ends_with_space(self.leaves[k]):
-            first, at, region = k, at - len(self.leaves[k]), self.leaves[k] + region
-        while (k := self._neighbour(last, 1)) is not None and not _ends_with_space(region):
-            last, region = k, region + self.leaves[k]
+        region = leaves[first][:start - at] + new + leaves[last][end - last_at:]
         for leaf in range(first, last + 1):
-            text = region if leaf == first else ""
-            self.leaves[leaf] = text
-            tree.put(leaf, len(text), self._count(text) if text else 0)
-
-    def _neighbour(self, leaf: int, step: int) -> int | None:
-        leaf += step
-        while 0 <= leaf < len(self.leaves):
-            if self.leaves[leaf]:
-                return leaf
-            leaf += step
-        return None
+            leaves[leaf] = region if leaf == first else ""
+            tree.put(leaf, len(leaves[leaf]), int(tree.tokens[leaf + tree.size]))
+        self.touched.update(range(first, last + 1))
+
+    def settle(self) -> None:
+        """Counts every run that an edit touched, and all that shared a run
+        with one of its leaves before."""
+        if not self.touched:
+            return
+        leaves, tree = self.leaves, self.tree
+        runs = runs_of(leaves)
+        # runs by number; an empty leaf touches the runs at both sides of it
+        run_of = np.zeros(len(leaves), dtype=np.int64)
+        for r, run in enumerate(runs):
+            run_of[run] = r
+        old = np.cumsum(~self.glued[:-1])
+        members: dict[int, list[int]] = {}
+        for k, o in enumerate(old.tolist()):
+            members.setdefault(o, []).append(k)
+        todo, seen, again = list(self.touched), set(self.touched), set()
+        filled = np.array([k for run in runs for k in run], dtype=np.int64)
+        while todo:
+            k = todo.pop()
+            more = list(members[int(old[k])])
+            if leaves[k]:
+                near = [int(run_of[k])]
+            else:
+                at = int(np.searchsorted(filled, k))
+                near = [int(run_of[filled[j]]) for j in (at - 1, at) if 0 <= j < len(filled)]
+                near = near if len(set(near)) == 1 else []  # parted where the leaf was: nothing grew together
+            for r in near:
+                if r not in again:
+                    again.add(r)
+                    more += runs[r]
+            todo += [m for m in more if m not in seen]
+            seen.update(more)
+        texts = ["".join(leaves[k] for k in runs[r]) for r in sorted(again)]
+        self.encoded_chars += sum(map(len, texts))
+        tokens = dict(zip((runs[r][0] for r in sorted(again)), self.words.token_counts(texts)))
+        for k in seen:
+            tree.put(k, len(leaves[k]), tokens.get(k, 0))
+            self.glued[k] = False
+        for r in again:
+            self.glued[runs[r][0] + 1:runs[r][-1] + 1] = True
+        self.touched = set()
 
     @property
     def text(self) -> str:
         return "".join(self.leaves)
 
 
-def _ends_with_space(text: str) -> bool:
-    return text[-1:] in (" ", "\t", "\n", "\v", "\f", "\r")
-
-
 COUNTED = "n_tokens_before bigint, n_edits bigint, n_tokens bigint, n_leaves bigint, encoded_chars bigint, n_chars bigint"
 EDITS = "array<struct<start:int,end:int,new:string>>"
 
@@ -205,6 +265,7 @@ def count_after_edits(text: Column, edits: Column, tree: Column | None = None, v
         edited = EditedText(text, tree, words)
         for e in changes:
             edited.edit(e["start"], e["end"], e["new"] or "")
+        edited.settle()
         return before, len(changes), tree.total, leaves, edited.encoded_chars, int(tree.chars[1])
 
     def run(texts: pa.Array, edits: pa.Array, *trees: pa.Array) -> pa.Array:

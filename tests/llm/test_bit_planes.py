@@ -50,6 +50,34 @@ def test_encoder_equals_tokenizer_on_odd_words(pair, text):
     assert same(pair, text)
 
 
+def test_memo_is_bounded_in_bytes(pair):
+    """Words of an unspaced script are as long as their texts and are not kept."""
+    rng = random.Random(7)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x4E60)) for _ in range(3000)) for _ in range(40)]
+    texts += [" ".join(f"w{rng.random()}" for _ in range(400)) for _ in range(40)] + ["", "a. b, ."]
+    for counts in (False, True):
+        words = WordEncoder(vocabulary(), memo_words=1000, counts=counts)
+        for _ in range(2):
+            got = list(words.count_all(texts)) if counts else [len(b) // 4 for b in words.encode_all(texts)]
+            assert got == [len(pair[1].encode(t, add_special_tokens=False).ids) for t in texts]
+        assert max(map(len, words.memo)) <= 64
+        size = sum(len(w) + (0 if counts else len(v)) for w, v in words.memo.items())
+        assert words.held >= size + 200 * len(words.memo) and not words.held > words.memo_bytes + (1 << 23)
+
+
+def test_one_hot_id_is_dealt_to_many_ranges(spark, tmp_path):
+    docs = awkward.documents(spark, [(None, f"text {k}") for k in range(600)] + [(k, "x") for k in range(30)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        bp.write_files(docs, str(tmp_path / "f"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = spark.read.schema(bp.WRITTEN).parquet(str(tmp_path / "f"))
+    assert max(r.n_docs for r in files.collect()) < 400
+    rows = sorted(bp.read_files(spark, str(tmp_path / "f")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None] * 600 + list(range(30))
+
+
 def test_files_of_the_query(spark):
     docs = read(spark, "/root/testdata/sf0.001", "documents")
     t = Tokenizer.from_file(vocabulary())
