@@ -4,11 +4,13 @@ Documents are measured in tokens and cut into pieces of at most the largest
 capacity.  Pieces are dealt to groups of about ``GROUP_PIECES`` at random by
 hash, so the number of groups follows the input and a group's size does not.
 A group is packed in one task: pieces in falling size go to the open bin with
-the least room that still takes them; if none does, the bin size is opened
-whose cost per token it can be expected to hold is least, given what is still
-to be packed; at the end every bin is taken down to the smallest permitted
-length that holds its contents.  The cost of a sequence of ``c`` tokens is
-``c + c * c / ATTENTION``.
+the least room that still takes them; if none does, every permitted length is
+filled, largest first, with the sizes that are still to come, and the one is
+opened whose cost per token it would then hold is least; at the end every bin
+is taken down to the smallest permitted length that holds its contents.  The
+cost of a sequence of ``c`` tokens is ``START + c + c * c / ATTENTION``: full
+sequences of 4096 are the cheapest, short ones pay the fixed part, long ones
+the attention.
 
 Null and empty texts have no tokens and no piece.  Null and repeated ids are
 packed like others.  Other columns are not read.
@@ -31,34 +33,54 @@ from pyspark.sql import functions as F
 from mailspark.llm.encoder import LARGE_MEMO_WORDS, encoder, vocabulary
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
+#: fixed cost of a sequence, in tokens, and how attention grows
+START = 256
 ATTENTION = 65536
 GROUP_PIECES = 20_000
 
 
 def cost(capacity: int) -> float:
-    return capacity + capacity * capacity / ATTENTION
-
-
-def cheapest(size: int, left: int, capacities=CAPACITIES) -> int:
-    """Capacity with the least cost per expected token for a bin that starts
-    with ``size`` while ``left`` tokens of smaller pieces wait."""
-    return min((c for c in capacities if c >= size), key=lambda c: (cost(c) / min(c, size + left), c))
+    return START + capacity + capacity * capacity / ATTENTION
+
+
+def expected(falling: list[int], k: int, room: int) -> int:
+    """Tokens of the pieces from ``k`` on that fill ``room`` largest first;
+    ``falling`` has the negated sizes, in falling size."""
+    free = room
+    while (k := bisect_left(falling, -free, k)) < len(falling):
+        free += falling[k]
+        k += 1
+    return room - free
+
+
+def cheapest(falling: list[int], k: int, capacities=CAPACITIES) -> int:
+    """Capacity to open for piece ``k``: what the pieces after it would fill is
+    known from their sizes, and the bin will be downsized to that; the capacity
+    with the least cost per token is taken, the smaller one of equals."""
+    size = -falling[k]
+    best = None
+    for c in capacities:
+        if c >= size:
+            held = size + expected(falling, k + 1, c - size)
+            price = cost(next(d for d in capacities if d >= held)) / held
+            if best is None or price < best[0]:
+                best = price, c
+    return best[1]
 
 
 def pack(sizes: list[int], capacities=CAPACITIES) -> list[tuple[int, int]]:
-    """(bin, offset) of each of ``sizes``, which fall."""
-    left = sum(sizes)
+    """(bin, offset) of each of ``sizes``, which fall; ``capacities`` rise."""
+    falling = [-s for s in sizes]
     rooms: list[tuple[int, int]] = []  # (room, bin), sorted
     capacity: list[int] = []
     out = []
-    for size in sizes:
-        left -= size
+    for i, size in enumerate(sizes):
         k = bisect_left(rooms, (size, -1))
         if k < len(rooms):
             room, at = rooms.pop(k)
         else:
             at = len(capacity)
-            capacity.append(cheapest(size, left, capacities))
+            capacity.append(cheapest(falling, i, capacities))
             room = capacity[at]
         out.append((at, capacity[at] - room))
         if room > size:
@@ -71,7 +93,7 @@ def token_count(text: Column, vocab: str | None = None) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         words = encoder(vocab, LARGE_MEMO_WORDS, counts=True)
-        return pa.array([words.count(t.as_py()) if t.is_valid else 0 for t in texts], type=pa.int64())
+        return pa.array(list(words.count_all(t.as_py() or "" for t in texts)), type=pa.int64())
     return F.arrow_udf(run, "bigint").asNondeterministic()(text)
 
 

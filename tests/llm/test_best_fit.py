@@ -7,27 +7,96 @@ from mailspark.llm import best_fit as bf
 from mailspark.llm.encoder import WordEncoder, vocabulary
 
 
-def plain_pack(sizes, capacities):
-    """Best fit by looking at every bin."""
-    bins, out, left = [], [], sum(sizes)
-    for s in sizes:
-        left -= s
-        fits = [(c - sum(x), k) for k, (c, x) in enumerate(bins) if c - sum(x) >= s]
-        if fits:
-            k = min(fits)[1]
-        else:
-            k = len(bins)
-            bins.append((min((c for c in capacities if c >= s), key=lambda c: (bf.cost(c) / min(c, s + left), c)), []))
-        out.append((k, sum(bins[k][1])))
-        bins[k][1].append(s)
-    return out
-
-
-def test_pack_equals_plain():
+def total_cost(sizes, placed, capacities):
+    held = {}
+    for s, (k, _) in zip(sizes, placed):
+        held[k] = held.get(k, 0) + s
+    return sum(bf.cost(min(c for c in capacities if c >= n)) for n in held.values())
+
+
+def least_cost(sizes, capacities):
+    """Over all ways to share pieces out."""
+    best = [float("inf")]
+
+    def place(k, held):
+        if k == len(sizes):
+            best[0] = min(best[0], sum(bf.cost(min(c for c in capacities if c >= n)) for n in held))
+            return
+        for i in range(len(held)):
+            if held[i] + sizes[k] <= max(capacities):
+                held[i] += sizes[k]
+                place(k + 1, held)
+                held[i] -= sizes[k]
+        held.append(sizes[k])
+        place(k + 1, held)
+        held.pop()
+    place(0, [])
+    return best[0]
+
+
+def test_best_fit_by_looking_at_every_bin():
     rng = random.Random(2)
     for _ in range(40):
         sizes = sorted((rng.randint(1, 1024) for _ in range(rng.randrange(120))), reverse=True)
-        assert bf.pack(sizes, (128, 512, 1024)) == plain_pack(sizes, (128, 512, 1024))
+        placed = bf.pack(sizes, (128, 512, 1024))
+        room = {}
+        for s, (k, offset) in zip(sizes, placed):
+            fits = [(r, i) for i, r in room.items() if r >= s]
+            assert (min(fits)[1] if fits else len(room)) == k
+            if not fits:  # opened in a permitted length; how much it holds is seen at the end
+                room[k] = next(c for c in (128, 512, 1024) if c == bf.cheapest([-x for x in sizes], placed.index((k, 0)), (128, 512, 1024)))
+            room[k] -= s
+
+
+def test_the_least_cost_bin_is_not_the_smallest():
+    """A small piece opens a long sequence where others follow that fill it, and a short one where none does."""
+    assert bf.cheapest([-300], 0) == 512
+    assert bf.cheapest([-256] * 100, 0) == 4096
+    assert bf.cheapest([-300] * 100, 0) == 8192  # 27 of them fill it better than 13 fill 4096
+    assert bf.cheapest([-5000] + [-100] * 200, 0) == 8192
+    assert bf.cheapest([-600, -500, -400], 0) == 2048
+    held = {}
+    for k, offset in bf.pack([256] * 130):
+        held[k] = max(held.get(k, 0), offset + 256)
+    assert sorted(held.values()) == [512] + [4096] * 8
+
+
+def test_bins_are_downsized(spark):
+    """A long sequence that later pieces, put elsewhere, did not fill."""
+    rng = random.Random(3)
+    opened = downsized = 0
+    for _ in range(30):
+        sizes = sorted((rng.randint(1, 3000) for _ in range(60)), reverse=True)
+        falling, seen, held = [-s for s in sizes], {}, {}
+        for i, (k, offset) in enumerate(bf.pack(sizes)):
+            seen.setdefault(k, bf.cheapest(falling, i))
+            held[k] = offset + sizes[i]
+        opened += len(seen)
+        downsized += sum(min(c for c in bf.CAPACITIES if c >= held[k]) < c0 for k, c0 in seen.items())
+    assert 0 < downsized < opened
+
+
+def test_cost_against_exhaustive_search():
+    rng = random.Random(8)
+    capacities, worse = (512, 1024, 2048), []
+    for _ in range(60):
+        sizes = sorted((rng.randint(1, 1500) for _ in range(rng.randint(1, 7))), reverse=True)
+        least = least_cost(sizes, capacities)
+        worse.append(total_cost(sizes, bf.pack(sizes, capacities), capacities) / least)
+    assert min(worse) >= 1 - 1e-12 and max(worse) < 1.35 and sum(worse) / len(worse) < 1.05
+
+
+def test_joint_choice_is_cheaper_than_the_smallest_length():
+    rng = random.Random(9)
+    sizes = sorted((min(8192, int(rng.lognormvariate(5.5, 1.2)) + 1) for _ in range(5000)), reverse=True)
+    smallest = [s for s in sizes]
+    plain = {}
+    for s in smallest:  # best fit decreasing into the smallest length that takes a piece
+        fits = [(r, k) for k, (r, _) in plain.items() if r >= s]
+        k = min(fits)[1] if fits else len(plain)
+        room, c = plain.get(k, (min(c for c in bf.CAPACITIES if c >= s),) * 2)
+        plain[k] = room - s, c
+    assert total_cost(sizes, bf.pack(sizes), bf.CAPACITIES) < 0.95 * sum(bf.cost(c) for _, c in plain.values())
 
 
 def check(rows, counts):
