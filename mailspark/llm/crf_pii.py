@@ -340,7 +340,8 @@ def find_batch(texts: list[str], field: Field) -> list[tuple[list, list]]:
 
 def label_runs(docs: DataFrame, limit: int = TRAIN_RUNS) -> DataFrame:
     """Labelled table (tokens, before, after, tags): ``limit`` runs, those with
-    the smallest hashes, tagged by the base patterns."""
+    the smallest hashes, tagged by the base patterns.  Of a longer run the first
+    ``TRAIN_TOKENS`` tokens make the row, with the next one as right neighbour."""
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
     kind = _parse_datatype_string("array<struct<tokens:array<string>,before:string,after:string,tags:array<int>>>")
@@ -350,7 +351,9 @@ def label_runs(docs: DataFrame, limit: int = TRAIN_RUNS) -> DataFrame:
         rows = []
         for t in texts.to_pylist():
             spans, unsure = base_spans(t), unsure_spans(t)
-            rows.append([{"tokens": [t[a:b] for a, b in r[:TRAIN_TOKENS]], "before": before, "after": after,
+            rows.append([{"tokens": [t[a:b] for a, b in r[:TRAIN_TOKENS]], "before": before,
+                          # a run cut short is followed by its own next token
+                          "after": t[r[TRAIN_TOKENS][0]:r[TRAIN_TOKENS][1]] if len(r) > TRAIN_TOKENS else after,
                           "tags": run_tags(r[:TRAIN_TOKENS], spans)} for r, before, after in runs_of(t)
                          if not any(a < r[-1][1] and b > r[0][0] for a, b in unsure)])
         return pa.array(rows, type=arrow)

@@ -130,6 +130,20 @@ def _scan_udf(items, size: int):
     return F.arrow_udf(run, spark_type).asNondeterministic()
 
 
+def _spans_udf():
+    """Arrow UDF ``text, words -> spans`` of the words' places in the text."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+    kind = _parse_datatype_string("array<struct<start:int,end:int>>")
+    arrow = to_arrow_type(kind)
+
+    def run(texts: pa.Array, words: pa.Array) -> pa.Array:
+        return pa.array([[{"start": a, "end": b} for a, b in spans_of(t.as_py() or "", w)]
+                         for t, w in zip(texts, words.to_pylist())], type=arrow)
+
+    return F.arrow_udf(run, kind)
+
+
 def parts_of(text: str, size: int, max_windows: int) -> list[tuple[str, int]]:
     """Texts of at most ``max_windows`` windows each, which together are those of ``text``, and their number."""
     words = split_words(text)
@@ -175,8 +189,10 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
             out = out.checkpoint().select("row", "hits", found.alias("more")).select("row", F.struct(
                 F.col("hits.n_words").alias("n_words"),
                 F.array_sort(F.array_union("hits.words", "more.words")).alias("words"),
-                F.array_sort(F.array_union("hits.items", "more.items")).alias("items"),
-                F.array_union("hits.spans", "more.spans").alias("spans")).alias("hits"))
+                F.array_sort(F.array_union("hits.items", "more.items")).alias("items")).alias("hits"))
+    if len(blocks) > 1:  # words of several blocks may meet
+        spans = _spans_udf()(F.col("row").getField("text"), F.col("hits.words"))
+        out = out.select("row", F.col("hits").withField("spans", spans).alias("hits"))
     return out
 
 

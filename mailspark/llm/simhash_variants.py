@@ -20,7 +20,8 @@ one and within the rest of the other, and no point has more fingerprints than
 a ball has points.  So every link is found either way.
 
 Texts without words have fingerprint zero and link like any other.  Null texts
-count as empty.  Null ids never name a component unless no other id is in it.
+count as empty, very long ones are hashed in stretches, an empty table has no
+components.  Null ids never name a component unless no other id is in it.
 Repeated rows keep their rows and share a component.
 """
 
@@ -238,7 +239,8 @@ def near_duplicates(ids: DataFrame, max_bits: int = MAX_BITS, bucket_limit: int
     groups = components(links(prints.select("fp"), max_bits, bucket_limit))
     placed = prints.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp"))
-    first = placed.groupBy("component").agg(F.min("first").alias("least"))
+    # written down, so that the join deals both sides anew and a large component's rows can be split
+    first = placed.groupBy("component").agg(F.min("first").alias("least")).checkpoint()
     return placed.select("fp", "component").join(first, "component").select(
         "fp", F.col("least.doc_id").alias("component_id"), F.col("least.mark").alias("first_mark"))
 

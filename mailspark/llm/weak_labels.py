@@ -6,12 +6,14 @@ labeller, how often it says what about good and about bad documents, and from
 that the posterior of every pattern; no hand labels are used.  The number of
 patterns is bounded by 3 to the number of labellers, so they come to the
 driver whatever the input.  Posteriors of a bounded sample of documents
-(``TRAIN_ROWS`` expected rows, chosen by hash) train a hashed linear scorer
-over words and word shapes, which scores every document.
+(``TRAIN_ROWS`` expected rows, at most twice as many and ``TRAIN_FEATURES``
+features; the least hashes of id and text, equal rows once) train a hashed
+linear scorer over words and word shapes, which scores every document.
 
 Null and empty texts are one pattern like any other and score by their votes
 alone.  Rows are scored one by one; repeated rows get equal scores, null ids
-are kept and other columns are not read.  An empty table gives no rows.
+are kept and other columns are not read.  Very long texts are read whole.  An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 
 LABELLERS = ("clean_words", "variety", "symbols", "capitals", "shouts", "endings", "repeats", "sentences", "bars")
 TRAIN_ROWS = 6000
+#: features of the sample, counted as the bytes of its texts and at most DIM a text (12 bytes each)
+TRAIN_FEATURES = 24_000_000
 DIM = 1 << 14
 ROUNDS = 60
 EPOCHS = 150
@@ -199,9 +203,15 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[dict[str, float]
     patterns = {r.votes: r.n for r in marked.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     good, _, _ = posteriors(patterns)
     total = sum(patterns.values())
-    # the share of hash values that gives train_rows rows; rows of one id and text go together
+    # the share of hash values that gives train_rows rows; rows of one id and text are one row of the sample
     cut = int(min(1.0, train_rows / max(1, total)) * (1 << 62))
-    chosen = docs.filter(F.shiftrightunsigned(F.xxhash64(docs["doc_id"], docs["text"]), 2) < cut).limit(2 * train_rows)
+    hashed = docs.select(docs["text"].alias("text"), F.shiftrightunsigned(F.xxhash64(docs["doc_id"], docs["text"]), 2).alias("h"))
+    chosen = hashed.filter(F.col("h") < cut).dropDuplicates(["h"])
+    # least hashes first: at most twice train_rows rows and TRAIN_FEATURES features
+    most = F.least(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(DIM)).alias("n")
+    sizes = chosen.select("h", most).orderBy("h").limit(2 * train_rows).collect()
+    fits = [r.h for r, n in zip(sizes, np.cumsum([r.n for r in sizes])) if n <= TRAIN_FEATURES]
+    chosen = chosen.filter(F.col("h") <= (max(fits) if fits else -1))
     schema = pa.schema([("votes", pa.string()), ("ids", pa.list_(pa.int32())), ("vals", pa.list_(pa.float64()))])
 
     def vectors(batches):
@@ -215,7 +225,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[dict[str, float]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], type=schema.types[k]) for k in range(3)], schema=schema)
 
-    table = chosen.select(docs["text"].alias("text")).mapInArrow(
+    table = chosen.select("text").mapInArrow(
         vectors, "votes string, ids array<int>, vals array<double>").toArrow()
     sample = [(np.array(i), np.array(x), good[p]) for p, i, x in zip(
         table.column("votes").to_pylist(), table.column("ids").to_pylist(), table.column("vals").to_pylist()) if p in good]

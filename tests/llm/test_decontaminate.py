@@ -37,7 +37,7 @@ def test_blocks_give_the_same(spark):
     bench = spark.createDataFrame([(1, awkward.CLEAN), (None, "text number 7"), (3, None), (4, "!!"), (5, "More")],
                                   "item_id long, text string")
     def rows(n):
-        return sorted((str(r.row.doc_id), str(r.row.text)[:20], len(r.row.text or ""), r.hits.n_words, r.hits.words, r.hits.items)
+        return sorted((str(r.row.doc_id), str(r.row.text)[:20], len(r.row.text or ""), r.hits.n_words, r.hits.words, r.hits.items, r.hits.spans)
                       for r in dc.scan_documents(docs, bench, max_bytes=n).collect())
     assert rows(1) == rows(1 << 20)
     kept = dc.drop_contaminated(docs, bench)
@@ -67,6 +67,7 @@ def test_blocks_hold_a_bounded_number_of_windows(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in dc.scan_documents(docs, bench, max_windows=200).collect():
         assert (r.hits.n_words, r.hits.words, r.hits.items) == brute(r.row.text, [(str(k), t) for k, t in items])
+        assert [(s.start, s.end) for s in r.hits.spans] == dc.spans_of(r.row.text, r.hits.words)
     # one text of the size of a few blocks leaves the default with several
     wide = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(3 * dc.MAX_WINDOWS)))], "item_id long, text string")
     assert len(dc._blocks(wide, dc.MAX_BYTES, dc.MAX_WINDOWS, dc.WINDOW)) == 3

@@ -62,5 +62,20 @@ def test_conversations_with_nulls(spark):
     c = spark.createDataFrame([(*r, "clash", "clash") for r in rows],
                               "conv_id long, turn long, role string, text string, node string, tree string")
     got = {r.tree: rt.read_turns(r.formatted) for r in rt.format_branches(rt.chain_messages(c)).collect()}
-    assert got == {1: [("user", "q"), ("user", "q"), ("assistant", "")], -2: [("user", ""), ("", "x")]}
+    assert got == {"1": [("user", "q"), ("user", "q"), ("assistant", "")], "": [("", "x"), ("user", "")]}
     assert rt.format_branches(rt.chain_messages(c.filter("false"))).count() == 0
+
+
+def test_query_on_awkward_rows(spark, tmp_path):
+    """Null ids beside -2, null turns, repeated rows, a long conversation and extra columns, against the SQL."""
+    import duckdb
+    rows = [(-2, 0, "user", "a"), (-2, 1, "assistant", "b<|im_end|>"), (None, 0, "user", "c"), (None, 1, "assistant", "d"),
+            (None, None, "assistant", None), (3, None, None, "x"), (3, 5, "assistant", "y"), (3, 5, "assistant", "y"), (4, 0, "system", "")]
+    rows += [(9, k, "assistant" if k % 2 else "user", f"turn {k} " * 3) for k in range(3000)]
+    spark.createDataFrame([(*r, "clash", "clash") for r in rows], "conv_id long, turn long, role string, text string, node string, tree string") \
+        .repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = [tuple(r) for r in rt.op4_reply_trees(spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert sorted(got, key=repr) == sorted(con.execute(rt.ORACLE).fetchall(), key=repr)
+    assert {r[0]: r[1] for r in got} == {-2: 2, None: 3, 3: 3, 4: 1, 9: 3000, -1: 2}
