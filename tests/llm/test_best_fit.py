@@ -54,7 +54,8 @@ def test_the_least_cost_bin_is_not_the_smallest():
     assert bf.cheapest([-256] * 100, 0) == 4096
     assert bf.cheapest([-300] * 100, 0) == 8192  # 27 of them fill it better than 13 fill 4096
     assert bf.cheapest([-5000] + [-100] * 200, 0) == 8192
-    assert bf.cheapest([-600, -500, -400], 0) == 2048
+    assert bf.cheapest([-600, -500, -400], 0) == 1024
+    assert bf.cheapest([-600, -500, -400, -400], 0) == 2048
     held = {}
     for k, offset in bf.pack([256] * 130):
         held[k] = max(held.get(k, 0), offset + 256)
