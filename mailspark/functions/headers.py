@@ -50,9 +50,12 @@ def header_block(raw: Column) -> Column:
     leading ``From `` envelope line is dropped and the section is cut at the
     first line that is neither a header, a continuation nor a ``From `` line.
     """
-    lf = F.regexp_replace(raw, "\r\n", "\n")
-    blk = let(lf, lambda t: F.when(t.startswith("\n"), F.lit("")).otherwise(
-        F.split_part(t, F.lit("\n\n"), F.lit(1))))
+    # cut first: the body is searched for the empty line at most, never rewritten
+    cut = F.substring_index(F.substring_index(raw, "\n\n", 1), "\n\r\n", 1)
+    whole = F.octet_length(cut) == F.octet_length(raw)
+    lf = F.regexp_replace(F.when(whole, cut).otherwise(F.concat(cut, F.lit("\n"))), "\r\n", "\n")
+    lf = F.when(whole, lf).otherwise(F.regexp_replace(lf, r"\n\z", ""))
+    blk = let(lf, lambda t: F.when(t.startswith("\n"), F.lit("")).otherwise(t))
     blk = F.regexp_replace(blk, r"^From [^\n]*\n?", "")
     return let(blk, lambda b: let(
         F.regexp_instr(b, F.lit(r"(?:^|\n)(?!" + _VALID_LINE + ")")),

@@ -1,49 +1,62 @@
 """2.I: feature importance and selection.
 
-Permutation importance is one Spark job instead of F x R model calls: for
-every (feature, repeat) the held-out rows receive the feature value of a
-partner row chosen by a seeded shuffle (exact permutation via range-
-partitioned numbering), all variants are scored by a single ``transform``
-and accuracy drops are aggregated per (feature, repeat).
+Permutation importance shuffles by a keyed bijection of the row number
+(``permute``): the row at place i gets the features of the row that the
+bijection of a repeat sends there, the same for all features of a repeat.
+One join a repeat puts all shuffled features beside the rows, so what moves
+is linear in rows and repeats; the features are then scored one by one, and
+a feature's repeats are made where the row is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from mailspark.operators import permute
 from mailspark.operators.folds import holdout_split, stratified_folds
-from mailspark.operators.models import fit_pipeline
+from mailspark.operators.models import fit_pipeline, in_parallel
 from mailspark.operators.numbering import row_number_by
 
 
-def permutation_importance(model: PipelineModel, test: DataFrame, cols: list[str], n_repeats: int = 3,
-                           seed: int = 42, id_col: str = "mail_id") -> DataFrame:
+def permuted_rows(rows: DataFrame, cols: list[str], n_repeats: int = 3, seed: int = 42, id_col: str = "mail_id") -> DataFrame:
+    """``id_col``, ``label``, ``cols`` and ``_x0``, ``_x1``, ...: the features of the row
+    that repeat 0, 1, ... puts in this row's place.  Rows are numbered by id."""
+    base = rows.select(id_col, "label", *[F.col(c).cast("double").alias(c) for c in cols])
+    idx = row_number_by(base, [], [id_col], out="_i").withColumn("_i", F.col("_i") - 1).checkpoint()
+    n = idx.count()
+    out = idx
+    for r in range(n_repeats):
+        out = out.join(idx.select(permute.shuffled(F.col("_i"), n, permute.keys(seed, r)).alias("_i"),
+                                  F.array(*cols).alias(f"_x{r}")), "_i")
+    return out.drop("_i")
+
+
+def permutation_importance(model: PipelineModel | Callable[[DataFrame], DataFrame], test: DataFrame, cols: list[str],
+                           n_repeats: int = 3, seed: int = 42, id_col: str = "mail_id") -> DataFrame:
     """Mean and population std over repeats of the accuracy drop when one
-    feature is permuted among the test rows; sorted by mean, descending."""
-    spark = test.sparkSession
-    base = test.select(id_col, "label", *[F.col(c).cast("double").alias(c) for c in cols])
-    idx = row_number_by(base, [], [id_col], out="_i")
-    combos = spark.createDataFrame([(c, r) for c in cols for r in range(n_repeats)], "feature string, rep int")
-    # donors: (feature, repeat, value of row j), numbered in shuffled order
-    donors = idx.select("_i", F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).alias("v")) for c in cols])
-                        .alias("fv")).select("_i", F.explode("fv").alias("fv"))
-    donors = donors.join(F.broadcast(combos), F.col("fv.f") == F.col("feature")).select(
-        "feature", "rep", F.col("fv.v").alias("_v"),
-        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("feature"), F.col("rep").cast("string"),
-                          F.col("_i").cast("string"))).alias("_key"), "_i")
-    donors = row_number_by(donors, ["feature", "rep"], ["_key", "_i"], out="_target").drop("_key", "_i")
-    variants = idx.join(donors, idx["_i"] == donors["_target"]).withColumns(
-        {c: F.when(F.col("feature") == c, F.col("_v")).otherwise(F.col(c)) for c in cols})
-    scored = model.transform(variants)
-    acc = scored.groupBy("feature", "rep").agg(
-        F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("acc"))
-    base_acc = model.transform(idx).agg(
-        F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("b")).first()["b"]
-    drop = acc.withColumn("drop", F.lit(base_acc) - F.col("acc"))
+    feature is permuted among the test rows; sorted by mean, descending.
+    ``model`` is a fitted pipeline, or adds ``prediction`` to rows itself."""
+    score = model if callable(model) else model.transform
+    rows = permuted_rows(test, cols, n_repeats, seed, id_col).checkpoint()
+    right = F.avg((F.col("prediction") == F.col("label")).cast("double"))
+
+    def drops(c: str) -> list[tuple]:
+        others = [o for o in cols if o != c]
+        repeats = F.array(*[F.struct(F.lit(r).alias("rep"), F.col(f"_x{r}")[cols.index(c)].alias("v")) for r in range(n_repeats)])
+        variants = rows.select("label", *others, F.explode(repeats).alias("_e")).select(
+            "label", *others, F.col("_e.v").alias(c), F.col("_e.rep").alias("rep"))
+        return [(c, r.acc) for r in score(variants).groupBy("rep").agg(right.alias("acc")).collect()]
+
+    first, *rest = in_parallel([lambda: score(rows).agg(right).first()[0], *[lambda c=c: drops(c) for c in cols]])
+    # a row per feature and repeat
+    acc = test.sparkSession.createDataFrame([d for part in rest for d in part], "feature string, acc double")
+    drop = acc.withColumn("drop", F.lit(first) - F.col("acc"))
     return drop.groupBy("feature").agg(F.avg("drop").alias("importance_mean"),
                                        F.stddev_pop("drop").alias("importance_std")) \
         .orderBy(F.desc("importance_mean"), "feature")

@@ -157,7 +157,7 @@ def score_histogram(pred: DataFrame, by: str = "y_true", n_bins: int = 30) -> Da
 def all_metrics(pred: DataFrame, keys=CELL, n_bins: int = 10, prefix: str = "") -> DataFrame:
     """The fold metric set joined on the cell key; optional prefix."""
     m = classification_metrics(pred, keys).join(roc_auc(pred, keys), keys) \
-        .join(ece(pred, keys, n_bins), keys)
+        .join(average_precision(pred, keys), keys).join(ece(pred, keys, n_bins), keys)
     if prefix:
         m = m.withColumnsRenamed({c: prefix + c for c in m.columns if c not in keys})
     return m

@@ -3,9 +3,10 @@
 Every fit is a ``pyspark.ml`` job over the fold's training rows; every
 evaluation is a ``transform`` of the held-out rows.  The per-fold outputs
 are unioned into one long ``predictions`` table that the metric queries
-(2.H) score in a single job.  Kernel models are re-aimed: the RBF kernel is
-approximated with random Fourier features (Rahimi & Recht, 2007) followed
-by a linear model, so training stays a distributed linear fit.
+(2.H) score in a single job.  Kernel models are re-aimed at linear ones over
+mapped features, so training stays a distributed linear fit: a Nystroem map
+of landmark rows for the RBF classifier, random Fourier features (Rahimi &
+Recht, 2007) for the one-class model.
 """
 
 from __future__ import annotations
@@ -19,23 +20,24 @@ import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
-from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.util import inheritable_thread_target
 
 from mailspark.functions.headers import sigmoid
-from mailspark.operators.clean import quantiles
+from mailspark.operators import one_class
+from mailspark.operators.folds import ham_only, holdout_split, stratified_folds
+from mailspark.operators.knn import complete, knn_predict, scaled, scaler
 from mailspark.session import checkpoint_dir
 
 MODEL_NAMES = ["RF", "SVM", "MLP", "KNN", "Stacking", "OC_SVM"]
 DEFAULTS = {
     "RF": {"numTrees": 100, "maxDepth": None},  # no limit of its own: the library's 30 levels
     "SVM": {"C": 1.0, "n_components": 256, "gamma": None, "calibration": "sigmoid", "calibration_cv": 5},
-    "MLP": {"hidden": [100, 50], "maxIter": 300},
-    "OC_SVM": {"nu": 0.1, "n_components": 256, "gamma": None},
+    "MLP": {"hidden": [100, 50], "maxIter": 300, "validation": 0.1, "round_iter": 20, "patience": 3, "tol": 1e-4},
+    "OC_SVM": {"nu": 0.1, "n_components": 256, "gamma": None, "rounds": one_class.ROUNDS},
     "KNN": {"k": 5},
     "Stacking": {"base": ["RF", "MLP", "KNN"], "inner_folds": 5, "passthrough": False},
 }
@@ -58,17 +60,6 @@ def in_parallel(fits: list) -> list:
         return list(pool.map(lambda fit: fit(), [submit(f) for f in fits]))
 
 
-def _scaled(train: DataFrame, test: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
-    """G3m on a train/test pair: population mean/std of the training rows."""
-    row = train.agg(*[F.avg(F.col(c).cast("double")).alias("m_" + c) for c in cols],
-                    *[F.stddev_pop(F.col(c).cast("double")).alias("s_" + c) for c in cols]).first()
-
-    def apply(df: DataFrame) -> DataFrame:
-        return df.withColumns({c: (F.col(c).cast("double") - F.lit(row["m_" + c] or 0.0))
-                               / F.lit(row["s_" + c] or 1.0) for c in cols})
-    return apply(train), apply(test)
-
-
 def _vec(df: DataFrame, cols: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(
         df.withColumns({c: F.col(c).cast("double") for c in cols}))
@@ -93,10 +84,86 @@ def _matrix_udf(fn, cols: list[str], returns: str):
     return F.arrow_udf(run, returns)(*[F.col(c) for c in cols])
 
 
-def _rff(df: DataFrame, cols: list[str], n_components: int, gamma: float, seed: int = 42) -> DataFrame:
-    """Random Fourier features of ``cols`` as the vector column ``features``."""
-    z = _matrix_udf(_fourier(len(cols), n_components, gamma, seed), cols, "array<double>")
-    return df.withColumn("features", array_to_vector(z))
+#: rows of the sample that landmarks are chosen from, for each landmark
+CANDIDATES = 8
+
+
+def _kernel(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
+    far = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2.0 * (x @ y.T)
+    return np.exp(-gamma * np.maximum(far, 0.0))
+
+
+def choose_landmarks(rows: np.ndarray, n: int, gamma: float) -> np.ndarray:
+    """Numbers of at most ``n`` rows by pivoted Cholesky: the next landmark is
+    the row that the ones before it explain least."""
+    left = np.ones(len(rows))
+    factor, chosen = np.zeros((len(rows), 0)), []
+    while len(chosen) < min(n, len(rows)) and left.max() > 1e-8:
+        at = int(left.argmax())
+        column = (_kernel(rows, rows[at:at + 1], gamma)[:, 0] - factor @ factor[at]) / math.sqrt(left[at])
+        factor = np.column_stack([factor, column])
+        left = np.maximum(left - column * column, 0.0)
+        left[at] = 0.0
+        chosen.append(at)
+    return np.array(chosen, dtype=np.int64)
+
+
+def _nystroem(train: DataFrame, cols: list[str], n_components: int, gamma: float):
+    """x -> z(x) with z(x) . z(y) near the kernel of x and y; exact where the
+    distinct rows are no more than the landmarks.  The sample is the distinct
+    rows with the least hashes, ``CANDIDATES`` for each landmark; ``train`` has no nulls."""
+    distinct = train.select(*cols).distinct()
+    sample = distinct.orderBy(F.xxhash64(*cols), *cols).limit(CANDIDATES * n_components).collect()
+    if not sample:
+        raise ValueError("the kernel model needs rows without nulls")
+    rows = np.array([list(r) for r in sample], dtype=np.float64)
+    landmarks = rows[choose_landmarks(rows, n_components, gamma)]
+    values, vectors = np.linalg.eigh(_kernel(landmarks, landmarks, gamma))
+    used = values > 1e-10 * values.max()
+    to = vectors[:, used] / np.sqrt(values[used])
+    return lambda x: _kernel(x, landmarks, gamma) @ to
+
+
+def _mapped(df: DataFrame, cols: list[str], fn) -> DataFrame:
+    """``fn`` of the matrix of ``cols`` as the vector column ``features``."""
+    return df.withColumn("features", array_to_vector(_matrix_udf(fn, cols, "array<double>")))
+
+
+#: rows of a task in solvers that read their rows again and again
+ROUND_ROWS = 20_000
+
+
+def fit_mlp(rows: DataFrame, layers: list[int], p: dict, seed: int):
+    """G9m: a network with early stopping, and its history.
+
+    ``rows(mail_id, label, features)``.  A stratified share ``validation`` of
+    the rows is held out.  Training runs in rounds of ``round_iter`` steps that
+    start from the weights of the round before; it stops after ``patience``
+    rounds without a gain of ``tol`` in held-out accuracy, or when a round
+    converged, and the best round's model is kept.  The history has (round, steps,
+    held-out accuracy, kept)."""
+    split = holdout_split(rows.select("mail_id", "label"), p["validation"], seed)
+    held = rows.join(split.select("mail_id", "is_test"), "mail_id").select("label", "features", "is_test")
+    held = held.coalesce(max(1, -(-rows.count() // ROUND_ROWS))).cache()
+    fit, check = held.where("is_test = 0"), held.where("is_test = 1")
+    history, best, weights, steps, stale = [], None, None, 0, 0
+    while steps < p["maxIter"] and stale < p["patience"]:
+        n = min(p["round_iter"], p["maxIter"] - steps)
+        mlp = MultilayerPerceptronClassifier(labelCol="label", featuresCol="features", layers=layers, maxIter=n, seed=seed)
+        if weights is not None:
+            mlp.setInitialWeights(weights)
+        m = mlp.fit(fit)
+        weights, taken = m.weights, m.summary().totalIterations
+        steps += n
+        score = m.transform(check).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] or 0.0
+        stale = 0 if best is None or score > history[best[0]][2] + p["tol"] else stale + 1
+        if best is None or score > history[best[0]][2]:
+            best = len(history), m
+        history.append((len(history), steps, score))
+        if taken < n - 1:
+            break
+    held.unpersist()
+    return best[1], [(*h, h[0] == best[0]) for h in history]
 
 
 def _prob1(df: DataFrame) -> DataFrame:
@@ -120,23 +187,19 @@ def fit_predict(model: str, train: DataFrame, test: DataFrame, cols: list[str],
         m = rf.fit(_vec(train, cols))
         out = _prob1(m.transform(_vec(test, cols)))
     elif model == "MLP":
-        tr, te = _scaled(train, test, cols)
-        mlp = MultilayerPerceptronClassifier(labelCol="label", featuresCol="features",
-                                             layers=[len(cols), *p["hidden"], 2], maxIter=p["maxIter"], seed=seed)
-        # L-BFGS makes one pass per iteration: assemble the training rows once
-        vec = _vec(tr, cols).select("label", "features").cache()
-        m = mlp.fit(vec)
-        vec.unpersist()
+        tr, te = scaled(train, test, cols)
+        m, _ = fit_mlp(_vec(tr, cols).select("mail_id", "label", "features"), [len(cols), *p["hidden"], 2], p, seed)
         out = _prob1(m.transform(_vec(te, cols)))
     elif model == "SVM":
-        tr, te = _scaled(train, test, cols)
+        apply = scaler(train, cols)
+        tr, te = apply(train), apply(test)
         gamma = p["gamma"] or 1.0 / max(len(cols), 1)
-        trf, tef = _rff(tr, cols, p["n_components"], gamma, seed), _rff(te, cols, p["n_components"], gamma, seed)
+        to = _nystroem(apply(train.where(complete(cols))), cols, p["n_components"], gamma)
+        trf, tef = _mapped(tr, cols, to), _mapped(te, cols, to)
         k = p["calibration_cv"] or 0
         trf = trf.select(*(["mail_id"] if k > 1 else []), "label", "features").cache()  # iterative solver: project once
         if k > 1:
             # k fits, each calibrated on its held-out part, probabilities averaged
-            from mailspark.operators.folds import stratified_folds
             inner = stratified_folds(trf, k=k, seed=seed, salt="calibration").cache()
             fitted = in_parallel([lambda f=f: _svm_fit(inner.where(F.col("fold") != f), inner.where(F.col("fold") == f), p)
                                   for f in range(k)])
@@ -152,23 +215,23 @@ def fit_predict(model: str, train: DataFrame, test: DataFrame, cols: list[str],
         out = out.withColumn("y_prob", mean).drop("features", *names) \
             .withColumn("prediction", (F.col("y_prob") > 0.5).cast("double"))
     elif model == "OC_SVM":
-        # one-class: RFF mean embedding of ham rows; score = <z, mu> - rho,
-        # rho = nu-quantile of the training scores; outlier (score < 0) -> 1
-        tr, te = _scaled(train.where("label = 0"), test, cols)
+        # the model of class 0; score = w . z - rho, rho = nu-quantile of the training scores; outlier (score < 0) -> 1
+        tr, te = scaled(ham_only(train), test, cols)
+        # read once a round, by few tasks where there are few rows
+        tr = tr.select(*cols).checkpoint()
+        tr = tr.coalesce(max(1, -(-tr.count() // ROUND_ROWS))).checkpoint()
         gamma = p["gamma"] or 1.0 / max(len(cols), 1)
-        mu = _rff(tr, cols, p["n_components"], gamma, seed).agg(Summarizer.mean(F.col("features")).alias("mu")).first()["mu"]
-        if mu is None:
-            raise ValueError("the one-class model needs rows of class 0")
-        fourier, mean = _fourier(len(cols), p["n_components"], gamma, seed), mu.toArray()
+        fourier = _fourier(len(cols), p["n_components"], gamma, seed)
+        w, _ = one_class.solve(tr, cols, p["nu"], fourier, rounds=p["rounds"])
 
         def score(df):
-            return df.withColumn("_s", _matrix_udf(lambda x: fourier(x) @ mean, cols, "double"))
-        rho = quantiles(score(tr), ["_s"], p["nu"])["_s"]
+            return df.withColumn("_s", _matrix_udf(lambda x: fourier(x) @ w, cols, "double"))
+        rho = one_class.offset(score(tr), p["nu"])
         out = score(te).withColumn("_s", F.col("_s") - F.lit(rho)) \
             .withColumn("prediction", (F.col("_s") < 0).cast("double")) \
             .withColumn("y_prob", sigmoid(-F.col("_s")))
     elif model == "KNN":
-        out = knn_predict(train, test, cols, k=p["k"], seed=seed)
+        out = knn_predict(train, test, cols, k=p["k"])
     elif model == "Stacking":
         out = _stacking(train, test, cols, p, seed)
     else:
@@ -177,12 +240,12 @@ def fit_predict(model: str, train: DataFrame, test: DataFrame, cols: list[str],
 
 
 def _svm_fit(fit_rows: DataFrame, cal_rows: DataFrame, p: dict):
-    """LinearSVC on RFF features fitted on ``fit_rows``, its decision values
+    """LinearSVC on mapped features fitted on ``fit_rows``, its decision values
     calibrated on ``cal_rows`` with Platt (one-feature logistic fit) or isotonic
     regression.  Returns ``(rows, name) -> rows`` with the probability as ``name``."""
     n = fit_rows.count()
     svc = LinearSVC(labelCol="label", featuresCol="features", rawPredictionCol="_raw", predictionCol="_class",
-                    regParam=1.0 / (p["C"] * max(n, 1)), maxIter=100).fit(fit_rows)
+                    regParam=1.0 / (p["C"] * max(n, 1)), maxIter=100, standardization=False).fit(fit_rows)
 
     def decided(df):
         return svc.transform(df).withColumn("_d", vector_to_array("_raw")[1]).drop("_raw", "_class")
@@ -197,120 +260,23 @@ def _svm_fit(fit_rows: DataFrame, cal_rows: DataFrame, p: dict):
         name, vector_to_array("_prob")[1]).drop("_d", "_dv", "_raw", "_prob", "_class")
 
 
-#: training points of a block, and test points that meet it in one task
-KNN_BLOCK, KNN_QUERIES = 4096, 16384
-KNN_MAX_BLOCKS = 4096
-
-
-def _block_neighbours(cols: list[str], k: int, cells: int = 1 << 21):
-    """Cogrouped step (test points, training points of one block): per test
-    point the counts at its nearest distances of the block, up to the k-th
-    nearest point and its ties, so at most k rows."""
-    schema = pa.schema([("_qid", pa.int64()), ("_d", pa.float64()), ("_n", pa.int64()), ("_pos", pa.int64())])
-
-    def run(key, queries: pa.Table, points: pa.Table) -> pa.Table:
-        if not len(queries) or not len(points):
-            return schema.empty_table()
-        t = [points.column(c).to_numpy() for c in cols]
-        cnt, pos = points.column("_cnt").to_numpy(), points.column("_pos").to_numpy()
-        step, out = max(1, cells // len(points)), []
-        for at in range(0, len(queries), step):
-            part = queries.slice(at, step)
-            square = np.zeros((len(part), len(points)))
-            for c, x in zip(cols, t):
-                square += (part.column(c).to_numpy()[:, None] - x) ** 2
-            # rounded to 1e-9 so that exact ties are not split by float noise
-            d = np.round(np.sqrt(square), 9)
-            last = min(k, len(points)) - 1
-            cut = np.partition(d, last, axis=1)[:, last]
-            row, col = np.nonzero(d <= np.where(np.isnan(cut), np.inf, cut)[:, None])
-            if not len(row):
-                continue
-            near = d[row, col]
-            order = np.lexsort((near, row))
-            row, col, near = row[order], col[order], near[order]
-            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (near[1:] != near[:-1])]))
-            out.append(pa.table([part.column("_qid").to_numpy()[row[first]], near[first],
-                                 np.add.reduceat(cnt[col], first), np.add.reduceat(pos[col], first)], schema=schema))
-        return pa.concat_tables(out) if out else schema.empty_table()
-
-    return run
-
-
-def knn_predict(train: DataFrame, test: DataFrame, cols: list[str], k: int = 5, seed: int = 42) -> DataFrame:
-    """G10m: exact k-nearest-neighbour class share (Euclidean, scaled features).
-
-    Training rows become distinct points with (count, positives), test rows
-    distinct points.  Training points are dealt to blocks of about KNN_BLOCK
-    by the quantiles of a 1-D random projection p; |p(x) - p(y)| <= |x - y|.
-    (1) The block of a test point bounds the radius r of its k neighbours.
-    (2) The test point meets every block that overlaps [p - r, p + r], in
-    matrix form; blocks out of reach are left out, so few columns need few
-    blocks and many columns at worst all.  Test points that meet a block are
-    split over tasks by KNN_QUERIES.  Points tied at the k-th distance share
-    the remaining weight equally.  Returns test rows with ``prediction`` /
-    ``y_prob``, null where a feature is null or there are no training rows.
-    """
-    checkpoint_dir(train.sparkSession)
-    tr, te = _scaled(train, test, cols)
-    w = np.random.default_rng(seed).normal(size=len(cols))
-    w = w / np.linalg.norm(w)
-    proj = sum((F.col(c) * float(w[i]) for i, c in enumerate(cols)), F.lit(0.0))
-    pts = tr.dropna(subset=cols).groupBy(*cols).agg(
-        F.count(F.lit(1)).alias("_cnt"), F.sum(F.col("label").cast("long")).alias("_pos")).withColumn("_p", proj).checkpoint()
-    # numbered once: the ids must not change when a lost task runs again
-    qs = te.select(*cols).dropna().distinct().withColumn("_qid", F.monotonically_increasing_id()).withColumn("_p", proj).checkpoint()
-    n_points, n_queries = pts.count(), qs.count()
-    n_blocks = min(max(1, -(-n_points // KNN_BLOCK)), KNN_MAX_BLOCKS)
-    inner = pts.approxQuantile("_p", [i / n_blocks for i in range(1, n_blocks)], 0.1 / n_blocks) if n_blocks > 1 else []
-    splits = [-math.inf, *sorted(set(inner)), math.inf]
-    n_salts = max(1, -(-n_queries // KNN_QUERIES))
-
-    def block(df: DataFrame, c: str, out: str) -> DataFrame:
-        if len(splits) == 2:
-            return df.withColumn(out, F.lit(0))
-        return Bucketizer(splits=splits, inputCol=c, outputCol=out).transform(df).withColumn(out, F.col(out).cast("int"))
-
-    def meet(queries: DataFrame) -> DataFrame:
-        return queries.groupBy("_blk", "_salt").cogroup(points.groupBy("_blk", "_salt")).applyInArrow(
-            _block_neighbours(cols, k), "_qid long, _d double, _n long, _pos long")
-
-    points = block(pts, "_p", "_blk").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1))))
-    qs = qs.withColumn("_salt", F.pmod(F.xxhash64("_qid"), F.lit(n_salts)).cast("int"))
-    wq = Window.partitionBy("_qid").orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
-    home = meet(block(qs, "_p", "_blk")).withColumn("_cum", F.sum("_n").over(wq))
-    radius = home.where(F.col("_cum") >= k).groupBy("_qid").agg((F.min("_d") + 1e-6).alias("_r"))
-    far = qs.join(radius, "_qid", "left").withColumn("_r", F.coalesce("_r", F.lit(math.inf)))
-    far = far.withColumn("_lo", F.col("_p") - F.col("_r")).withColumn("_hi", F.col("_p") + F.col("_r"))
-    far = block(block(far, "_lo", "_b0"), "_hi", "_b1").withColumn("_blk", F.explode(F.sequence("_b0", "_b1")))
-    g = meet(far.select("_qid", *cols, "_blk", "_salt")).groupBy("_qid", "_d").agg(
-        F.sum("_n").alias("_n"), F.sum("_pos").alias("_pos")).withColumn("_cum", F.sum("_n").over(wq))
-    take = F.least(F.col("_n"), F.greatest(F.lit(k) - (F.col("_cum") - F.col("_n")), F.lit(0)))
-    share = g.groupBy("_qid").agg((F.sum(take * F.col("_pos") / F.col("_n")) / F.sum(take)).alias("y_prob"))
-    res = qs.join(share, "_qid").select(*cols, "y_prob")
-    # scaled values only match the points they were taken from; zero and minus zero are one
-    out = te.join(res, cols, "left").select(*[te[c] for c in te.columns], "y_prob")
-    return out.withColumn("prediction", (F.col("y_prob") > 0.5).cast("double"))
-
-
 def _stacking(train: DataFrame, test: DataFrame, cols: list[str], p: dict, seed: int) -> DataFrame:
     """G13m: out-of-fold base probabilities -> logistic meta model; base
-    models refitted on all training rows for the test predictions."""
-    from mailspark.operators.folds import stratified_folds
+    models refitted on all training rows for the test predictions.  All of them
+    are one long table (mail_id, base, y_prob), turned into a row per mail and
+    joined once."""
     k = p["inner_folds"]
     tr = stratified_folds(train, k=k, seed=seed, salt="inner").cache()
     folds = [(tr.where(F.col("fold") != f), tr.where(F.col("fold") == f)) for f in range(k)]
     # the inner folds of every base model, then the base models on all training rows
     jobs = [(b, fit, held) for b in p["base"] for fit, held in [*folds, (train, test)]]
     scored = in_parallel([lambda j=j: fit_predict(*j, cols, seed=seed).select(
-        "mail_id", F.col("y_prob").alias("p_" + j[0])).checkpoint() for j in jobs])
-    tr_all, te = tr, test
-    for i in range(len(p["base"])):
-        *held, final = scored[i * (k + 1):(i + 1) * (k + 1)]
-        u = held[0]
-        for q in held[1:]:
-            u = u.unionByName(q)
-        tr_all, te = tr_all.join(u, "mail_id"), te.join(final, "mail_id")
+        "mail_id", F.lit(j[0]).alias("base"), "y_prob").checkpoint() for j in jobs])
+    long = scored[0]
+    for part in scored[1:]:
+        long = long.unionByName(part)
+    wide = long.groupBy("mail_id").agg(*[F.max(F.when(F.col("base") == b, F.col("y_prob"))).alias("p_" + b) for b in p["base"]])
+    tr_all, te = tr.join(wide, "mail_id"), test.join(wide, "mail_id")
     # passthrough: the meta model also sees the original features
     extra = cols if p.get("passthrough") else []
     base_cols = ["p_" + b for b in p["base"]] + extra

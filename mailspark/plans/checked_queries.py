@@ -162,8 +162,8 @@ def q_within_group_corr_wide(spark, sf):
 # H10 whole metric set, A10 / A11 / M1 / M2 CSV round trips
 # --------------------------------------------------------------------------
 def _fold_metrics_sql() -> str:
-    cm, auc, ece = (REGISTERED[n] for n in ("classification_metrics", "roc_auc", "ece"))
-    return f"SELECT * FROM ({cm}) a JOIN ({auc}) b USING ({Q._K}) JOIN ({ece}) c USING ({Q._K})"
+    cm, auc, ap, ece = (REGISTERED[n] for n in ("classification_metrics", "roc_auc", "average_precision", "ece"))
+    return f"SELECT * FROM ({cm}) a JOIN ({auc}) b USING ({Q._K}) JOIN ({ap}) d USING ({Q._K}) JOIN ({ece}) c USING ({Q._K})"
 
 
 @register("fold_metrics", _fold_metrics_sql())

@@ -246,10 +246,8 @@ def test_forests_have_the_librarys_full_depth(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("columns", [1, 6])
-def test_knn_over_many_blocks_equals_brute_force(spark, monkeypatch, columns):
+def test_knn_over_many_parts_equals_brute_force(spark, columns):
     import numpy as np
-    monkeypatch.setattr(MD, "KNN_BLOCK", 50)
-    monkeypatch.setattr(MD, "KNN_QUERIES", 40)
     rng = np.random.default_rng(1)
     # small whole numbers beside wide ones: exact ties, repeated points and distant ones
     x = np.column_stack([rng.integers(0, 1000, 700), *[rng.integers(0, 4, 700) for _ in range(columns - 1)]]).astype(float)
@@ -259,7 +257,10 @@ def test_knn_over_many_blocks_equals_brute_force(spark, monkeypatch, columns):
     df = spark.createDataFrame([(i, int(y), *map(float, r)) for i, (y, r) in enumerate(zip(label, x))],
                                "mail_id long, label int, " + ", ".join(c + " double" for c in cols))
     train, test = df.where("mail_id % 5 <> 0"), df.where("mail_id % 5 = 0")
-    got = {r.mail_id: r.y_prob for r in MD.knn_predict(train, test, cols, k=5).select("mail_id", "y_prob").collect()}
+    report = {}
+    out = MD.knn_predict(train, test, cols, k=5, report=report, part=20, queries=15)
+    got = {r.mail_id: r.y_prob for r in out.select("mail_id", "y_prob").collect()}
+    assert report["parts"] >= 20 and 0 < report["share_met"] < (0.2 if columns == 1 else 0.9)
     fit = np.arange(700) % 5 != 0
     z = (x - x[fit].mean(axis=0)) / x[fit].std(axis=0)
     assert len(got) == 140
@@ -269,3 +270,120 @@ def test_knn_over_many_blocks_equals_brute_force(spark, monkeypatch, columns):
         near, tied = d < cut, d == cut
         want = (label[fit][near].sum() + (5 - near.sum()) * label[fit][tied].mean()) / 5
         assert abs(got[i] - want) < 1e-9
+
+
+def test_matrix_goes_on_from_its_ledger(spark, tmp_path, monkeypatch):
+    """A cell that fails is recorded; the next run does only that one, and a changed setting runs anew."""
+    a = generate_synthetic(spark, 60, 60, "A")
+    real, ran = MD.cv_predictions, []
+
+    def watched(df, cols, model, *args, **kw):
+        ran.append(model)
+        if model == "RF" and len(ran) <= 2:
+            raise RuntimeError("executor lost")
+        return real(df, cols, model, *args, **kw)
+    monkeypatch.setattr(MD, "cv_predictions", watched)
+    run = {"groups": ("G8",), "models": ("KNN", "RF"), "k": 2, "ledger": str(tmp_path / "ledger"),
+           "params": {"RF": {"numTrees": 5, "maxDepth": 4}}}
+    first = run_matrix(spark, {"A": a}, **run)
+    assert [r.model_name for r in first["failures"].collect()] == ["RF"] and ran == ["KNN", "RF"]
+    again = run_matrix(spark, {"A": a}, **run)
+    assert ran == ["KNN", "RF", "RF"] and again["failures"].count() == 0
+    assert {r.model_name for r in again["results"].collect()} == {"KNN", "RF"}
+    assert again["predictions"].count() == 240
+    run_matrix(spark, {"A": a}, **run)
+    assert len(ran) == 3
+    run_matrix(spark, {"A": a}, **{**run, "params": {"RF": {"numTrees": 6, "maxDepth": 4}}})
+    assert ran[3:] == ["RF"]
+
+
+def test_one_class_solver_reaches_the_optimum(spark):
+    """Against many small dual steps over all rows at once."""
+    import numpy as np
+    from mailspark.operators import one_class
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3))
+    rows = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").coalesce(3)
+    fourier, nu = MD._fourier(3, 64, 0.3), 0.2
+    w, history = one_class.solve(rows, ["a", "b", "c"], nu, fourier, gap=1e-3)
+    z = fourier(x)
+    best = z.mean(axis=0)
+    for k in range(20_000):
+        tail = z[np.argsort(z @ best)[:80]].mean(axis=0)
+        best = best + 2 / (k + 2) * (tail - best)
+    assert float(w @ w) <= float(best @ best) * 1.01 and float(w @ w) >= float(best @ best) * 0.98
+    assert [h[1] for h in history] == sorted((h[1] for h in history), reverse=True)
+
+
+def test_kernel_classifier_agrees_with_an_exact_fit(spark):
+    """Predictions of the landmark map against the exact kernel machine, solved pair by pair."""
+    import numpy as np
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(240, 2))
+    y = np.where((x ** 2).sum(axis=1) > 1.4, 1, -1)
+    df = spark.createDataFrame([(i, int(v > 0), float(a), float(b)) for i, (v, (a, b)) in enumerate(zip(y, x))],
+                               "mail_id long, label int, a double, b double")
+    train, test = df.where("mail_id < 160"), df.where("mail_id >= 160")
+    got = MD.fit_predict("SVM", train, test, ["a", "b"], {"calibration_cv": 0}).orderBy("mail_id").collect()
+    fit = (x[:160] - x[:160].mean(axis=0)) / x[:160].std(axis=0)
+    new = (x[160:] - x[:160].mean(axis=0)) / x[:160].std(axis=0)
+    k, t = MD._kernel(fit, fit, 0.5), y[:160].astype(float)
+    a, g = np.zeros(160), -np.ones(160)
+    for _ in range(20_000):  # the pair that breaks the conditions most
+        up, low = (t > 0) & (a < 1) | (t < 0) & (a > 0), (t > 0) & (a > 0) | (t < 0) & (a < 1)
+        i, j = int(np.where(up, -t * g, -np.inf).argmax()), int(np.where(low, -t * g, np.inf).argmin())
+        if -t[i] * g[i] + t[j] * g[j] < 1e-4:
+            break
+        step = (-t[i] * g[i] + t[j] * g[j]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12)
+        step = min(step, 1 - a[i] if t[i] > 0 else a[i], a[j] if t[j] > 0 else 1 - a[j])
+        a[i] += t[i] * step
+        a[j] -= t[j] * step
+        g += t * (k[:, i] - k[:, j]) * step
+    bias = (-t * g)[(a > 1e-6) & (a < 1 - 1e-6)].mean()
+    exact = MD._kernel(new, fit, 0.5) @ (a * t) + bias
+    raw = np.array([r.y_prob for r in got])
+    assert np.mean((raw > 0.5) == (exact > 0)) >= 0.98
+
+
+def test_landmarks_explain_every_row():
+    import numpy as np
+    rng = np.random.default_rng(5)
+    rows = np.concatenate([rng.normal(size=(40, 3)), np.repeat(rng.normal(size=(1, 3)), 60, axis=0)])
+    chosen = MD.choose_landmarks(rows, 200, 0.3)
+    assert len(chosen) == len(set(chosen.tolist())) <= 41
+    k = MD._kernel(rows[chosen], rows[chosen], 0.3)
+    c = MD._kernel(rows, rows[chosen], 0.3)
+    assert np.abs(c @ np.linalg.solve(k + 1e-12 * np.eye(len(k)), c.T) - MD._kernel(rows, rows, 0.3)).max() < 1e-3
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 100, 1023, 4096])
+def test_keyed_shuffle_is_a_bijection(spark, n):
+    from mailspark.operators import permute
+    went = [r[0] for r in spark.range(n).select(permute.shuffled(F.col("id"), n, permute.keys(7, 2))).collect()]
+    assert sorted(went) == list(range(n))
+    assert n < 100 or sum(a == b for a, b in enumerate(went)) < n / 10
+
+
+def test_labels_come_from_the_folder_below_the_root(spark, tmp_path):
+    flat = tmp_path / "spam" / "flat"
+    for at in (flat, flat / "ham", flat / "deep" / "phishing"):
+        at.mkdir(parents=True, exist_ok=True)
+        (at / "m.eml").write_bytes(b"Subject: x\r\n\r\nSubject: body\r\n")
+    (flat / "empty.eml").write_bytes(b"")
+    (flat / "noise.eml").write_bytes(bytes(range(256)))
+    rows = ML.read_mail_dir(spark, str(flat)).collect()
+    # the source has no row for a file without bytes
+    assert len(rows) == len({r.mail_id for r in rows}) == 4 and {r.label for r in rows} == {0}
+    up = {r.path.rsplit("/", 2)[-2]: r.label for r in ML.read_mail_dir(spark, str(tmp_path)).collect()}
+    assert set(up.values()) == {1}
+    wild = ML.read_mail_dir(spark, str(tmp_path / "sp*" / "fl?t")).collect()
+    assert {r.label for r in wild} == {0}
+
+
+@pytest.mark.parametrize("raw,names", [
+    ("A: 1\r\nB: 2\r\n\r\nC: 3", ["a", "b"]), ("A: 1\nB: 2\n\nC: 3\r\n\r\nD: 4", ["a", "b"]), ("A: 1\r\nB: 2\r\n", ["a", "b"]),
+    ("\r\nA: 1\r\n\r\n", []), ("\n\nA: 1", []), ("A: 1\n\r\nB: 2", ["a"]), ("A: 1\r\n\nB: 2", ["a"]), ("", []), ("A: 1\r", ["a"])])
+def test_header_block_ends_at_the_first_empty_line(spark, raw, names):
+    from mailspark.functions import headers as H
+    got = spark.createDataFrame([(raw,)], "raw string").select(H.header_arrays(F.col("raw")).alias("h")).first().h
+    assert got.names_lc == names and all("\r\n" not in v for v in got["values"])
