@@ -27,7 +27,7 @@ def register(name: str, oracle: str | None = None):
 
 def _load() -> None:
     # importing the query modules fills the registry
-    from mailspark.plans import checked_queries, model_queries, queries  # noqa: F401
+    from mailspark.plans import checked_queries, model_queries, queries, source_queries  # noqa: F401
 
 
 def queries() -> dict[str, Builder]:

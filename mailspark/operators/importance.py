@@ -10,6 +10,8 @@ a feature's repeats are made where the row is.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -23,6 +25,9 @@ from mailspark.operators.folds import holdout_split, stratified_folds
 from mailspark.operators.models import fit_pipeline, in_parallel
 from mailspark.operators.numbering import row_number_by
 
+#: what a round of RFECV leaves behind
+_ROUND = "n_features int, cv_f1_weighted double, features string, importances array<double>"
+
 
 def permuted_rows(rows: DataFrame, cols: list[str], n_repeats: int = 3, seed: int = 42, id_col: str = "mail_id") -> DataFrame:
     """``id_col``, ``label``, ``cols`` and ``_x0``, ``_x1``, ...: the features of the row
@@ -85,33 +90,55 @@ def mdi_importance(model: PipelineModel, spark: SparkSession) -> DataFrame:
 
 
 def rfecv(df: DataFrame, cols: list[str], k: int = 5, step: int = 1, min_features: int = 1,
-          num_trees: int = 50, seed: int = 42) -> tuple[list[str], DataFrame]:
+          num_trees: int = 50, seed: int = 42, ledger: str | None = None) -> tuple[list[str], DataFrame]:
     """I4: recursive elimination with CV; each round drops the ``step``
     weakest features (impurity importance of a fit on all rows) and records
-    the CV mean weighted F1; returns the best subset and the score table."""
+    the CV mean weighted F1; returns the best subset and the score table.
+
+    The fits of a round (its folds and the one on all rows) run side by side.  With a ``ledger`` folder every
+    round is written there and a later call with the same settings goes on after the last one."""
     spark = df.sparkSession
+    settings = hashlib.sha256(json.dumps([list(cols), k, step, min_features, num_trees, seed]).encode()).hexdigest()[:16]
+    book = f"{ledger.rstrip('/')}/{settings}" if ledger else None
+    # a row per round
+    rounds = [(r.n_features, r.cv_f1_weighted, r.features, list(r.importances)) for r in
+              spark.read.schema(_ROUND).parquet(f"{book}/*").orderBy(F.desc("n_features")).collect()] \
+        if book and _exists(spark, book) else []
     folded = stratified_folds(df, k=k, seed=seed).cache()
     ev = MulticlassClassificationEvaluator(labelCol="label", metricName="weightedFMeasure")
-    current, scores = list(cols), []
-    while True:
-        fs = []
-        for f in range(k):
-            m = fit_pipeline(folded.where(F.col("fold") != f), current, num_trees, 30, 1, seed)
-            fs.append(ev.evaluate(m.transform(folded.where(F.col("fold") == f).withColumns(
-                {c: F.col(c).cast("double") for c in current}))))
-        scores.append((len(current), float(np.mean(fs)), ",".join(current)))
-        if len(current) <= min_features:
-            break
-        full = fit_pipeline(folded, current, num_trees, 30, 1, seed)
-        imp = full.stages[-1].featureImportances.toArray()
-        order = sorted(range(len(current)), key=lambda i: (imp[i], current[i]))
-        drop = {current[i] for i in order[:min(step, len(current) - min_features)]}
-        current = [c for c in current if c not in drop]
-    table = spark.createDataFrame(scores, "n_features int, cv_f1_weighted double, features string")
-    best = max(scores, key=lambda s: (s[1], -s[0]))
+
+    def fold_score(f: int, current: list[str]) -> float:
+        m = fit_pipeline(folded.where(F.col("fold") != f), current, num_trees, 30, 1, seed)
+        return ev.evaluate(m.transform(folded.where(F.col("fold") == f).withColumns({c: F.col(c).cast("double") for c in current})))
+
+    current = survivors(rounds[-1][2].split(","), rounds[-1][3], step, min_features) if rounds else list(cols)
+    try:
+        while not rounds or len(rounds[-1][2].split(",")) > min_features:
+            jobs = [lambda f=f: fold_score(f, current) for f in range(k)]
+            full, *fs = in_parallel([lambda: fit_pipeline(folded, current, num_trees, 30, 1, seed), *jobs])
+            rounds.append((len(current), float(np.mean(fs)), ",".join(current), [float(x) for x in full.stages[-1].featureImportances.toArray()]))
+            if book:
+                spark.createDataFrame(rounds[-1:], _ROUND).coalesce(1).write.mode("overwrite").parquet(f"{book}/round-{len(current):05d}")
+            current = survivors(current, rounds[-1][3], step, min_features)
+    finally:
+        folded.unpersist()
+    table = spark.createDataFrame([r[:3] for r in rounds], "n_features int, cv_f1_weighted double, features string")
+    best = max(rounds, key=lambda s: (s[1], -s[0]))
     return best[2].split(","), table
 
 
+def survivors(current: list[str], importances: list[float], step: int, min_features: int) -> list[str]:
+    """The features left when the ``step`` weakest go (the name breaks ties), but never fewer than ``min_features``."""
+    order = sorted(range(len(current)), key=lambda i: (importances[i], current[i]))
+    drop = {current[i] for i in order[:max(0, min(step, len(current) - min_features))]}
+    return [c for c in current if c not in drop]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def importance_to_dict(importance: DataFrame, col: str = "importance_mean") -> dict[str, float]:
     """Small lookup (one row per feature)."""
     return {r["feature"]: r[col] for r in importance.select("feature", col).collect()}

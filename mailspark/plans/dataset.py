@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailspark import sinks
 from mailspark.operators.clean import clean_and_encode
+from mailspark.operators.compact import upgrade_documents
 from mailspark.operators.wide import wide_features
+from mailspark.sources.documents import DOC_SCHEMA, read_documents
 from mailspark.sources.mail import cap_per_class, read_mail_dir
 from mailspark.sources.synthetic import generate_synthetic
 
@@ -39,6 +41,20 @@ def build_dataset(spark: SparkSession, root: str, dataset: str = "A", out_path:
     return table, dropped
 
 
+def upgrade_folder(spark: SparkSession, src: str, dst: str) -> DataFrame:
+    """D6 + M4: a folder of feature documents, one JSON object per file, rewritten
+    to the new folder ``dst`` with all 24 features (JSON lines, many documents per file).
+
+    Returns a row per file: ``source_path``, ``email_id`` and ``status``: ``upgraded`` (16 features before),
+    ``unchanged``, or ``broken`` (not a document: left out of ``dst``, no id)."""
+    docs = read_documents(spark, src, corrupt="_corrupt")
+    good = upgrade_documents(docs.where(F.col("_corrupt").isNull()))
+    sinks.write_documents(good.select(*DOC_SCHEMA.names), dst)
+    broken = F.col("_corrupt").isNotNull()
+    status = F.when(broken, "broken").when(F.col("header_features.spf_result").isNull(), "upgraded").otherwise("unchanged")
+    return docs.select("source_path", F.when(~broken, F.col("email_id")).alias("email_id"), status.alias("status"))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder exists in whatever store the path names."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

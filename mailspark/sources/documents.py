@@ -17,12 +17,20 @@ DOC_SCHEMA = T.StructType([
 ])
 
 
-def read_documents(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, multiline: bool = True, corrupt: str | None = None) -> DataFrame:
     """Feature documents (one JSON object per file, or JSON lines with
     ``multiline=False``) with the explicit schema; unknown fields are dropped
-    and the source file name is kept."""
-    return spark.read.schema(DOC_SCHEMA).option("multiLine", multiline).json(path) \
+    and the source file name is kept.  With ``corrupt``, a column of that name holds the
+    text of records that are no such document (null for the others),
+    ``source_path`` the whole path, and folders below ``path`` are read as well.  A file without bytes has no row."""
+    schema = DOC_SCHEMA
+    r = spark.read
+    if corrupt:
+        schema = T.StructType([*DOC_SCHEMA, T.StructField(corrupt, T.StringType())])
+        r = r.option("columnNameOfCorruptRecord", corrupt).option("recursiveFileLookup", True)
+    df = r.schema(schema).option("multiLine", multiline).json(path) \
         .withColumn("source_file", F.col("_metadata.file_name"))
+    return df.withColumn("source_path", F.col("_metadata.file_path")) if corrupt else df
 
 
 def read_feature_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
