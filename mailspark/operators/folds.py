@@ -3,7 +3,8 @@
 Fold membership is a pure function of (label, id, seed): rows are ordered
 per label by ``md5(id || seed)`` (id breaks ties) and dealt round-robin, so
 every class is spread evenly and reruns or retried tasks give the same
-folds.  Numbering uses range partitioning, not a one-task window.
+folds.  Numbering uses range partitioning, not a one-task window, and moves
+labels and ids only; the rows meet their number by a join.
 """
 
 from __future__ import annotations
@@ -17,23 +18,38 @@ def _shuffle_key(id_col: str, seed: int):
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(str(seed))))
 
 
+def _numbered(df: DataFrame, label: str, id_col: str, key) -> DataFrame:
+    """``_of_label``, ``_of_id`` and their number ``_rn`` within the label: of the
+    other columns none is shuffled or written."""
+    keys = df.select(F.col(label).alias("_of_label"), F.col(id_col).alias("_of_id"), key.alias("_key")).distinct()
+    return row_number_by(keys, ["_of_label"], ["_key", "_of_id"], out="_rn").drop("_key")
+
+
+def _beside(df: DataFrame, dealt: DataFrame, label: str, id_col: str) -> DataFrame:
+    """The rows of ``df`` with what their label and id were dealt; a null id meets the null id."""
+    same = (F.col(label) == F.col("_of_label")) & F.col(id_col).eqNullSafe(F.col("_of_id"))
+    return df.join(dealt, same, "left").drop("_of_label", "_of_id")
+
+
 def stratified_folds(df: DataFrame, k: int = 5, seed: int = 42, id_col: str = "mail_id",
                      label: str = "label", salt: str = "") -> DataFrame:
-    """G1m: append ``fold`` in [0, k)."""
-    key = _shuffle_key(id_col, seed) if not salt else F.md5(F.concat(_shuffle_key(id_col, seed), F.lit(salt)))
-    r = row_number_by(df, [label], [key, F.col(id_col)], out="_rn")
-    return r.withColumn("fold", ((F.col("_rn") - 1) % k).cast("int")).drop("_rn")
+    """G1m: append ``fold`` in [0, k).  Rows of one label and id (copies, or
+    rows without an id) share a fold; a row without a label has none.  ``df`` is
+    read again for the join, so callers that train on it write or cache it."""
+    key = _shuffle_key(id_col, seed)
+    r = _numbered(df, label, id_col, F.md5(F.concat(key, F.lit(salt))) if salt else key)
+    return _beside(df, r.select("_of_label", "_of_id", ((F.col("_rn") - 1) % k).cast("int").alias("fold")), label, id_col)
 
 
 def holdout_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, id_col: str = "mail_id",
                   label: str = "label") -> DataFrame:
-    """G2m: append ``is_test``: the first ceil(test_size * n_label) rows of
-    each class in shuffle order."""
-    r = row_number_by(df, [label], [_shuffle_key(id_col, seed), F.col(id_col)], out="_rn")
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    r = r.join(counts, label)
-    return r.withColumn("is_test", (F.col("_rn") <= F.ceil(F.col("_n") * test_size)).cast("int")) \
-            .drop("_rn", "_n")
+    """G2m: append ``is_test``: the first ceil(test_size * n_label) ids of
+    each class in shuffle order.  Copies and nulls as in :func:`stratified_folds`."""
+    r = _numbered(df, label, id_col, _shuffle_key(id_col, seed))
+    # a row per class
+    counts = r.groupBy("_of_label").agg(F.max("_rn").alias("_n"))
+    r = r.join(counts, "_of_label").select("_of_label", "_of_id", (F.col("_rn") <= F.ceil(F.col("_n") * test_size)).cast("int").alias("is_test"))
+    return _beside(df, r, label, id_col)
 
 
 def fold_stats(df: DataFrame, columns: list[str], fold: str = "fold") -> DataFrame:

@@ -70,7 +70,7 @@ def permutation_importance(model: PipelineModel | Callable[[DataFrame], DataFram
 def dataset_importance(df: DataFrame, cols: list[str], dataset: str = "A", n_repeats: int = 3,
                        seed: int = 42) -> DataFrame:
     """RF on all columns, 20 % stratified hold-out, permutation importance."""
-    split = holdout_split(df, 0.2, seed)
+    split = holdout_split(df.select("mail_id", "label", *cols), 0.2, seed).checkpoint()  # read by every pass of the fit
     model = fit_pipeline(split.where("is_test = 0"), cols, num_trees=100, max_depth=30, min_instances=1, seed=seed)
     imp = permutation_importance(model, split.where("is_test = 1"), cols, n_repeats, seed)
     return imp.select(F.lit(dataset).alias("dataset"), "*")

@@ -329,8 +329,7 @@ def split_predictions(df: DataFrame, cols: list[str], model: str, dataset: str,
                       test_size: float = 0.2, params: dict | None = None, seed: int = 42) -> DataFrame:
     """G16m: single stratified hold-out split (train 80 %, evaluate 20 %);
     the predictions carry ``fold = 0``."""
-    from mailspark.operators.folds import holdout_split
-    s = holdout_split(df, test_size, seed)
+    s = holdout_split(df.select("mail_id", "label", *cols), test_size, seed).checkpoint()  # read by every pass of the fit
     pred = fit_predict(model, s.where("is_test = 0"), s.where("is_test = 1"), cols, params, seed)
     return pred.select(F.lit(dataset).alias("dataset"), F.lit(feature_group).alias("feature_group"),
                        F.lit(model).alias("model_name"), F.lit(0).alias("fold"), "mail_id",

@@ -549,7 +549,7 @@ _MODEL_COLS = ["subject_len", "n_received_hops", "mid_len", "spf_result", "has_r
 def _cv(model, params=None):
     def build(spark, sf):
         fm = C.impute_median(fx.feature_matrix(spark, sf), _MODEL_COLS)
-        folded = FO.stratified_folds(fm, k=5, seed=42)
+        folded = FO.stratified_folds(fm.select("mail_id", "label", *_MODEL_COLS), k=5, seed=42).checkpoint()
         return MD.cv_predictions(folded, _MODEL_COLS, model, "A", "G_fm", k=5, params=params)
     return build
 
@@ -785,7 +785,7 @@ SELECT mail_id, round(sum({take} * pos / n) / sum({take}), 6) AS y_prob FROM w G
 
 @register("knn_predict", _knn_sql())
 def q_knn_predict(spark, sf):
-    folded = FO.stratified_folds(fx.feature_matrix(spark, sf), k=5, seed=42)
+    folded = FO.stratified_folds(fx.feature_matrix(spark, sf).select("mail_id", "label", *_KNN_COLS), k=5, seed=42).checkpoint()
     out = MD.knn_predict(folded.where("fold <> 0"), folded.where("fold = 0"), _KNN_COLS, k=5)
     return M.rounded(out.select("mail_id", "y_prob"))
 
@@ -793,7 +793,7 @@ def q_knn_predict(spark, sf):
 @register("knn_predict_wide", _knn_sql(_MODEL_COLS, _imputed_fm_sql(), "imp"))
 def q_knn_predict_wide(spark, sf):
     """The six model columns: nearly a point per mail, so several blocks from sf0.01 on."""
-    folded = FO.stratified_folds(_imputed_fm(spark, sf), k=5, seed=42)
+    folded = FO.stratified_folds(_imputed_fm(spark, sf).select("mail_id", "label", *_MODEL_COLS), k=5, seed=42).checkpoint()
     out = MD.knn_predict(folded.where("fold <> 0"), folded.where("fold = 0"), _MODEL_COLS, k=5)
     return M.rounded(out.select("mail_id", "y_prob"))
 
