@@ -26,7 +26,9 @@ def _numbered(df: DataFrame, label: str, id_col: str, key) -> DataFrame:
 
 
 def _beside(df: DataFrame, dealt: DataFrame, label: str, id_col: str) -> DataFrame:
-    """The rows of ``df`` with what their label and id were dealt; a null id meets the null id."""
+    """The rows of ``df`` with what their label and id were dealt (in place of an older
+    column of that name); a null id meets the null id."""
+    df = df.drop(*[c for c in dealt.columns if c not in ("_of_label", "_of_id")])
     same = (F.col(label) == F.col("_of_label")) & F.col(id_col).eqNullSafe(F.col("_of_id"))
     return df.join(dealt, same, "left").drop("_of_label", "_of_id")
 

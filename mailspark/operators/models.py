@@ -39,7 +39,7 @@ DEFAULTS = {
     "MLP": {"hidden": [100, 50], "maxIter": 300, "validation": 0.1, "round_iter": 20, "patience": 3, "tol": 1e-4},
     "OC_SVM": {"nu": 0.1, "n_components": 256, "gamma": None, "rounds": one_class.ROUNDS},
     "KNN": {"k": 5},
-    "Stacking": {"base": ["RF", "MLP", "KNN"], "inner_folds": 5, "passthrough": False},
+    "Stacking": {"base": ["RF", "MLP", "KNN"], "inner_folds": 5, "passthrough": False, "base_params": {}},
 }
 
 
@@ -264,13 +264,13 @@ def _stacking(train: DataFrame, test: DataFrame, cols: list[str], p: dict, seed:
     """G13m: out-of-fold base probabilities -> logistic meta model; base
     models refitted on all training rows for the test predictions.  All of them
     are one long table (mail_id, base, y_prob), turned into a row per mail and
-    joined once."""
+    joined once.  ``base_params`` holds settings of base models by name."""
     k = p["inner_folds"]
     tr = stratified_folds(train, k=k, seed=seed, salt="inner").cache()
     folds = [(tr.where(F.col("fold") != f), tr.where(F.col("fold") == f)) for f in range(k)]
     # the inner folds of every base model, then the base models on all training rows
     jobs = [(b, fit, held) for b in p["base"] for fit, held in [*folds, (train, test)]]
-    scored = in_parallel([lambda j=j: fit_predict(*j, cols, seed=seed).select(
+    scored = in_parallel([lambda j=j: fit_predict(*j, cols, p["base_params"].get(j[0]), seed).select(
         "mail_id", F.lit(j[0]).alias("base"), "y_prob").checkpoint() for j in jobs])
     long = scored[0]
     for part in scored[1:]:

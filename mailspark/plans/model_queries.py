@@ -182,6 +182,31 @@ def q_matrix_cells(spark, sf):
         F.countDistinct("fold").cast("int").alias("n_folds"), F.every(F.col("y_prob").between(0, 1)).alias("in_range"))
 
 
+# --------------------------------------------------------------------------
+# G13m, G15m: stacking over outer folds
+# --------------------------------------------------------------------------
+_STACK_GROUP = GR.group_columns("G8", W.WIDE_FEATURES)
+#: small base models: every outer fold fits each of them inner_folds + 1 times
+_STACK = {"inner_folds": 3, "base_params": {"RF": {"numTrees": 20, "maxDepth": 10}, "MLP": {"hidden": [16], "maxIter": 60}}}
+
+
+@register("stacking_cv", O.prefix_for("raw_mail") + f"""
+SELECT fold, count(*) AS n, count(DISTINCT mail_id) AS n_mails, CAST(sum(label) AS BIGINT) AS n_positive,
+       true AS in_range, true AS consistent, true AS as_good_as_larger_class
+FROM (SELECT mail_id, label, {Q._FOLD_SQL} AS fold FROM raw_mail) f GROUP BY fold""")
+def q_stacking_cv(spark, sf):
+    """Each mail is scored once, by the stack that was fitted on the other folds."""
+    wide = W.wide_features(fx.raw_mail(spark, sf), columns=_STACK_GROUP)
+    folded = FO.stratified_folds(wide, 5, 42).checkpoint()
+    pred = MD.cv_predictions(folded, _STACK_GROUP, "Stacking", "A", "G8", 5, _STACK)
+    positive, right = F.avg("y_true"), F.avg((F.col("y_pred") == F.col("y_true")).cast("double"))
+    return pred.groupBy("fold").agg(
+        F.count("*").alias("n"), F.countDistinct("mail_id").alias("n_mails"), F.sum("y_true").cast("bigint").alias("n_positive"),
+        F.every(F.col("y_prob").between(0, 1)).alias("in_range"),
+        F.every(F.col("y_pred") == (F.col("y_prob") > 0.5).cast("int")).alias("consistent"),
+        (right >= F.greatest(positive, 1 - positive) - 0.01).alias("as_good_as_larger_class"))
+
+
 # --------------------------------------------------------------------------
 # Folders of single mails, written by the query
 # --------------------------------------------------------------------------

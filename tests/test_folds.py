@@ -30,3 +30,10 @@ def test_other_columns_stay_out_of_the_numbering(spark, out, way):
     assert dealt.columns == ["mail_id", "label", "text", "_rn", out]
     sizes = dict(dealt.groupBy(out).count().collect())
     assert sorted(sizes.values()) == [100, 100]
+
+
+@pytest.mark.parametrize("out,way", WAYS)
+def test_dealt_again(spark, out, way):
+    df = spark.createDataFrame(ROWS, "mail_id long, label int, x string")
+    again = way(way(df).withColumn(out, F.lit(99)))
+    assert again.columns == way(df).columns and sorted(again.collect(), key=str) == sorted(way(df).collect(), key=str)
