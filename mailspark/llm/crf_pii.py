@@ -424,8 +424,10 @@ def op2_crf_pii(docs: DataFrame) -> DataFrame:
     find = _spans_udf(_weights(docs, None))
     found = _candidates(docs.select(docs["doc_id"], docs["text"])).select("row", find("candidate").alias("found"))
     base, spans = F.col("found.base"), F.col("found.spans")
-    count = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{kind}")
-             for k, kind in enumerate(KINDS)]
+    # a second parameter of the lambda would be the span's index
+    def of(k):
+        return lambda s: s["kind"] == k
+    count = [F.size(F.filter(base, of(k))).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return found.select(F.col("row.doc_id").alias("doc_id"), *count,
                         F.sha2(_listed(base), 256).alias("base_sha256"), _listed(spans).alias("spans"),
                         (F.size(spans) - F.size(base)).cast("bigint").alias("n_added"))

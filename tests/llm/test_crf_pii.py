@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import re
 
@@ -112,3 +113,13 @@ def test_query_keeps_base_spans(spark):
 
 def test_redaction_of_overlaps():
     assert cp.redact_text("abcdefgh", [(1, 0, 4), (2, 1, 6), (7, 2, 8)]) == "a[EMAIL]g[CARD]"
+
+
+def test_counts_per_kind(spark):
+    """Spans of one kind in any place of the text count as that kind, and only as it."""
+    texts = [(1, "a@b.cd x@y.zz u@v.ww"), (2, "10.0.0.1 then 4111 1111 1111 1111, +49 30 1234567890 and 10.0.0.2"),
+             (3, "from 10.0.0.9 to jane.doe@example.com"), (4, "none 12"), (5, None)]
+    for r in cp.op2_crf_pii(awkward.documents(spark, texts)).collect():
+        spans = plain_spans(dict(texts)[r.doc_id] or "")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for _, k, _ in spans) for kind in range(4)]
+        assert r.base_sha256 == hashlib.sha256(cp.describe(spans).encode()).hexdigest()
