@@ -105,9 +105,24 @@ def detection_rate(scored: DataFrame) -> DataFrame:
                       .otherwise(0.0).alias("detection_rate"))
 
 
+def _string_map(docs: DataFrame, column: str) -> Column:
+    """The fields of a struct column that are not null, as strings."""
+    kind, whole = docs.schema[column].dataType, F.col(column)
+    plain = isinstance(kind, T.StructType) and len({f.name for f in kind}) == len(kind) > 0 and all(
+        isinstance(f.dataType, (T.StringType, T.IntegerType, T.LongType)) for f in kind)
+    if not plain:
+        return F.from_json(F.to_json(column), T.MapType(T.StringType(), T.StringType()))
+    fields = {f.name: whole.getField(f.name) for f in kind}
+    every = F.create_map(*[x for n, v in fields.items() for x in (F.lit(n), v.cast("string"))])
+    some_null = F.lit(False)
+    for v in fields.values():
+        some_null = some_null | v.isNull()
+    there = F.when(some_null, F.map_filter(every, lambda _, v: v.isNotNull())).otherwise(every)
+    return F.when(whole.isNotNull(), there)
+
+
 def documents_as_requests(docs: DataFrame) -> DataFrame:
     """Feature documents (2.D) -> request rows with string maps."""
-    hf = F.from_json(F.to_json("header_features"), T.MapType(T.StringType(), T.StringType()))
-    hd = F.from_json(F.to_json("headers"), T.MapType(T.StringType(), T.StringType()))
-    return docs.select("email_id", hd.alias("headers"), hf.alias("header_features"),
+    return docs.select("email_id", _string_map(docs, "headers").alias("headers"),
+                       _string_map(docs, "header_features").alias("header_features"),
                        F.array().cast("array<string>").alias("body_urls"))
