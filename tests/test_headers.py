@@ -95,3 +95,17 @@ def test_compact_decodes_encoded_words(spark):
     r = compact_features(df).first()
     assert r["subject_len"] == 5          # "Héllo"
     assert r["mid_malformed"] == 0 and r["all_auth_pass"] == 1 and r["dkim_signature_valid_format"] == 1
+
+
+def test_header_block_is_cut_at_line_ends_of_both_kinds(spark):
+    """Names and values stay side by side, characters beyond 16 bits count once."""
+    cases = {
+        "A: b\r\nC: d\r\n\r\nE: f\r\n\r\n": [("a", "b"), ("c", "d")],
+        "A: b\nC: d\n\r\n\nE: f": [("a", "b"), ("c", "d")],
+        "From x y\nA: b\nFrom w: z\nC:\n\td\n\nE: f": [("a", "b"), ("c", "\n\td")],
+        "A: \U0001f600\U0001f600\nC: d\nno header\nE: f": [("a", "\U0001f600\U0001f600"), ("c", "d")],
+        "\nA: b\n\n": [], "": [], "From x": [], "A: b\r": [("a", "b\r")], "A: b\n": [("a", "b")],
+    }
+    df = spark.createDataFrame([(i, raw) for i, raw in enumerate(cases)], "i int, raw string")
+    got = df.select("i", H.header_arrays(F.col("raw")).alias("h")).orderBy("i").collect()
+    assert [list(zip(r.h["names_lc"], r.h["values"])) for r in got] == list(cases.values())
