@@ -207,7 +207,7 @@ def q_model_roundtrip(spark, sf):
 def q_importance_roundtrip(spark, sf):
     """Impurity importance written and read back: lookup, top rows, and their sum."""
     path = scratch_dir(spark, "importance")
-    imp = IM.mdi_importance(MD.fit_pipeline(Q._imputed_fm(spark, sf), Q._MODEL_COLS), spark)
+    imp = IM.mdi_importance(MD.fit_pipeline(Q._fit_rows(spark, sf), Q._MODEL_COLS), spark)
     SK.save_importance(imp, path)
     back = SK.load_importance(spark, path)
     # one row per feature
