@@ -109,3 +109,8 @@ def test_header_block_is_cut_at_line_ends_of_both_kinds(spark):
     df = spark.createDataFrame([(i, raw) for i, raw in enumerate(cases)], "i int, raw string")
     got = df.select("i", H.header_arrays(F.col("raw")).alias("h")).orderBy("i").collect()
     assert [list(zip(r.h["names_lc"], r.h["values"])) for r in got] == list(cases.values())
+
+
+def test_a_null_mail_has_no_presence_and_no_hops(spark):
+    row = _one(spark, None, ["has_from", "has_x_mailer", "has_content_type", "n_received_hops", "missing_received"])
+    assert (row.has_from, row.has_content_type, row.n_received_hops, row.missing_received) == (None, None, None, None)
