@@ -1,6 +1,7 @@
 """The network's passes against finite differences and the library's model."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from mailspark.operators import models as MD
@@ -18,6 +19,9 @@ def test_network_gradient_is_the_slope_of_the_loss():
         slope = (network.gradient(x, y, w + e, layers)[0] - network.gradient(x, y, w - e, layers)[0]) / 2e-5
         assert abs(slope - grad[i]) < 1e-4 * max(1.0, abs(slope))
     assert loss > 0
+    for wrong in (-1, 2):
+        with pytest.raises(ValueError):
+            network.gradient(x, np.where(y > 0, wrong, y), w, layers)
 
 
 def test_network_is_trained_over_dealt_rows_and_is_the_librarys_model(spark, monkeypatch):
