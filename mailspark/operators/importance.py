@@ -108,14 +108,14 @@ def rfecv(df: DataFrame, cols: list[str], k: int = 5, step: int = 1, min_feature
     ev = MulticlassClassificationEvaluator(labelCol="label", metricName="weightedFMeasure")
 
     def fold_score(f: int, current: list[str]) -> float:
-        m = fit_pipeline(folded.where(F.col("fold") != f), current, num_trees, 30, 1, seed)
+        m = fit_pipeline(folded.where(F.col("fold") != f), current, num_trees, 30, 1, seed, True)
         return ev.evaluate(m.transform(folded.where(F.col("fold") == f).withColumns({c: F.col(c).cast("double") for c in current})))
 
     current = survivors(rounds[-1][2].split(","), rounds[-1][3], step, min_features) if rounds else list(cols)
     try:
         while not rounds or len(rounds[-1][2].split(",")) > min_features:
             jobs = [lambda f=f: fold_score(f, current) for f in range(k)]
-            full, *fs = in_parallel([lambda: fit_pipeline(folded, current, num_trees, 30, 1, seed), *jobs])
+            full, *fs = in_parallel([lambda: fit_pipeline(folded, current, num_trees, 30, 1, seed, True), *jobs])
             rounds.append((len(current), float(np.mean(fs)), ",".join(current), [float(x) for x in full.stages[-1].featureImportances.toArray()]))
             if book:
                 spark.createDataFrame(rounds[-1:], _ROUND).coalesce(1).write.mode("overwrite").parquet(f"{book}/round-{len(current):05d}")
