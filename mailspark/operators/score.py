@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -59,7 +59,13 @@ def request_features(requests: DataFrame, features: list[str]) -> DataFrame:
 
 def _probabilities(requests: DataFrame, model: PipelineModel) -> DataFrame:
     feats = model_features(model)
-    scored = model.transform(request_features(requests, feats))
+    rows = request_features(requests, feats)
+    if len(model.stages) == 2 and isinstance(model.stages[0], VectorAssembler):
+        # the assembler's vector, but with its zeros in place: trees find a value of a sparse one by search
+        dense = array_to_vector(F.array(*[F.col(f) for f in feats]))
+        scored = model.stages[1].transform(rows.withColumn(model.stages[0].getOutputCol(), dense))
+    else:
+        scored = model.transform(rows)
     p = vector_to_array("probability")
     return scored.withColumn("_p0", p[0]).withColumn("_p1", p[1])
 

@@ -120,9 +120,9 @@ SELECT CAST(mail_id AS VARCHAR) AS email_id, nullif(message_id, '') AS message_i
        true AS label_ok, true AS confidence_ok FROM ({Q._COMPACT_SQL}) q""")
 def q_score_fields(spark, sf):
     """L2 without its scores; a mail without a readable date carries the time of scoring (null here)."""
-    requests = Q._requests(spark, sf)
+    requests, model = Q._served(spark, sf)
     readable = requests.select("email_id", D.parse_mail_date(SC.header_value(F.col("headers"), "date")).isNotNull().alias("readable"))
-    s = SC.score_v1(requests, Q._served_model(spark, sf)).join(readable, "email_id")
+    s = SC.score_v1(requests, model).join(readable, "email_id")
     return s.select("email_id", "message_id", F.when(F.col("readable"), F.col("timestamp")).alias("dated"),
                     F.col("prediction").isin("malicious", "legitimate").alias("label_ok"),
                     F.col("confidence").between(0.5, 1).alias("confidence_ok"))
@@ -194,9 +194,8 @@ def q_results_csv_roundtrip(spark, sf):
 @register("model_roundtrip", O.prefix_for("raw_mail") + "SELECT count(*) AS n, count(*) AS n_equal FROM raw_mail")
 def q_model_roundtrip(spark, sf):
     """A model that was written and read back scores every mail as before."""
-    model, path = Q._served_model(spark, sf), scratch_dir(spark, "model")
+    (requests, model), path = Q._served(spark, sf), scratch_dir(spark, "model")
     SK.save_model(model, path)
-    requests = Q._requests(spark, sf)
     again = SC.score_v1(requests, SK.load_model(path)).select("email_id", F.struct("prediction", "confidence").alias("again"))
     both = SC.score_v1(requests, model).join(again, "email_id")
     equal = F.struct("prediction", "confidence").eqNullSafe(F.col("again"))
